@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from graphloom.llm import op2_topk_search as op2
+from graphloom.llm import op4_warc as op4
+from graphloom.llm import op5_sharding as op5
 from graphloom.llm import op7_jaccard_join as op7
+from graphloom.llm import op8_mixing as op8
 
-REGISTRY = {"op7_jaccard_join": op7.op7_jaccard_join}
-ORACLE = {"op7_jaccard_join": op7.ORACLE}
+REGISTRY = {
+    "op2_topk_search": op2.op2_topk_search,
+    "op4_warc": op4.op4_warc,
+    "op5_sharding": op5.op5_sharding,
+    "op7_jaccard_join": op7.op7_jaccard_join,
+    "op8_mixing": op8.op8_mixing,
+}
+ORACLE = {"op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE}
