@@ -44,3 +44,21 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     """checkpoint() has a folder to write to."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def ship(spark: SparkSession) -> None:
+    """Executors can import this package: its sources go to them as a zip file, once an application."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(at))
+    context._graphloom_shipped = True
