@@ -14,14 +14,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; each is one aggregation for the
     smallest neighbour and one join, and the edge count never grows. A node with very
     many neighbours is combined on the map side; its join side is split by the
-    engine's skew handling. Each step is staged. Repeated edges and loops are allowed.
+    engine's skew handling. Each step is staged, the minima too, so that both sides of a join are plain exchanges. Repeated edges and loops are allowed.
     """
     star = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     for _ in range(rounds):
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "k")
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "k"), "low")
         large = both.join(low, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        large = stage(large, "large")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "low")
         near = large.join(least, F.col("a") == F.col("k"))
         small = near.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         new = stage(small.filter("a <> b").distinct(), "cc")

@@ -179,6 +179,7 @@ def digests(pages: DataFrame) -> DataFrame:
     light = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     big = light.filter(F.col("n") >= REVISIT_BYTES)
     best = big.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    best = stage(best, "kept")  # both sides of the join are then exchanges, and a hot digest can be split
     again = big.join(best, "digest").filter("page_id < keep").select("page_id", F.col("keep").alias("refers_to")).distinct()
     return pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).join(again, "page_id", "left")
 

@@ -54,7 +54,7 @@ def extend(rows: DataFrame, h: str, limit: int) -> tuple[DataFrame, DataFrame]:
     depth = min(BITS, ((total or 0) // limit).bit_length() + SLACK_BITS)
     done, low, todo = None, 0, rows
     while True:
-        got = shard_depths(todo, h, low, depth, limit)
+        got = stage(shard_depths(todo, h, low, depth, limit), "directory")
         placed = stage(todo.withColumn("cell", prefix(F.col(h), F.lit(depth))).join(got, "cell").drop("cell"), "shards")
         part = placed.filter("fits or one")
         done = part if done is None else done.unionByName(part)

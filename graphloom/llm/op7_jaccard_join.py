@@ -39,11 +39,12 @@ from graphloom.llm.shingles import WORDS, mix, shingle_sets
 from graphloom.llm.staging import even_keys, partitions, prepare, stage, text_bytes
 
 PERCENT = 80
-CHUNK_BYTES = 8 << 20  # of text hashed at once
-FRAGMENT_SHINGLES = 4_000_000  # of one fragment, in a worker's memory
+CHUNK_BYTES = 2 << 20  # of text hashed at once
+FRAGMENT_SHINGLES = 2_000_000  # of one fragment, in a worker's memory
 FREQUENT = 64  # sets that hold a shingle, from which its order is told
 ORDERED = 1 << 20  # frequent shingles that the order knows: 16 MB at most; it affects cost, not results
-CELL_SHINGLES = 200_000  # of one cell before it is cut
+CELL_SHINGLES = 200_000  # of one cell before it is cut into fragments
+CELL_PAIRS = 512  # of one cell before it is dealt out by member
 PERMUTATIONS, LEADERS = 8, 3
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -209,7 +210,7 @@ def explode_longs(column: str):
 
 
 def leader_pairs(minima: DataFrame) -> DataFrame:
-    """cell, a, b: each class with a few leaders of each of its buckets of equal minima.
+    """a, b: each class with a few leaders of each of its buckets of equal minima.
 
     The leaders are minima under different orders, combined on the map side, so a hot
     bucket is not gathered.
@@ -218,9 +219,8 @@ def leader_pairs(minima: DataFrame) -> DataFrame:
     lead = minima.groupBy("place", "value").agg(
         F.array(F.min(F.struct(F.col("n").cast("bigint").alias("r"), F.col("cls").alias("c"))), *[F.min(s) for s in seeded]).alias("lead"), F.count("*").alias("m")
     )
-    pairs = minima.join(lead.filter("m > 1").drop("m"), ["place", "value"])
-    pairs = pairs.select(F.col("cls").alias("x"), F.explode(F.array_distinct("lead.c")).alias("y")).filter("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = minima.join(stage(lead.filter("m > 1").drop("m"), "leaders"), ["place", "value"])
+    return pairs.select(F.col("cls").alias("a"), F.explode(F.array_distinct("lead.c")).alias("b")).filter("a <> b").distinct()
 
 
 def cross_pairs(percent: int):
@@ -257,21 +257,21 @@ def cross_pairs(percent: int):
     return run
 
 
-SLICED = "cell long, frag int, cls long, other long, data binary"
+SLICED = "cell long, deal int, frag int, cls long, other long, data binary"
 
 
 def slice_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A set's part for each fragment of its cell."""
     for part in parts:
         rows = []
-        for cell, cuts, cls, data in zip(part["cell"], part["cuts"], part["cls"], part["shingles"], strict=True):
+        for cell, deal, cuts, cls, data in zip(part["cell"], part["deal"], part["cuts"], part["cls"], part["shingles"], strict=True):
             if cuts == 1:
-                rows.append((cell, 0, cls, 0, data))
+                rows.append((cell, deal, 0, cls, 0, data))
                 continue
             h = np.frombuffer(data, "<u8")
             at = np.searchsorted(fragment_of(h, cuts), np.arange(cuts + 1))
-            rows += [(cell, f, cls, 0, h[at[f] : at[f + 1]].tobytes()) for f in range(cuts)]
-        yield pd.DataFrame(rows, columns=["cell", "frag", "cls", "other", "data"])
+            rows += [(cell, deal, f, cls, 0, h[at[f] : at[f + 1]].tobytes()) for f in range(cuts)]
+        yield pd.DataFrame(rows, columns=["cell", "deal", "frag", "cls", "other", "data"])
 
 
 def count_overlaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,14 +279,14 @@ def count_overlaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets: dict[tuple, np.ndarray] = {}
     pairs: list[tuple] = []
     for part in parts:
-        for cell, frag, cls, other, data in zip(part["cell"], part["frag"], part["cls"], part["other"], part["data"], strict=True):
+        for cell, deal, frag, cls, other, data in zip(part["cell"], part["deal"], part["frag"], part["cls"], part["other"], part["data"], strict=True):
             if data is not None:
-                sets[cell, frag, cls] = np.frombuffer(data, "<u8")
+                sets[cell, deal, frag, cls] = np.frombuffer(data, "<u8")
             else:
-                pairs.append((cell, frag, cls, other))
+                pairs.append((cell, deal, frag, cls, other))
     rows = []
-    for cell, frag, a, b in pairs:
-        x, y = sets[cell, frag, a], sets[cell, frag, b]
+    for cell, deal, frag, a, b in pairs:
+        x, y = sets[cell, deal, frag, a], sets[cell, deal, frag, b]
         if len(x) > len(y):
             x, y = y, x
         if len(x):
@@ -297,17 +297,25 @@ def count_overlaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * overlap >= percent * union."""
+    """The pairs (a, b) of which 100 * overlap >= percent * union.
+
+    A pair is counted in the cell of its first set. A cell with many pairs is dealt out
+    by the first set, and one with many shingles is cut into fragments.
+    """
     spark = sets.sparkSession
     info = sets.select("cls", "n", "cell")
     p = pairs.join(info.select(F.col("cls").alias("a"), F.col("n").alias("na"), "cell"), "a").join(info.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    p = stage(p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)), "pairs")
-    need = p.select("cell", F.col("a").alias("cls")).unionByName(p.select("cell", F.col("b").alias("cls"))).distinct()
-    sized = need.join(info.select("cls", "n"), "cls")
-    cuts = sized.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cuts"))
-    slices = need.join(cuts, "cell").join(sets.select("cls", "shingles"), "cls").select("cell", "cuts", "cls", "shingles").mapInPandas(slice_sets, SLICED)
-    tasks = p.join(cuts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("frag"), F.col("a").alias("cls"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("data"))
-    dealt = slices.unionByName(tasks).repartition(partitions(spark), "cell", "frag")
+    p = stage(p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "pairs")
+    deals = stage(p.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("deals")), "deals")
+    p = stage(p.join(deals, "cell").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals"), "pairs")
+    ends = p.select("cell", "deal", F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(p.select("cell", "deal", F.col("b").alias("cls"), F.col("nb").alias("n")))
+    need = ends.distinct()
+    cuts = stage(need.groupBy("cell", "deal").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cuts")), "cuts")
+    slices = stage(need.join(cuts, ["cell", "deal"]), "need").join(sets.select("cls", "shingles"), "cls")
+    slices = slices.select("cell", "deal", "cuts", "cls", "shingles").mapInPandas(slice_sets, SLICED)
+    frag = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("frag")
+    tasks = p.join(cuts, ["cell", "deal"]).select("cell", "deal", frag, F.col("a").alias("cls"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("data"))
+    dealt = slices.unionByName(tasks).repartition(partitions(spark), "cell", "deal", "frag")
     partial = dealt.mapInPandas(count_overlaps, "a long, b long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     return total.join(p, ["a", "b"]).filter(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
@@ -336,7 +344,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     mins = made.select("cls", "n", "mins").mapInPandas(explode_longs("mins"), "cls long, n int, place int, value long")
     minima = stage(mins, "minima")
     # a cell gathers sets that are likely alike: the smallest leader of their buckets
-    lead = minima.groupBy("place", "value").agg(F.min("cls").alias("lead"))
+    lead = stage(minima.groupBy("place", "value").agg(F.min("cls").alias("lead")), "leaders")
     cell = minima.join(lead, ["place", "value"]).groupBy("cls").agg(F.min("lead").alias("cell"))
     sets = stage(made.drop("mins").join(cell, "cls"), "celled")
 
@@ -349,9 +357,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     final = connected_components(links.unionByName(more))
 
     named = final.withColumnRenamed("id", "cls").join(classes, "cls")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     linked = named.join(least, "component").select("cls", "component_id")
-    table = classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    table = stage(classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "classes")
     out = light.join(table, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -119,7 +119,7 @@ def decide(docs: DataFrame) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     each = each.withColumn("base", F.least(F.floor(ratio + EPS), F.lit(CAP)).cast("int")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("base")))
     each = each.withColumn("p", F.when((F.col("size") == 0) | (F.col("p") < EPS), 0.0).otherwise(F.col("p"))).withColumn("r", F.xxhash64("doc_id", "th", "occ"))
-    counts = each.filter("p > 0").groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = stage(each.filter("p > 0").groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "counts")
     blocks = counts.agg(F.max("blocks")).first()[0] or 0
     todo = each.filter("p > 0").join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     todo = todo.withColumn("block", F.pmod(F.col("r"), F.col("blocks")).cast("int")).drop("blocks")

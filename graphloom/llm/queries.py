@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from graphloom.llm import op1_token_counts as op1
 from graphloom.llm import op2_topk_search as op2
+from graphloom.llm import op3_sentencepiece as op3
 from graphloom.llm import op4_warc as op4
 from graphloom.llm import op5_sharding as op5
+from graphloom.llm import op6_language_id as op6
 from graphloom.llm import op7_jaccard_join as op7
 from graphloom.llm import op8_mixing as op8
+from graphloom.llm import op9_page_differencing as op9
+from graphloom.llm import op10_media_sequences as op10
 
 REGISTRY = {
+    "op1_token_counts": op1.op1_token_counts,
     "op2_topk_search": op2.op2_topk_search,
+    "op3_sentencepiece": op3.op3_sentencepiece,
     "op4_warc": op4.op4_warc,
     "op5_sharding": op5.op5_sharding,
+    "op6_language_id": op6.op6_language_id,
     "op7_jaccard_join": op7.op7_jaccard_join,
     "op8_mixing": op8.op8_mixing,
+    "op9_page_differencing": op9.op9_page_differencing,
+    "op10_media_sequences": op10.op10_media_sequences,
 }
 ORACLE = {"op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE}

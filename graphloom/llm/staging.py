@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.session import shared_dir
+from graphloom.session import shared_dir, ship
 
 #: Rows that reach a Python worker at once; whole texts can be long, so batches are small.
 BATCH_ROWS = "2000"
 
 
 def prepare(spark: SparkSession) -> None:
+    """Settings and sources that the operators' Python workers need."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
