@@ -38,7 +38,7 @@ CALIBRATION_BYTES = 1 << 18
 FOLDS = 5
 CHUNK_CHARS = 1 << 20  # scored at once
 PAD = 2
-DEVIATIONS, SLACK = 6.0, 0.25  # of the calibration texts; nats a character
+DEVIATIONS, SLACK = 8.0, 0.5  # of the calibration texts; nats a character
 CONFIDENCE_CHARS = 50.0  # characters that the score counts as independent, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
