@@ -41,11 +41,12 @@ from graphloom.llm.staging import even_keys, partitions, prepare, stage, text_by
 PERCENT = 80
 CHUNK_BYTES = 2 << 20  # of text hashed at once
 FRAGMENT_SHINGLES = 2_000_000  # of one fragment, in a worker's memory
-FREQUENT = 64  # sets that hold a shingle, from which its order is told
+FREQUENT = 8  # sets that hold a shingle, from which its order is told
 ORDERED = 1 << 20  # frequent shingles that the order knows: 16 MB at most; it affects cost, not results
 CELL_SHINGLES = 200_000  # of one cell before it is cut into fragments
 CELL_PAIRS = 512  # of one cell before it is dealt out by member
-PERMUTATIONS, LEADERS = 8, 3
+PERMUTATIONS = 8
+ROUNDS, STEPS = 2, 8  # of linking across components before all their pairs are listed; next members that each meets
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -215,25 +216,54 @@ def leader_pairs(minima: DataFrame) -> DataFrame:
     The leaders are minima under different orders, combined on the map side, so a hot
     bucket is not gathered.
     """
-    seeded = [F.struct(F.xxhash64("cls", F.lit(i)).alias("r"), F.col("cls").alias("c")) for i in range(LEADERS - 1)]
-    lead = minima.groupBy("place", "value").agg(
-        F.array(F.min(F.struct(F.col("n").cast("bigint").alias("r"), F.col("cls").alias("c"))), *[F.min(s) for s in seeded]).alias("lead"), F.count("*").alias("m")
-    )
-    pairs = minima.join(stage(lead.filter("m > 1").drop("m"), "leaders"), ["place", "value"])
+    # the set that shares most minima with others is likely the origin of their edits
+    counts = stage(minima.groupBy("place", "value").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    busy = minima.join(counts, ["place", "value"])
+    score = stage(busy.groupBy("cls").agg(F.sum("m").alias("score")), "scores")
+    busy = stage(busy.join(score, "cls").select("place", "value", "cls", "n", "score"), "busy")
+    least = lambda key: F.min(F.struct(key.alias("r"), F.col("cls").alias("c")))
+    lead = stage(busy.groupBy("place", "value").agg(F.array(least(-F.col("score")), least(F.col("n").cast("bigint")), least(F.xxhash64("cls"))).alias("lead")), "leaders")
+    pairs = busy.join(lead, ["place", "value"])
     return pairs.select(F.col("cls").alias("a"), F.explode(F.array_distinct("lead.c")).alias("b")).filter("a <> b").distinct()
 
 
+def reaches(na, ia, nb, ib, percent: int) -> np.ndarray:
+    """Whether sets whose first common shingle has these places in their orders can still overlap enough."""
+    return np.minimum(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb)
+
+
+def next_pairs(percent: int):
+    """For each member of a posting list, the next few in an order of the list's own, if in another component."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if not held:
+            return
+        df = pd.concat(held)
+        v, n, c, k, at = (df[x].to_numpy(np.int64) for x in ("value", "n", "component", "cls", "place"))
+        order = np.lexsort((mix((k ^ v).view(np.uint64)), v))
+        v, n, c, k, at = v[order], n[order], c[order], k[order], at[order]
+        out = []
+        for step in range(1, STEPS + 1):
+            ok = (v[step:] == v[:-step]) & (c[step:] != c[:-step])
+            ok &= reaches(n[step:], at[step:], n[:-step], at[:-step], percent)
+            out.append(np.column_stack((np.minimum(k[step:], k[:-step])[ok], np.maximum(k[step:], k[:-step])[ok])))
+        yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    return run
+
+
 def cross_pairs(percent: int):
-    """Pairs of a posting list that lie in different components and have compatible sizes."""
+    """Pairs of a posting list that lie in different components and can still overlap enough."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
         if not held:
             return
         df = pd.concat(held)
-        v, n, c, k = (df[x].to_numpy() for x in ("value", "n", "component", "cls"))
+        v, n, c, k, at = (df[x].to_numpy(np.int64) for x in ("value", "n", "component", "cls", "place"))
         order = np.lexsort((k, n, v))
-        v, n, c, k = v[order], n[order].astype(np.int64), c[order], k[order]
+        v, n, c, k, at = v[order], n[order], c[order], k[order], at[order]
         cut = np.append(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))), len(v))
         mixed = np.flatnonzero(np.maximum.reduceat(c, cut[:-1]) != np.minimum.reduceat(c, cut[:-1]))
         out, size = [], 0
@@ -242,7 +272,7 @@ def cross_pairs(percent: int):
             end = np.searchsorted(n[a:b], n[a:b] * 100 // percent, "right")
             for j in range(b - a - 1):
                 y = np.arange(a + j + 1, a + max(end[j], j + 1))
-                y = y[c[y] != c[a + j]]
+                y = y[(c[y] != c[a + j]) & reaches(n[y], at[y], n[a + j], at[a + j], percent)]
                 if len(y):
                     out.append(np.column_stack((np.minimum(k[y], k[a + j]), np.maximum(k[y], k[a + j]))))
                     size += len(y)
@@ -349,12 +379,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = stage(made.drop("mins").join(cell, "cls"), "celled")
 
     links = stage(verified(leader_pairs(minima), sets, percent), "links")
-    first = connected_components(links)
-    label = sets.select("cls").join(first.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
-    posts = sets.select("cls", "n", "prefix").mapInPandas(explode_longs("prefix"), "cls long, n int, place int, value long").join(label, "cls")
-    rest = posts.select("value", "n", "component", "cls").repartition(partitions(spark), "value").mapInPandas(cross_pairs(percent), "a long, b long").distinct()
-    more = stage(verified(rest, sets, percent), "links")
-    final = connected_components(links.unionByName(more))
+    posts = stage(sets.select("cls", "n", "prefix").mapInPandas(explode_longs("prefix"), "cls long, n int, place int, value long"), "posts")
+
+    def listed(pick) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("id", "cls")
+        label = stage(sets.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "labels")
+        rows = posts.join(label, "cls").select("value", "n", "component", "cls", "place").repartition(partitions(spark), "value")
+        return rows.mapInPandas(pick(percent), "a long, b long").distinct()
+
+    for _ in range(ROUNDS):
+        links = stage(links.unionByName(verified(listed(next_pairs), sets, percent)).distinct(), "links")
+    final = connected_components(links.unionByName(verified(listed(cross_pairs), sets, percent)))
 
     named = final.withColumnRenamed("id", "cls").join(classes, "cls")
     least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
