@@ -137,10 +137,10 @@ def decide(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row appears as often as it is taken, with all its columns."""
     got = decide(docs).groupBy("doc_id", "source", "th", "size").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    got = got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_copies")
-    keyed = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
-    joined = keyed.join(got, keyed["doc_id"].eqNullSafe(got["_d"]) & keyed["source"].eqNullSafe(got["_s"]) & (keyed["_h"] == got["_t"]))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"))  # columns of any name cannot clash inside
+    keyed = whole.select("row", F.col("row.doc_id").alias("d"), F.col("row.source").alias("s"), F.xxhash64("row.text").alias("h")).dropDuplicates(["d", "s", "h"])
+    joined = keyed.join(got, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("th")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
