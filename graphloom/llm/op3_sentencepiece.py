@@ -4,9 +4,11 @@ The model file is a protobuf; it is read here field by field, and the pipeline i
 from it: the normaliser with its character map, the metaspace marker, a unigram model with
 its scores or a BPE model whose merges follow from the scores, and byte fallback. Batches
 are encoded by the library's own threads. Where no piece has a marker behind another
-character, merges cannot cross the start of a marker run, so text is split there first.
-Each task compares some texts of every batch with the reference library's ids and fails
-on any difference.
+character, merges cannot cross the start of a marker run, so text is split there first,
+and each different segment of a batch is encoded once; a worker remembers a bounded number
+of them. Ids are decoded through the bytes of their pieces, and by the library where these
+are not UTF-8. Each task compares some texts of every batch with the reference library's
+ids, and their decoding with the tokenizers library's, and fails on any difference.
 
 Results for edge cases: a null text has null ids, null decoded and 0 tokens; an empty text
 has no ids; characters outside the vocabulary become byte pieces, or the unknown piece
@@ -23,6 +25,7 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ MARK = "▁"
 THREADS = 2  # of one worker
 PARITY_EVERY = 400  # texts; every batch's first is compared too
 BATCH = 256
+RUN = 512  # segments of one text for the library
+KNOWN_CHARS = 8_000_000  # of the segments that a worker remembers
 # Field numbers and enumerations of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -119,7 +124,8 @@ class Model:
         crossing = re.compile(f"[^{MARK}]{MARK}")
         return not any(crossing.search(p) for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED))
 
-    def tokenizer(self):
+    def tokenizer(self, normalise: bool = True):
+        """The library's tokenizer; without normalise, of text that has been normalised."""
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         if self.kind == UNIGRAM:
@@ -135,13 +141,18 @@ class Model:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
-        t.normalizer = normalizers.Sequence(steps)
+        if normalise:
+            t.normalizer = normalizers.Sequence(steps)
         if self.kind == BPE and self.separable():
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         end = [decoders.Strip(" ", 1, 0)] if self.prefix else []
         t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
         return t
 
+    def piece_bytes(self) -> list[bytes]:
+        """What each id stands for in decoded text, before the first space is dropped."""
+        return [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
+
 
 class Codec:
     """Tokenizer of a model file with the reference library beside it."""
@@ -151,16 +162,68 @@ class Codec:
 
         self.model = Model(data)
         self.tokenizer = self.model.tokenizer()
+        self.segmented = self.model.kind == BPE and self.model.separable() and self.model.prefix and self.model.escape
+        self.plain = not self.model.charsmap and not self.model.squeeze
+        self.of_segments = self.model.tokenizer(normalise=False) if self.segmented else None
+        self.known: dict[str, bytes] = {}  # ids of segments, four bytes each
+        self.known_chars = 0
+        self.piece_bytes = self.model.piece_bytes()
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-
-    def check(self, text: str, ids: list[int]) -> None:
-        want = self.reference.encode(text)
+    def segments(self, text: str) -> list[str]:
+        """Segments of the normalised text, each without the marker that it begins with."""
+        if self.plain:
+            text = MARK + text.replace(" ", MARK) if text else ""
+        else:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        if not text:
+            return []
+        if MARK * 2 not in text:
+            return text.split(MARK)[1:]
+        return [s[1:] for s in re.findall(f"{MARK}+[^{MARK}]*", text)]
+
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment; many are joined to one text, which the tokenizer splits at the same places."""
+        runs = [segments[i : i + RUN] for i in range(0, len(segments), RUN)]
+        out = []
+        for own, e in zip(runs, self.of_segments.encode_batch([MARK + MARK.join(r) for r in runs], add_special_tokens=False), strict=True):
+            cut = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
+            if len(cut) + 1 == len(own):
+                edge, ids = [0, *(4 * cut).tolist(), 4 * len(e.ids)], np.array(e.ids, np.int32).tobytes()
+                out += [ids[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+            else:  # segments of markers alone run together
+                out += [np.array(x.ids, np.int32).tobytes() for x in self.of_segments.encode_batch([MARK + s for s in own], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.segmented:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self.segments(t) for t in texts]
+        if self.known_chars > KNOWN_CHARS:
+            self.known, self.known_chars = {}, 0
+        new = sorted(set().union(*parts).difference(self.known))
+        self.known.update(zip(new, self.encode_segments(new), strict=True))
+        self.known_chars += sum(map(len, new)) + 8 * len(new)
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, p)), np.int32) for p in parts]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        of, out, odd = self.piece_bytes.__getitem__, [], []
+        for i, x in enumerate(ids):
+            try:
+                text = b"".join(map(of, x.tolist())).decode()
+            except UnicodeDecodeError:
+                odd.append(i)
+                text = ""
+            out.append(text[1:] if self.model.prefix and text.startswith(" ") else text)
+        for i, text in zip(odd, self.tokenizer.decode_batch([ids[i].tolist() for i in odd], skip_special_tokens=False), strict=True):
+            out[i] = text
+        return out
+
+    def check(self, text: str, ids: np.ndarray, decoded: str) -> None:
+        if decoded != self.tokenizer.decode(ids.tolist(), skip_special_tokens=False):
+            raise ValueError("text differs from the library's decoding")
+        want, ids = self.reference.encode(text), ids.tolist()
         if want != ids:
             at = next((i for i, (a, b) in enumerate(zip(want, ids, strict=False)) if a != b), min(len(want), len(ids)))
             raise ValueError(f"ids differ from the reference library's at {at} of {len(want)}")
@@ -195,7 +258,7 @@ def encoding(shared, parity_every: int):
                 back = own.decode(ids)
                 for i, t in enumerate(texts):
                     if i == 0 or (seen + i) % parity_every == 0:
-                        own.check(t, ids[i])
+                        own.check(t, ids[i], back[i])
                 seen += len(texts)
                 null = rows["text"].isna().to_numpy()
                 yield pd.DataFrame(
@@ -232,7 +295,7 @@ def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(shared.value)
         for part in parts:
-            got = own.decode([[] if x is None else [int(i) for i in x] for x in part])
+            got = own.decode([np.array([] if x is None else x, np.int64) for x in part])
             yield pd.Series([None if x is None else g for x, g in zip(part, got, strict=True)], dtype=object)
 
     return rows.withColumn("decoded", decode("ids"))
