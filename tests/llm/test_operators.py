@@ -116,6 +116,20 @@ def test_sentencepiece_parity_and_round_trip(spark, documents, odd):
     assert op3.encode_documents(documents.limit(0)).count() == 0
 
 
+def test_segments_are_encoded_as_whole_texts(monkeypatch):
+    own = op3.Codec(open(op3.MODEL, "rb").read())
+    assert own.segmented
+    odd = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "▁▁x", "x▁", "\n", "a\nb  \n c", "日本語 テキスト", "😀 x\u0000y", "<0x41> <s> </s> <unk>", "a" * 3000, " ".join(map(str, range(2000)))]
+    for known in (op3.KNOWN_CHARS, 0):  # 0: what is known is dropped before each batch
+        monkeypatch.setattr(op3, "KNOWN_CHARS", known)
+        for _ in range(2):
+            ids = own.encode(odd)
+            assert [x.tolist() for x in ids] == [own.reference.encode(t) for t in odd]
+            assert own.decode(ids) == own.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    broken = [op3.np.array([own.tokenizer.token_to_id(p) for p in ("▁a", "<0xE9>", "b")])]
+    assert own.decode(broken) == [own.tokenizer.decode(broken[0].tolist(), skip_special_tokens=False)]
+
+
 def test_unigram_models_are_rebuilt():
     def field(n, kind, value):
         if kind == 0:
