@@ -9,7 +9,9 @@ The global order of shingles is cut into fragments. Three exact steps use them:
 2. Of the rest, candidate pairs share a shingle of their prefixes under a global order
    that puts frequent shingles last. Sets that are already connected by verified links
    need no further pair, so a large group of near copies costs a few links a member,
-   and only pairs across components are listed.
+   and only pairs across components are listed. Each set has a parity sketch: the bits in
+   which two sketches differ are a lower bound of the shingles in which the sets differ,
+   so a pair whose sketches differ too much cannot link and is not listed.
 3. A candidate's overlap is counted in cells of similar sets, large cells cut into
    fragments again; the partial overlaps are summed per pair and compared as integers.
 
@@ -46,6 +48,7 @@ ORDERED = 1 << 20  # frequent shingles that the order knows: 16 MB at most; it a
 CELL_SHINGLES = 200_000  # of one cell before it is cut into fragments
 CELL_PAIRS = 512  # of one cell before it is dealt out by member
 PERMUTATIONS = 8
+SKETCH_BITS = 1024  # of a set's parity sketch; it affects cost, not results
 ROUNDS, STEPS = 2, 8  # of linking across components before all their pairs are listed; next members that each meets
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -167,7 +170,12 @@ def count_shared(percent: int):
     return run
 
 
-SETS = "cls long, n int, shingles binary, prefix binary, mins binary"
+SETS = "cls long, n int, shingles binary, prefix binary, mins binary, sketch binary"
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """For each bit, the parity of the shingles that fall on it."""
+    return np.packbits(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
 def make_sets(words: int, percent: int, fragments: int, frequent):
@@ -190,8 +198,8 @@ def make_sets(words: int, percent: int, fragments: int, frequent):
                 length = len(s) - int(least_overlap(len(s), percent)) + 1
                 prefix = s[np.lexsort((s, df))[:length]]
                 mins = np.array([mix(s ^ np.uint64(k * 0x9E3779B9 + 1)).min() for k in range(PERMUTATIONS)], np.uint64)
-                rows.append((int(cls[i]), len(s), s.astype("<u8").tobytes(), prefix.astype("<u8").tobytes(), mins.astype("<u8").tobytes()))
-            yield pd.DataFrame(rows, columns=["cls", "n", "shingles", "prefix", "mins"])
+                rows.append((int(cls[i]), len(s), s.astype("<u8").tobytes(), prefix.astype("<u8").tobytes(), mins.astype("<u8").tobytes(), sketch_of(s)))
+            yield pd.DataFrame(rows, columns=["cls", "n", "shingles", "prefix", "mins", "sketch"])
 
     return run
 
@@ -232,6 +240,56 @@ def reaches(na, ia, nb, ib, percent: int) -> np.ndarray:
     return np.minimum(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb)
 
 
+def sketches(column: pd.Series) -> np.ndarray:
+    """Packed sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column), "<u8").reshape(len(column), SKETCH_BITS // 64)
+
+
+def may_link(na, x, nb, y, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and sketches can overlap enough: they differ in no fewer shingles than bits."""
+    differ = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (na + nb - differ) * (100 + percent) >= 2 * percent * (na + nb)
+
+
+PAIRS = "a long, b long, na long, nb long, ca long, cb long, cell long"
+POSTS = "value long, n int, component long, cls long, place int"
+
+
+def mixed_lists(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The posting lists whose members lie in several components."""
+    held = [p for p in parts if len(p)]
+    if held:
+        df = pd.concat(held)
+        df = df.iloc[np.argsort(df["value"].to_numpy(), kind="stable")]
+        v, c = df["value"].to_numpy(), df["component"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        mixed = np.maximum.reduceat(c, cut) != np.minimum.reduceat(c, cut)
+        yield df[np.repeat(mixed, np.diff(np.append(cut, len(v))))]
+
+
+class Lists:
+    """Posting lists of one task, in the order that arrange(value, n, cls) gives, and the pairs picked from them."""
+
+    def __init__(self, held: list[pd.DataFrame], percent: int, arrange) -> None:
+        df = pd.concat(held)
+        order = arrange(*(df[x].to_numpy(np.int64) for x in ("value", "n", "cls")))
+        self.v, self.n, self.c, self.k, self.at, self.cell = (df[x].to_numpy(np.int64)[order] for x in ("value", "n", "component", "cls", "place", "cell"))
+        self.bits, self.percent = sketches(df["sketch"])[order], percent
+
+    def worth(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) lie in different components and can still overlap enough."""
+        n, at = self.n, self.at
+        ok = np.flatnonzero((self.c[i] != self.c[j]) & reaches(n[i], at[i], n[j], at[j], self.percent))
+        i, j = i[ok], j[ok]
+        return ok[may_link(n[i], self.bits[i], n[j], self.bits[j], self.percent)]
+
+    def rows(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        swap = self.k[i] > self.k[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        made = pd.DataFrame({"a": self.k[i], "b": self.k[j], "na": self.n[i], "nb": self.n[j], "ca": self.c[i], "cb": self.c[j], "cell": self.cell[i]})
+        return made.drop_duplicates(["a", "b"])
+
+
 def next_pairs(percent: int):
     """For each member of a posting list, the next few in an order of the list's own, if in another component."""
 
@@ -239,16 +297,14 @@ def next_pairs(percent: int):
         held = [p for p in parts if len(p)]
         if not held:
             return
-        df = pd.concat(held)
-        v, n, c, k, at = (df[x].to_numpy(np.int64) for x in ("value", "n", "component", "cls", "place"))
-        order = np.lexsort((mix((k ^ v).view(np.uint64)), v))
-        v, n, c, k, at = v[order], n[order], c[order], k[order], at[order]
-        out = []
+        lists = Lists(held, percent, lambda v, n, k: np.lexsort((mix((k ^ v).view(np.uint64)), v)))
+        first, second = [], []
         for step in range(1, STEPS + 1):
-            ok = (v[step:] == v[:-step]) & (c[step:] != c[:-step])
-            ok &= reaches(n[step:], at[step:], n[:-step], at[:-step], percent)
-            out.append(np.column_stack((np.minimum(k[step:], k[:-step])[ok], np.maximum(k[step:], k[:-step])[ok])))
-        yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+            i = np.flatnonzero(lists.v[step:] == lists.v[:-step])
+            ok = lists.worth(i, i + step)
+            first.append(i[ok])
+            second.append(i[ok] + step)
+        yield lists.rows(np.concatenate(first), np.concatenate(second))
 
     return run
 
@@ -260,34 +316,43 @@ def cross_pairs(percent: int):
         held = [p for p in parts if len(p)]
         if not held:
             return
-        df = pd.concat(held)
-        v, n, c, k, at = (df[x].to_numpy(np.int64) for x in ("value", "n", "component", "cls", "place"))
-        order = np.lexsort((k, n, v))
-        v, n, c, k, at = v[order], n[order], c[order], k[order], at[order]
+        lists = Lists(held, percent, lambda v, n, k: np.lexsort((k, n, v)))
+        v, n = lists.v, lists.n
         cut = np.append(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))), len(v))
-        mixed = np.flatnonzero(np.maximum.reduceat(c, cut[:-1]) != np.minimum.reduceat(c, cut[:-1]))
-        out, size = [], 0
-        for i in mixed:
-            a, b = cut[i], cut[i + 1]
+        out: list[pd.DataFrame] = []
+        size = 0
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
             end = np.searchsorted(n[a:b], n[a:b] * 100 // percent, "right")
             for j in range(b - a - 1):
                 y = np.arange(a + j + 1, a + max(end[j], j + 1))
-                y = y[(c[y] != c[a + j]) & reaches(n[y], at[y], n[a + j], at[a + j], percent)]
+                y = y[lists.worth(np.full(len(y), a + j), y)]
                 if len(y):
-                    out.append(np.column_stack((np.minimum(k[y], k[a + j]), np.maximum(k[y], k[a + j]))))
+                    out.append(lists.rows(np.full(len(y), a + j), y))
                     size += len(y)
-            if size > 500_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
-                if len(out[0]) > 250_000:
-                    yield pd.DataFrame(out.pop(), columns=["a", "b"])
+            if size > 250_000:
+                out = [pd.concat(out).drop_duplicates(["a", "b"])]
+                if len(out[0]) > 125_000:
+                    yield out.pop()
                 size = sum(map(len, out))
         if out:
-            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+            yield pd.concat(out).drop_duplicates(["a", "b"])
+
+    return run
+
+
+def sift(percent: int):
+    """Pairs with both sketches, without those that cannot link."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            na, nb = part["na"].to_numpy(np.int64), part["nb"].to_numpy(np.int64)
+            keep = may_link(na, sketches(part["x"]), nb, sketches(part["y"]), percent) if len(part) else np.zeros(0, bool)
+            yield part.loc[keep, ["a", "b", "na", "nb", "ca", "cb", "cell"]]
 
     return run
 
 
-SLICED = "cell long, deal int, frag int, cls long, other long, data binary"
+SLICED = "cell long, deal int, frag int, cls long, other long, sizes long, ca long, cb long, data binary"
 
 
 def slice_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,12 +361,12 @@ def slice_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for cell, deal, cuts, cls, data in zip(part["cell"], part["deal"], part["cuts"], part["cls"], part["shingles"], strict=True):
             if cuts == 1:
-                rows.append((cell, deal, 0, cls, 0, data))
+                rows.append((cell, deal, 0, cls, 0, 0, 0, 0, data))
                 continue
             h = np.frombuffer(data, "<u8")
             at = np.searchsorted(fragment_of(h, cuts), np.arange(cuts + 1))
-            rows += [(cell, deal, f, cls, 0, h[at[f] : at[f + 1]].tobytes()) for f in range(cuts)]
-        yield pd.DataFrame(rows, columns=["cell", "deal", "frag", "cls", "other", "data"])
+            rows += [(cell, deal, f, cls, 0, 0, 0, 0, h[at[f] : at[f + 1]].tobytes()) for f in range(cuts)]
+        yield pd.DataFrame(rows, columns=["cell", "deal", "frag", "cls", "other", "sizes", "ca", "cb", "data"])
 
 
 def count_overlaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,46 +374,50 @@ def count_overlaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets: dict[tuple, np.ndarray] = {}
     pairs: list[tuple] = []
     for part in parts:
-        for cell, deal, frag, cls, other, data in zip(part["cell"], part["deal"], part["frag"], part["cls"], part["other"], part["data"], strict=True):
+        for cell, deal, frag, cls, other, *more, data in part.itertuples(index=False):
             if data is not None:
                 sets[cell, deal, frag, cls] = np.frombuffer(data, "<u8")
             else:
-                pairs.append((cell, deal, frag, cls, other))
+                pairs.append((cell, deal, frag, cls, other, *more))
     rows = []
-    for cell, deal, frag, a, b in pairs:
+    for cell, deal, frag, a, b, *more in pairs:
         x, y = sets[cell, deal, frag, a], sets[cell, deal, frag, b]
         if len(x) > len(y):
             x, y = y, x
+        overlap = 0
         if len(x):
             at = np.searchsorted(y, x)
             at[at == len(y)] = len(y) - 1
-            rows.append((a, b, int((y[at] == x).sum())))
-    yield pd.DataFrame(rows, columns=["a", "b", "overlap"])
+            overlap = int((y[at] == x).sum())
+        rows.append((a, b, *more, overlap))
+    yield pd.DataFrame(rows, columns=["a", "b", "sizes", "ca", "cb", "overlap"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * overlap >= percent * union.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """The components (ca, cb) of the pairs of which 100 * overlap >= percent * union; None without pairs.
 
     A pair is counted in the cell of its first set. A cell with many pairs is dealt out
     by the first set, and one with many shingles is cut into fragments.
     """
     spark = sets.sparkSession
-    info = sets.select("cls", "n", "cell")
-    p = pairs.join(info.select(F.col("cls").alias("a"), F.col("n").alias("na"), "cell"), "a").join(info.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    p = stage(p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "pairs")
-    deals = stage(p.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("deals")), "deals")
-    p = stage(p.join(deals, "cell").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals"), "pairs")
+    p = stage(pairs.distinct(), "pairs")
+    if p.isEmpty():
+        return None
+    deals = p.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("deals"))
+    p = stage(p.join(stage(deals, "deals"), "cell").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals"), "dealt")
     ends = p.select("cell", "deal", F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(p.select("cell", "deal", F.col("b").alias("cls"), F.col("nb").alias("n")))
     need = ends.distinct()
     cuts = stage(need.groupBy("cell", "deal").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cuts")), "cuts")
     slices = stage(need.join(cuts, ["cell", "deal"]), "need").join(sets.select("cls", "shingles"), "cls")
     slices = slices.select("cell", "deal", "cuts", "cls", "shingles").mapInPandas(slice_sets, SLICED)
     frag = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("frag")
-    tasks = p.join(cuts, ["cell", "deal"]).select("cell", "deal", frag, F.col("a").alias("cls"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("data"))
+    sizes = (F.col("na") + F.col("nb")).alias("sizes")
+    tasks = p.join(cuts, ["cell", "deal"]).select("cell", "deal", frag, F.col("a").alias("cls"), F.col("b").alias("other"), sizes, "ca", "cb", F.lit(None).cast("binary").alias("data"))
     dealt = slices.unionByName(tasks).repartition(partitions(spark), "cell", "deal", "frag")
-    partial = dealt.mapInPandas(count_overlaps, "a long, b long, overlap long")
-    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return total.join(p, ["a", "b"]).filter(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
+    partial = dealt.mapInPandas(count_overlaps, "a long, b long, sizes long, ca long, cb long, overlap long")
+    total = partial.groupBy("a", "b", "sizes", "ca", "cb").agg(F.sum("overlap").alias("overlap"))
+    linked = total.filter(F.col("overlap") * 100 >= (F.col("sizes") - F.col("overlap")) * percent)
+    return stage(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -378,20 +447,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     cell = minima.join(lead, ["place", "value"]).groupBy("cls").agg(F.min("lead").alias("cell"))
     sets = stage(made.drop("mins").join(cell, "cls"), "celled")
 
-    links = stage(verified(leader_pairs(minima), sets, percent), "links")
     posts = stage(sets.select("cls", "n", "prefix").mapInPandas(explode_longs("prefix"), "cls long, n int, place int, value long"), "posts")
+    extra = sets.select("cls", "sketch", "cell")
+    label = sets.select("cls", F.col("cls").alias("component"))
+
+    def relabel(links: DataFrame | None) -> DataFrame:
+        """Labels after links between components."""
+        if links is None or links.isEmpty():
+            return label
+        found = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("low"))
+        return stage(label.join(found, "component", "left").select("cls", F.coalesce("low", "component").alias("component")), "labels")
 
     def listed(pick) -> DataFrame:
-        found = connected_components(links).withColumnRenamed("id", "cls")
-        label = stage(sets.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "labels")
         rows = posts.join(label, "cls").select("value", "n", "component", "cls", "place").repartition(partitions(spark), "value")
-        return rows.mapInPandas(pick(percent), "a long, b long").distinct()
-
-    for _ in range(ROUNDS):
-        links = stage(links.unionByName(verified(listed(next_pairs), sets, percent)).distinct(), "links")
-    final = connected_components(links.unionByName(verified(listed(cross_pairs), sets, percent)))
-
-    named = final.withColumnRenamed("id", "cls").join(classes, "cls")
+        rows = rows.mapInPandas(mixed_lists, POSTS).join(extra, "cls").repartition(partitions(spark), "value")
+        return rows.mapInPandas(pick(percent), PAIRS)
+
+    ends = sets.select("cls", F.col("n").cast("bigint").alias("n"), "sketch", "cell")
+    led = leader_pairs(minima).join(ends.toDF("a", "na", "x", "cell"), "a").join(ends.drop("cell").toDF("b", "nb", "y"), "b")
+    led = led.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    led = led.select("a", "b", "na", "nb", F.col("a").alias("ca"), F.col("b").alias("cb"), "cell", "x", "y").mapInPandas(sift(percent), PAIRS)
+    label = relabel(verified(led, sets, percent))
+    for pick in [next_pairs] * ROUNDS + [cross_pairs]:
+        label = relabel(verified(listed(pick), sets, percent))
+
+    named = label.join(classes, "cls")
     least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     linked = named.join(least, "component").select("cls", "component_id")
     table = stage(classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "classes")
