@@ -486,16 +486,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the row(s) of its smallest doc_id stay.
+    """docs without the near copies: of each component a row of its smallest doc_id stays.
 
-    Rows with a null doc_id stay. The rows to drop are joined by doc_id.
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays. The rows to drop
+    are joined by doc_id, and other columns, whatever their names, pass through.
     """
-    got = jaccard_components(docs)
-    gone = got.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    twice = got.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id")
-    again = kept.join(twice, kept["doc_id"] == twice["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["doc_id"], "left_anti").unionByName(again)
+    got = stage(jaccard_components(docs).select("doc_id", "component_id").filter("doc_id is not null"), "decided")
+    gone = got.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    twice = stage(got.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("doc_id").alias("twice")), "twice")
+    if twice.isEmpty():  # texts are dealt once only
+        return kept
+    again = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").unionByName(again)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
