@@ -271,6 +271,29 @@ def test_jaccard_edges(spark, odd):
     assert [tuple(r)[1:3] for r in rows if r["doc_id"] is None] == [(None, None)]
 
 
+def test_deduplicate_keeps_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text, 1, "x"), (1, text + " more", 2, None), (2, "a text of its own entirely", 3, "y"), (7, None, 4, "z"), (8, "", 5, "z"), (None, text, 6, "z"), (9, "said again and again today", 7, "p"), (9, "said again and again today", 7, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long, twice string")
+    kept = op7.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["gone"]) for r in kept.collect()) == [(-1, 6), (1, 2), (2, 3), (7, 4), (8, 5), (9, 7)]
+    assert op7.deduplicate(df.limit(0)).count() == 0
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 100, 900, 5000):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False))
+        for part in (0.0, 0.05, 0.11, 0.2, 0.5):
+            other = np.unique(np.concatenate((base[rng.random(len(base)) >= part], rng.integers(0, 2**64, int(n * part), dtype=np.uint64))))
+            x, y = (np.frombuffer(op7.sketch_of(s), "<u8")[None, :] for s in (base, other))
+            both = len(np.intersect1d(base, other))
+            if 100 * both >= 80 * (len(base) + len(other) - both):
+                assert op7.may_link(np.array([len(base)]), x, np.array([len(other)]), y, 80).all()
+    assert not op7.may_link(np.array([300]), np.frombuffer(op7.sketch_of(rng.integers(0, 2**64, 300, dtype=np.uint64)), "<u8")[None, :], np.array([300]), np.frombuffer(op7.sketch_of(rng.integers(0, 2**64, 300, dtype=np.uint64)), "<u8")[None, :], 80).any()
+
+
 # --- 8
 
 
