@@ -420,8 +420,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     return stage(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, copies for every row of docs (doc_id, text)."""
+def classed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies, cls, team for every row of docs (doc_id, text).
+
+    team names the component; component_id does not, where a doc_id has different texts.
+    """
     spark = docs.sparkSession
     prepare(spark)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -473,32 +476,62 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     named = label.join(classes, "cls")
     least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    linked = named.join(least, "component").select("cls", "component_id")
-    table = stage(classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "classes")
+    linked = named.join(least, "component").select("cls", "component_id", "component")
+    table = stage(classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies", F.coalesce("component", "cls").alias("team")), "classes")
     out = light.join(table, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).alias("copies"),
+        "cls",
+        "team",
     )
     none = F.lit(None).cast("bigint")
-    return out.unionByName(given.filter("doc_id is null").select("doc_id", none.alias("n_shingles"), none.alias("component_id"), none.alias("copies")))
+    return out.unionByName(given.filter("doc_id is null").select("doc_id", *[none.alias(x) for x in ("n_shingles", "component_id", "copies", "cls", "team")]))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies for every row of docs (doc_id, text)."""
+    return classed_components(docs, words, percent).select("doc_id", "n_shingles", "component_id", "copies")
+
+
+def class_column(words: int):
+    """The class of a text, as the components have it."""
+
+    @F.pandas_udf("long")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            frame = pd.DataFrame({"doc_id": np.zeros(len(part), np.int64), "text": part.to_numpy()})
+            got = [classes_of(*shingle_sets(texts, words), len(texts))[1] for _, texts in text_chunks(iter([frame]))]
+            yield pd.Series(np.concatenate(got) if got else np.zeros(0, np.int64))
+
+    return of
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component a row of its smallest doc_id stays.
+    """docs without the near copies: of each component one row of its smallest doc_id stays.
 
-    Rows with a null doc_id stay; of rows that repeat a doc_id one stays. The rows to drop
-    are joined by doc_id, and other columns, whatever their names, pass through.
+    Rows with a null doc_id stay. Rows that share a doc_id are decided by their classes:
+    of those of one class one stays, if the class is the one that its component keeps;
+    different texts under one doc_id do not touch each other. Rows of other doc_ids are
+    joined by doc_id alone. Other columns, whatever their names, pass through.
     """
-    got = stage(jaccard_components(docs).select("doc_id", "component_id").filter("doc_id is not null"), "decided")
-    gone = got.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    got = stage(classed_components(docs).select("doc_id", "component_id", "n_shingles", "cls", "team").filter("doc_id is not null"), "decided")
     twice = stage(got.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("doc_id").alias("twice")), "twice")
+    gone = got.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     if twice.isEmpty():  # texts are dealt once only
-        return kept
-    again = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").unionByName(again)
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    single = docs.join(twice, docs["doc_id"] == twice["twice"], "left_anti")
+    single = single.join(gone, single["doc_id"] == gone["gone"], "left_anti")
+    best = got.filter("n_shingles > 0").groupBy("team").agg(F.min(F.struct("doc_id", "cls")).alias("best")).select("best.doc_id", "best.cls")
+    stays = best.unionByName(got.filter("n_shingles = 0").select("doc_id", "cls").distinct())
+    stays = stage(stays.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").toDF("stay_id", "stay_cls"), "stays")
+    cls = "cls"
+    while cls in map(str.lower, docs.columns):
+        cls += "_"
+    again = docs.join(twice, docs["doc_id"] == twice["twice"], "left_semi").withColumn(cls, class_column(WORDS)("text"))
+    again = again.join(stays, (again["doc_id"] == stays["stay_id"]) & (again[cls] == stays["stay_cls"]), "left_semi")
+    return single.unionByName(again.dropDuplicates(["doc_id", cls]).drop(cls))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
