@@ -8,8 +8,8 @@ their number, checked against the total length and then decoded from chunked fra
 
 Results for edge cases: a null html is an empty payload; payloads below the limit are
 never revisits; a null page_id is written as response; rows that repeat a page_id are
-each written, and where it is the largest of its payload each is the response; a null
-url is empty; an empty table gives no rows; other columns are not read.
+each written once, each payload is a revisit or response by itself, and where the page_id
+is the largest of its payload each is the response; a null url is empty; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -180,8 +180,9 @@ def digests(pages: DataFrame) -> DataFrame:
     big = light.filter(F.col("n") >= REVISIT_BYTES)
     best = big.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("m")).filter("m > 1").drop("m")
     best = stage(best, "kept")  # both sides of the join are then exchanges, and a hot digest can be split
-    again = big.join(best, "digest").filter("page_id < keep").select("page_id", F.col("keep").alias("refers_to")).distinct()
-    return pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).join(again, "page_id", "left")
+    again = big.join(best, "digest").filter("page_id < keep").select("page_id", "digest", F.col("keep").alias("refers_to")).distinct()
+    # a page_id can have several payloads; with it in the key a hot digest stays spread
+    return pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).join(again, ["page_id", "digest"], "left")
 
 
 def write_warc(pages: DataFrame) -> DataFrame:

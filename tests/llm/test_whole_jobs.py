@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm import op4_warc as op4
 from graphloom.llm import op7_jaccard_join as op7
 
 
@@ -12,3 +13,11 @@ def test_deduplicate_tells_texts_of_one_doc_id_apart(spark):
     assert kept.columns == ["doc_id", "text", "cls"]
     got = sorted((r["doc_id"], r["text"] or "") for r in kept.collect())
     assert got == sorted([(3, a), (5, b), (11, ""), (12, "one more text of this id")] + [(11, f"clean text number {i} of its own") for i in range(20)])
+
+
+def test_warc_decides_each_payload_of_a_page_id(spark):
+    hot, other, small, own = "h" * 3000, "o" * 2000, "small", "u" * 5000
+    rows = [(7, "u1", hot), (7, "u2", other), (7, "u3", small), (7, "u4", own), (8, "v", hot), (9, "w", other), (9, "w", small)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op4.read_warc(op4.write_warc(pages)).collect())
+    assert got == [(7, 5, "response", None), (7, 2000, "revisit", 9), (7, 3000, "revisit", 8), (7, 5000, "response", None), (8, 3000, "response", None), (9, 5, "response", None), (9, 2000, "response", None)]
