@@ -41,6 +41,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements of the HTML standard by what they say of the text inside, and names that sites give to page furniture.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "noframes", "xmp"}
+# Of these, elements whose content is characters only: no tag or comment begins inside.
+CHARACTERS = {"script", "style", "noscript", "textarea", "title", "iframe", "noframes", "xmp"}
+ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in CHARACTERS}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 FURNITURE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "head"}
 LANDMARKS = {"article", "main"}
@@ -82,8 +85,9 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
             held = []
 
-    for m in TOKEN.finditer(page):
-        token = m[0]
+    at = 0
+    while m := TOKEN.match(page, at):
+        token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
             if not skip and zone != DROPPED:
                 held.append(token)
@@ -92,6 +96,13 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             continue
         closing = token[1] == "/"
         name = re.match(r"</?([a-zA-Z][^\s>/]*)", token)[1].lower()
+        if name in CHARACTERS and not closing and not token.endswith("/>"):
+            end = ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            elif not skip:  # without an end it takes the rest of the page
+                break
+            continue
         if skip:
             if closing and name == skip:
                 skip = ""

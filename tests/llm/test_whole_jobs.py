@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm import op4_warc as op4
 from graphloom.llm import op7_jaccard_join as op7
+from graphloom.llm import op9_page_differencing as op9
 
 
 def test_deduplicate_tells_texts_of_one_doc_id_apart(spark):
@@ -21,3 +22,11 @@ def test_warc_decides_each_payload_of_a_page_id(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op4.read_warc(op4.write_warc(pages)).collect())
     assert got == [(7, 5, "response", None), (7, 2000, "revisit", 9), (7, 3000, "revisit", 8), (7, 5000, "response", None), (8, 3000, "response", None), (9, 5, "response", None), (9, 2000, "response", None)]
+
+
+def test_scripts_end_at_their_closing_tag():
+    text = lambda page: [t for _, t in op9.blocks_of(page)]
+    assert text("<p>a</p><script>for(i=0;i<n;i++){f()}</script><p>b</p><script>x</script><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><script>var a='<!--'; b='</div>'</SCRIPT ><p>b</p>") == ["a", "b"]
+    assert text("<style>a<b{}</style><title>1 <2 </title><p>a<svg><style>x<y</style><title>t</title></svg></p>b<textarea><!--</textarea>c") == ["a", "bc"]
+    assert text("<p>a</p><script>if(a<b)<p>open</p>") == ["a"] and text("<svg><title>x</svg><p>a</p>") == ["a"]
