@@ -1,22 +1,28 @@
 """HTML extraction by differencing pages with their nearest URLs.
 
 Each page is cut into text blocks. Pages are sorted by host and URL path, and each is
-aligned with its nearest neighbours on either side, within the host, by the longest
+aligned with the nearest different pages on either side, within the host, by the longest
 common subsequence of its lines; shared lines are the site's template and are deleted.
+Copies of a page prove nothing and are passed over, however many there are. Whether a page
+is a copy is judged by the lines that are left after those common to the host are taken
+out: lines on at least COMMON different pages and on half of them. Pages count as
+different if neither host and path nor the lines are equal.
 Markup decides only what it states: scripts, styles, forms, navigation, headers, footers,
 asides and elements that name themselves adverts, notices or comments are never text, and
 what lies inside article or main is protected, since copies of one article under two
 URLs share all of it.
 
-The sort is a range exchange of line hashes; neighbours lie beside each other within a
-partition, and the few rows at its ends are compared with those of the next in a second
-pass over four rows a partition. No host is gathered in one task.
+The sort is a range exchange of line hashes, once in each direction, so that a page meets
+only pages before it and a task holds a few different pages at a time. The pages at the
+beginning of a partition that find too few go on with the last different pages of the
+partitions before, in a second pass over these pages only. No host is gathered in one task.
 
 Results for edge cases: a null or empty html, or one without text, has an empty text and
 0 characters; a null url belongs to the host and path that are empty; a page that is
-alone in its host keeps its unshared lines; a neighbour that shares four fifths of a
-page without landmarks is a copy and proves nothing; repeated rows are each returned; an
-empty table gives no rows; other columns are not read.
+alone in its host keeps its lines; a page without landmarks that shares half
+of the lines and four fifths of the characters left of it with another is a copy (of the
+whole, where less than a fiftieth of the characters is left); repeated rows are each
+returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -35,8 +42,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.staging import partitions, prepare, stage
 
-NEAR = 2  # neighbours on each side
-COPY = 0.8  # share of a page's own lines that marks a copy
+NEAR = 2  # different pages on each side
+COPY = 0.8  # share of the characters left of a page that marks a copy, with half of the lines
+COMMON = 3  # different pages of a host, at least, that have a common line
+LITTLE = 0.02  # of a page's characters: too little left to judge by
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements of the HTML standard by what they say of the text inside, and names that sites give to page furniture.
@@ -152,7 +161,7 @@ def url_key(url: str | None) -> tuple[str, str]:
     return host, re.sub(r"(/|/?index\.html?|\.html?)$", "", path)
 
 
-PARSED = "rid long, page_id long, url string, host string, path string, landmark boolean, zones array<int>, lines array<string>, open array<long>"
+PARSED = "rid long, page_id long, url string, host string, path string, landmark boolean, zones array<int>, lines array<string>, open array<long>, chars array<int>, content long"
 
 
 def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,11 +170,12 @@ def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page, url, text in zip(part["page_id"], part["url"], part["html"], strict=True):
             found = blocks_of(text or "")
+            chars = [len(t) for z, t in found if z == OPEN]
             hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for z, t in found if z == OPEN]
             host, path = url_key(url)
-            rows.append((n, None if pd.isna(page) else int(page), url, host, path, any(z == KEPT for z, _ in found), [z for z, _ in found], [t for _, t in found], hashes))
+            rows.append((n, None if pd.isna(page) else int(page), url, host, path, any(z == KEPT for z, _ in found), [z for z, _ in found], [t for _, t in found], hashes, chars, xxhash.xxh3_64_intdigest(np.array(hashes, np.int64).tobytes()) - 2**63))
             n += 1
-        yield pd.DataFrame(rows, columns=["rid", "page_id", "url", "host", "path", "landmark", "zones", "lines", "open"]).astype({"page_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["rid", "page_id", "url", "host", "path", "landmark", "zones", "lines", "open", "chars", "content"]).astype({"page_id": "Int64"})
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,70 +235,138 @@ def _match(x: list[int], y: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: np.ndarray, near: np.ndarray, landmark: bool) -> list[int]:
-    """Indices of own lines that the neighbour shares; none if it is a copy."""
-    got = common(own, near)
-    if not landmark and len(got) >= COPY * len(own):
-        return []
-    return got.tolist()
+class Page(NamedTuple):
+    """Open lines of a page; left is false for the lines that are common to the host."""
 
+    rid: int
+    host: str
+    landmark: bool
+    open: np.ndarray
+    chars: np.ndarray
+    left: np.ndarray
 
-LIGHT = ["rid", "host", "landmark", "open"]
-PAIRED = "rid long, shared array<int>, host string, landmark boolean, open array<long>, edge int, pid int, place int"
 
+def is_copy(page: Page, got: np.ndarray) -> bool:
+    """Whether the lines at got, which another page shares, make it a copy of the page."""
+    left, chars = page.left, page.chars
+    if chars[left].sum() <= LITTLE * chars.sum():
+        left = np.ones(len(left), bool)
+    shared = left[got]
+    return 2 * shared.sum() >= left.sum() and chars[got][shared].sum() >= COPY * chars[left].sum()
+
+
+class Different:
+    """The last pages of a host of which none is a copy of another."""
+
+    def __init__(self) -> None:
+        self.pages: list[Page] = []
+
+    def meet(self, page: Page, wanted: int = NEAR, join: bool = True) -> tuple[set[int], int]:
+        """Lines of the page that the nearest of these show to be shared, and how many showed it; it then joins them."""
+        if self.pages and self.pages[-1].host != page.host:
+            self.pages = []
+        shared: set[int] = set()
+        met, copies = 0, []
+        for i in range(len(self.pages) - 1, -1, -1):
+            if met >= wanted and not join:
+                break
+            other = self.pages[i]
+            got = common(page.open, other.open)
+            copy = is_copy(page, got)
+            if copy:
+                copies.append(i)
+            if met < wanted and (not copy or page.landmark):
+                shared.update(got.tolist())
+                met += 0 if copy else 1
+        if join:
+            self.pages = [p for i, p in enumerate(self.pages) if i not in copies][-NEAR:] + [page]
+        return shared, met
+
+
+LIGHT = ["rid", "host", "landmark", "open", "chars", "left"]
+PAIRED = "rid long, shared array<int>, host string, landmark boolean, open array<long>, chars array<int>, left array<boolean>, need int, pid int, place int"
+RESULT, UNMET, LAST = 0, -1, -2  # rows of paired by place: lines found, pages with too few before them, last different pages
+
+
+def page_of(row: tuple) -> Page:
+    rid, host, landmark, lines, chars, left = row
+    return Page(int(rid), host, bool(landmark), np.asarray(lines, np.int64), np.asarray(chars, np.int64), np.asarray(left, bool))
+
+
+def as_rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[f.split()[0] for f in PAIRED.split(", ")])
 
-def pair_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows of a partition against their neighbours; its first and last rows are passed on too."""
-    pid, place = TaskContext.get().partitionId(), 0
-    window: list[tuple] = []
-    head: list[tuple] = []
-    found: dict[int, set[int]] = {}
-    out: list[tuple] = []
-
-    def compare(a: tuple, b: tuple) -> None:
-        for x, y in ((a, b), (b, a)):
-            if x[1] == y[1] and len(x[3]) and len(y[3]):
-                found.setdefault(x[0], set()).update(shared_lines(np.asarray(x[3]), np.asarray(y[3]), x[2]))
 
+def pair_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows of a partition against different pages before them; what else the second pass needs."""
+    pid, before, first = TaskContext.get().partitionId(), Different(), None
     for part in parts:
+        out: list[tuple] = []
         for row in zip(*(part[c] for c in LIGHT), strict=True):
-            for other in window:
-                compare(other, row)
-            window.append(row)
-            if len(head) < NEAR:
-                head.append((*row, place))
-            place += 1
-            if len(window) > NEAR:
-                gone = window.pop(0)
-                if lines := found.pop(gone[0], None):
-                    out.append((gone[0], sorted(lines), None, None, None, 0, pid, 0))
+            page = page_of(row)
+            if first is None:
+                first = page.host
+            shared, met = before.meet(page)
+            if shared:
+                out.append((page.rid, sorted(shared), None, None, None, None, None, 0, pid, RESULT))
+            if met < NEAR and page.host == first and pid:
+                out.append((page.rid, None, page.host, page.landmark, page.open, page.chars, page.left, NEAR - met, pid, UNMET))
         if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in PAIRED.split(", ")])
-            out = []
-    for row in window:
-        if lines := found.pop(row[0], None):
-            out.append((row[0], sorted(lines), None, None, None, 0, pid, 0))
-    ends = {r[4]: r for r in head} | {place - len(window) + i: (*r, place - len(window) + i) for i, r in enumerate(window)}
-    out += [(r[0], None, r[1], bool(r[2]), r[3], 1, pid, r[4]) for _, r in sorted(ends.items())]
-    if out:
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in PAIRED.split(", ")])
-
-
-def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Comparisons across partitions: rows at most NEAR apart, of different partitions."""
-    rows = list(pdf.sort_values(["pid", "place"])[["rid", "host", "landmark", "open", "pid", "place"]].itertuples(index=False, name=None))
-    found: dict[int, set[int]] = {}
-    size = {pid: place + 1 for *_, pid, place in rows}
-    start, total = {}, 0
-    for pid in sorted(size):
-        start[pid], total = total, total + size[pid]
-    at = lambda r: start[r[4]] + r[5]  # noqa: E731  place in the whole order
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 : i + 1 + 2 * NEAR]:
-            if a[4] != b[4] and at(b) - at(a) <= NEAR and a[1] == b[1] and len(a[3]) and len(b[3]):
-                found.setdefault(a[0], set()).update(shared_lines(np.asarray(a[3]), np.asarray(b[3]), a[2]))
-                found.setdefault(b[0], set()).update(shared_lines(np.asarray(b[3]), np.asarray(a[3]), b[2]))
-    return pd.DataFrame({"rid": pd.Series(list(found), dtype="int64"), "shared": pd.Series([sorted(v) for v in found.values()], dtype=object)})
+            yield as_rows(out)
+    if before.pages:
+        yield as_rows([(p.rid, None, p.host, p.landmark, p.open, p.chars, p.left, i, pid, LAST) for i, p in enumerate(before.pages)])
+
+
+def carried(last: pd.DataFrame) -> dict[int, list[Page]]:
+    """The different pages that lie before each partition, by those that each partition ends with."""
+    out: dict[int, list[Page]] = {}
+    now = Different()
+    rows = {pid: part.sort_values("need") for pid, part in last.groupby("pid")}
+    for pid in sorted(rows):
+        out[pid] = list(now.pages)
+        for row in rows[pid][LIGHT].itertuples(index=False, name=None):
+            now.meet(page_of(row))
+    return out
+
+
+def meet_carried(shared):
+    """Pages that met too few within their partition, against the last pages of those before."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = shared.value
+        for part in parts:
+            rids, found = [], []
+            for need, pid, *row in part[["need", "pid", *LIGHT]].itertuples(index=False, name=None):
+                before = Different()
+                before.pages = of.get(pid, [])
+                lines, _ = before.meet(page_of(tuple(row)), int(need), join=False)
+                if lines:
+                    rids.append(int(row[0]))
+                    found.append(sorted(lines))
+            yield pd.DataFrame({"rid": pd.Series(rids, dtype="int64"), "shared": pd.Series(found, dtype=object)})
+
+    return run
+
+
+def walk(keys: DataFrame, down: bool) -> DataFrame:
+    """rid, shared: the lines of each page that different pages before it in the order show."""
+    spark = keys.sparkSession
+    order = [F.desc(c) if down else F.asc(c) for c in ("host", "path", "rid")]
+    ranged = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*LIGHT)
+    paired = stage(ranged.mapInPandas(pair_up, PAIRED), "paired")
+    last = paired.filter(F.col("place") == LAST).select("pid", "need", *LIGHT).toPandas()  # a few pages a partition
+    across = paired.filter(F.col("place") == UNMET).select("need", "pid", *LIGHT).mapInPandas(meet_carried(spark.sparkContext.broadcast(carried(last))), "rid long, shared array<int>")
+    return paired.filter(F.col("place") == RESULT).select("rid", "shared").unionByName(across)
+
+
+def common_lines(parsed: DataFrame) -> DataFrame:
+    """site, lines: of each host the lines on at least COMMON different pages and on half of them."""
+    pages = parsed.filter(F.size("open") > 0).select(F.xxhash64("host").alias("site"), F.xxhash64("path").alias("path"), "content", "open")
+    different = F.least(F.count_distinct("path"), F.count_distinct("content"))
+    total = stage(pages.groupBy("site").agg(different.alias("pages")).filter(F.col("pages") >= COMMON), "sites")
+    lines = pages.select("site", "path", "content", F.explode(F.array_distinct("open")).alias("line"))
+    often = stage(lines.groupBy("site", "line").agg(different.alias("m")).filter(F.col("m") >= COMMON), "often")
+    return stage(often.join(total, "site").filter(F.col("m") * 2 >= F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("common")), "common")
 
 
 FINAL = "page_id long, url string, text string, n_chars long, n_shared int"
@@ -316,12 +394,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     prepare(spark)
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     parsed = stage(given.mapInPandas(parse, PARSED), "parsed")
-    keys = parsed.select(*LIGHT, "path")
-    ranged = keys.repartitionByRange(partitions(spark), "host", "path", "rid").sortWithinPartitions("host", "path", "rid")
-    paired = stage(ranged.mapInPandas(pair_up, PAIRED), "paired")
-    ends = paired.filter("edge = 1").select("rid", "host", "landmark", "open", "pid", "place")
-    across = ends.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: stitch(pdf), "rid long, shared array<int>")
-    every = paired.filter("edge = 0").select("rid", "shared").unionByName(across)
+    pages = parsed.filter(F.size("open") > 0).select("rid", "host", "path", "landmark", "open", "chars", F.xxhash64("host").alias("site"))
+    left = F.transform("open", lambda x: ~F.coalesce(F.array_contains("common", x), F.lit(False)))
+    keys = stage(pages.join(common_lines(parsed), "site", "left").select("rid", "host", "path", "landmark", "open", "chars", left.alias("left")), "keys")
+    every = walk(keys, False).unionByName(walk(keys, True))
     shared = stage(every.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
     return parsed.join(shared, "rid", "left").select("page_id", "url", "zones", "lines", "shared").mapInPandas(assemble, FINAL)
 

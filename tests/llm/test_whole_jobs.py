@@ -30,3 +30,22 @@ def test_scripts_end_at_their_closing_tag():
     assert text("<p>a</p><script>var a='<!--'; b='</div>'</SCRIPT ><p>b</p>") == ["a", "b"]
     assert text("<style>a<b{}</style><title>1 <2 </title><p>a<svg><style>x<y</style><title>t</title></svg></p>b<textarea><!--</textarea>c") == ["a", "bc"]
     assert text("<p>a</p><script>if(a<b)<p>open</p>") == ["a"] and text("<svg><title>x</svg><p>a</p>") == ["a"]
+
+
+def test_large_templates_are_deleted_and_copies_kept(spark):
+    menu, foot = "".join(f"<li>Menu entry {i}</li>" for i in range(14)), "".join(f"<div>Foot line {i}</div>" for i in range(6))
+    page = lambda lines: f"<body><table><tr><td>{menu}</td></tr></table>{''.join(f'<div>{x}</div>' for x in lines)}{foot}</body>"
+    story = lambda i: [f"Story {i} has a line {k}" for k in range(3)]
+    rows = [(i, f"http://a.org/s/{i:02}", page(story(i))) for i in range(12)]
+    rows += [(100 + i, f"http://b.org/s/5?session={i}", page([*story(105), f"Seen {i}"])) for i in range(9)] + [(110 + i, f"http://b.org/s/{i}", page(story(110 + i))) for i in (1, 2, 8, 9)]  # near copies under one path
+    rows += [(200 + i, f"http://c.org/p/{i:02}", page(story(200))) for i in range(9)] + [(220 + i, f"http://c.org/z/{i}", page(story(220 + i))) for i in range(4)]  # copies under several paths
+    rows += [(300, "http://d.org/1", page(story(300))), (301, "http://d.org/2", page(story(300)))]  # nothing shows the template
+    want = {i: " ".join(story(105) + [f"Seen {i - 100}"] if 100 <= i < 110 else story(200 if 200 <= i < 210 else i)) for i, *_ in rows if i < 300}
+    for n in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            got = {r["page_id"]: r["text"] for r in op9.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {i: t for i, t in got.items() if i < 300} == want
+        assert all(" ".join(story(300)) in got[i] for i in (300, 301))
