@@ -9,7 +9,9 @@ of the lowest cross-entropy a character wins. Texts whose best cross-entropy lie
 what calibration texts of that language, kept out of the counts, make likely, for their
 length, are rejected (column rejected).
 
-The sample is bounded by SAMPLE_BYTES a language, chosen by a hash of doc_id, so the
+The sample is bounded by SAMPLE_BYTES a language, taken in the order of a hash from texts
+and pieces of long texts; each labelled language with a letter outside the held-out fold
+has at least one in it. Calibration takes what follows, of other documents. So the
 broadcast models are bounded too: at most 4 n-grams a sampled character at 8 bytes, with
 4 bytes a language.
 
@@ -35,12 +37,15 @@ from graphloom.llm.staging import prepare
 ORDER = 4
 SAMPLE_BYTES = 1 << 20  # of text that a language's counts are taken from
 CALIBRATION_BYTES = 1 << 18
+PIECE_CHARS = 1 << 16  # of long texts, drawn each by itself
+SPARE = 2  # times the wanted bytes are drawn, so that the order of the hash decides
 FOLDS = 5
 CHUNK_CHARS = 1 << 20  # scored at once
 PAD = 2
 DEVIATIONS, SLACK = 8.0, 0.5  # of the calibration texts; nats a character
 CONFIDENCE_CHARS = 50.0  # characters that the score counts as independent, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what normalise leaves, to the engine
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -227,16 +232,48 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, calibration_bytes: int = CALIBRATION_BYTES) -> Models | None:
-    """Models from labelled rows outside the held-out fold; a bounded sample of each language."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """lang, doc_id, text, u: labelled rows outside the held-out fold, long texts cut, each with a hash from 0 to 1.
+
+    The hash covers the text too, so that texts of one doc_id are drawn each by itself.
+    """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    size = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"))
-    share = F.conv(F.substring(F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    want = usable.select("lang", "text", share.alias("u")).join(F.broadcast(size), "lang")  # a row a language
-    a, b = F.lit(float(sample_bytes)) / F.col("b"), F.lit(float(calibration_bytes)) / F.col("b")
-    scale = F.least(F.lit(1.0), F.lit(1.0) / (a + b))
-    picked = want.filter(F.col("u") < (a + b) * scale).select("lang", "text", (F.col("u") >= a * scale).alias("calibration"))
-    return fit(picked.orderBy("lang", "text").toPandas())
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    parts = F.when(F.octet_length("text") > PIECE_CHARS, cut).otherwise(F.array("text"))
+    cuts = usable.select("lang", "doc_id", F.posexplode(parts).alias("k", "text")).filter(F.col("text").rlike(LETTER))
+    name = F.concat_ws(":", F.lit("sample"), F.col("doc_id").cast("string"), F.col("k").cast("string"), F.xxhash64("text").cast("string"))
+    u = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return cuts.select("lang", "doc_id", "text", u.alias("u"))
+
+
+def draw(drawn: pd.DataFrame, sample_bytes: int, calibration_bytes: int) -> pd.DataFrame:
+    """lang, text, calibration: of each language, in the order of the hash, training texts up to the limit, then calibration.
+
+    A language always has a training text. Where there is not enough for both, they share
+    what there is in proportion. Calibration takes no piece of a document learned from.
+    """
+    out = []
+    for _, part in drawn.groupby("lang"):
+        part = part.sort_values(["u", "text"])
+        size = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in part["text"]), np.int64, len(part))
+        scale = min(1.0, size.sum() / (sample_bytes + calibration_bytes))
+        train = np.cumsum(size) - size < sample_bytes * scale
+        train[0] = True
+        rest = ~train & ~part["doc_id"].isin(part["doc_id"][train]).to_numpy()
+        more = np.where(rest, size, 0)
+        rest &= np.cumsum(more) - more < calibration_bytes
+        out.append(part.assign(calibration=rest)[train | rest])
+    return pd.concat(out)[["lang", "text", "calibration"]].sort_values(["lang", "text"]) if out else pd.DataFrame({"lang": [], "text": [], "calibration": np.zeros(0, bool)})
+
+
+def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, calibration_bytes: int = CALIBRATION_BYTES) -> Models | None:
+    """Models from labelled rows outside the held-out fold; a bounded sample of each language, of which each has a text."""
+    cut = pieces(docs)
+    size = cut.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min("u").alias("least"))
+    want = cut.join(F.broadcast(size), "lang")  # a row a language
+    share = F.lit(float(SPARE * (sample_bytes + calibration_bytes))) / F.col("b")
+    drawn = want.filter((F.col("u") < share) | (F.col("u") == F.col("least"))).select("lang", "doc_id", "text", "u")
+    return fit(draw(drawn.dropDuplicates(["lang", "u"]).toPandas(), sample_bytes, calibration_bytes))
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"

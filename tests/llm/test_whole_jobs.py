@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm import op4_warc as op4
+from graphloom.llm import op6_language_id as op6
 from graphloom.llm import op7_jaccard_join as op7
 from graphloom.llm import op9_page_differencing as op9
 
@@ -49,3 +50,29 @@ def test_large_templates_are_deleted_and_copies_kept(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert {i: t for i, t in got.items() if i < 300} == want
         assert all(" ".join(story(300)) in got[i] for i in (300, 301))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    words = lambda letters, n: " ".join(letters[i % len(letters)] + letters[i * i % len(letters)] + letters[i // 3 % len(letters)] for i in range(n))
+    own = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst"}
+    rows = [(i, words(own["aa"], 900 + i), "aa") for i in range(40)]  # many texts, each a small part
+    rows += [(50, words(own["aa"], 90_000), "aa"), (1001, words(own["bb"], 60), "bb")]  # a long one; a single small one
+    rows += [(1100 + i, words(own["cc"], 60_000 + i), "cc") for i in range(4)]  # each larger than the sample
+    rows += [(1203, words(own["dd"], 50 + i), "dd") for i in range(60)] + [(1204, "123 456", "ee")]  # one doc_id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r["doc_id"] for r in docs.filter(op6.held_out()).collect()}
+    assert not fold & {1001, 1203} and any(i not in fold for i in range(1100, 1104))
+    for sample in (2000, 20_000):
+        models = op6.learn(docs, sample, sample // 4)
+        assert models.languages == sorted(own)
+        got = models.predict([op6.normalise(words(x, 40)) for x in own.values()])
+        assert got[0] == list(own) and not got[2].any()
+    assert sum(op6.identify(docs.filter("lang in ('bb', 'cc')")).toPandas()["rejected"]) == 0
+
+
+def test_sample_follows_the_hash_and_calibration_other_documents():
+    frame = op6.pd.DataFrame({"lang": "x", "doc_id": [1, 1, 2, 3, 4], "text": ["a" * 10, "b" * 10, "c" * 10, "d" * 10, "e" * 10], "u": [0.1, 0.3, 0.2, 0.4, 0.5]})
+    got = op6.draw(frame, 15, 15)
+    assert sorted(zip(got["text"].str[0], got["calibration"])) == [("a", False), ("c", False), ("d", True), ("e", True)]
+    one = op6.draw(frame[:1], 1, 100)
+    assert one["calibration"].tolist() == [False]
