@@ -7,8 +7,11 @@ are encoded by the library's own threads. Where no piece has a marker behind ano
 character, merges cannot cross the start of a marker run, so text is split there first,
 and each different segment of a batch is encoded once; a worker remembers a bounded number
 of them. Ids are decoded through the bytes of their pieces, and by the library where these
-are not UTF-8. Each task compares some texts of every batch with the reference library's
-ids, and their decoding with the tokenizers library's, and fails on any difference.
+are not UTF-8. Every segment is compared with the reference library's ids when it becomes
+known, so all texts are covered; where text is not split, or the model normalises it, every
+text is compared. Some whole texts of every batch are compared too, and their decoding with
+the tokenizers library's; any difference fails the task. round_trip holds the decoding of
+every text against the text.
 
 Results for edge cases: a null text has null ids, null decoded and 0 tokens; an empty text
 has no ids; characters outside the vocabulary become byte pieces, or the unknown piece
@@ -202,7 +205,10 @@ class Codec:
         if self.known_chars > KNOWN_CHARS:
             self.known, self.known_chars = {}, 0
         new = sorted(set().union(*parts).difference(self.known))
-        self.known.update(zip(new, self.encode_segments(new), strict=True))
+        ids = self.encode_segments(new)
+        if self.checks_segments:
+            self.check_segments(new, ids)
+        self.known.update(zip(new, ids, strict=True))
         self.known_chars += sum(map(len, new)) + 8 * len(new)
         of = self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, p)), np.int32) for p in parts]
@@ -228,6 +234,20 @@ class Codec:
             at = next((i for i, (a, b) in enumerate(zip(want, ids, strict=False)) if a != b), min(len(want), len(ids)))
             raise ValueError(f"ids differ from the reference library's at {at} of {len(want)}")
 
+    @property
+    def checks_segments(self) -> bool:
+        """Whether every segment is compared as it becomes known; otherwise whole texts have to be."""
+        return self.segmented and self.plain
+
+    def check_segments(self, segments: list[str], ids: list[bytes]) -> None:
+        """Ids of segments against the reference library's; it puts the first marker before each but an empty one."""
+        mark = np.array([self.reference.piece_to_id(MARK)], np.int32).tobytes()
+        for at in range(0, len(segments), RUN):
+            own = segments[at : at + RUN]
+            for s, got, want in zip(own, ids[at : at + RUN], self.reference.encode(own, num_threads=THREADS), strict=True):
+                if got != (np.array(want, np.int32).tobytes() if s else mark):
+                    raise ValueError(f"ids of the segment {s[:100]!r} differ from the reference library's")
+
     def normalised(self, text: str) -> str:
         """What decoding gives back: the text itself where the model does not normalise."""
         return text if not self.model.charsmap and not self.model.squeeze else self.reference.decode(self.reference.encode(text))
@@ -257,7 +277,7 @@ def encoding(shared, parity_every: int):
                 ids = own.encode(texts)
                 back = own.decode(ids)
                 for i, t in enumerate(texts):
-                    if i == 0 or (seen + i) % parity_every == 0:
+                    if i == 0 or (seen + i) % parity_every == 0 or not own.checks_segments:
                         own.check(t, ids[i], back[i])
                 seen += len(texts)
                 null = rows["text"].isna().to_numpy()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+
+from graphloom.llm import op3_sentencepiece as op3
 from graphloom.llm import op4_warc as op4
 from graphloom.llm import op6_language_id as op6
 from graphloom.llm import op7_jaccard_join as op7
@@ -76,3 +79,15 @@ def test_sample_follows_the_hash_and_calibration_other_documents():
     assert sorted(zip(got["text"].str[0], got["calibration"])) == [("a", False), ("c", False), ("d", True), ("e", True)]
     one = op6.draw(frame[:1], 1, 100)
     assert one["calibration"].tolist() == [False]
+
+
+def test_every_segment_is_compared_with_the_reference(monkeypatch):
+    own = op3.Codec(open(op3.MODEL, "rb").read())
+    assert own.checks_segments
+    own.encode(["", " ", "a  b▁ ", "▁▁x", "日本 \n 😀 <0x41> <s> <unk>", "one two"])
+    real, wrong = own.encode_segments, op3.np.array([5, 6], op3.np.int32).tobytes()
+    monkeypatch.setattr(own, "encode_segments", lambda new: [wrong if s == "odd" else x for s, x in zip(new, real(new), strict=True)])
+    assert len(own.encode(["even more"])) == 1
+    with pytest.raises(ValueError, match="odd"):
+        own.encode(["first text", "an odd text"])
+    assert "odd" not in own.known
