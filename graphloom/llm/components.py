@@ -14,7 +14,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; each is one aggregation for the
     smallest neighbour and one join, and the edge count never grows. A node with very
     many neighbours is combined on the map side; its join side is split by the
-    engine's skew handling. Each step is staged, the minima too, so that both sides of a join are plain exchanges. Repeated edges and loops are allowed.
+    engine's skew handling. Each step is staged, the minima too, so that both sides of a
+    join are plain exchanges. Repeated edges and loops are allowed; null ends take no part;
+    an edge list that is empty, or holds loops only, gives no rows.
     """
     star = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     for _ in range(rounds):

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare, stage
+from graphloom.llm.staging import prepare, scratch, stage
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -180,7 +180,11 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     """Store the texts of docs (doc_id, text) as media of HTML documents, and read them back."""
     prepare(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    stored = stage(given.mapInPandas(store, STORED), "media", "kind")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_read_back(stage(given.mapInPandas(store, STORED), "media", "kind")), "resolved")
+
+
+def _read_back(stored: DataFrame) -> DataFrame:
     every = stored.filter("kind = 1").select("digest", "media").mapInPandas(compute_features, FEATURES)
     rest = [c for c in FEATURES.replace(",", "").split()[::2] if c != "digest"]
     features = stage(every.groupBy("digest").agg(*[F.first(c).alias(c) for c in rest]), "features")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare, stage
+from graphloom.llm.staging import prepare, scratch, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The id that is free in the vocabulary, and its published split pattern.
@@ -141,9 +141,13 @@ def count_tokens(blocks: DataFrame, end: int = END) -> DataFrame:
 def document_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, stream, start of every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
-    blocks, order = write_flat(docs, vocabulary)
-    named = order.select("stream", "place", F.posexplode("ids").alias("i", "doc_id")).select("stream", (F.col("place") + F.col("i")).alias("ordinal"), "doc_id")
-    return named.join(count_tokens(blocks), ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "start")
+    with scratch(docs.sparkSession) as keep:
+        blocks, order = write_flat(docs, vocabulary)
+        named = order.select("stream", "place", F.posexplode("ids").alias("i", "doc_id")).select("stream", (F.col("place") + F.col("i")).alias("ordinal"), "doc_id", F.lit(True).alias("named"))
+        both = named.join(count_tokens(blocks), ["stream", "ordinal"], "full")
+        whole = F.col("named") & F.col("n_tokens").isNotNull()
+        n = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("documents and separators of a stream do not match")).cast("bigint"))
+        return keep(both.select("doc_id", n.alias("n_tokens"), "stream", "start"), "counted")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare, stage
+from graphloom.llm.staging import prepare, scratch, stage
 
 REVISIT_BYTES = 1000
 CHUNK = 8 << 10  # of the chunked transfer framing
@@ -204,7 +204,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return read_warc(write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    with scratch(spark) as keep:
+        return keep(read_warc(write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))), "read")
 
 
 ORACLE = """

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import stage
+from graphloom.llm.staging import scratch, stage
 
 LIMIT = 4 << 20  # bytes of a shard
 BITS = 60
@@ -71,7 +71,12 @@ def bits_text(h: str, depth: Column) -> Column:
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs of every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs of every row of docs (doc_id, text); staged."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_shard(docs, limit), "sharded")
+
+
+def _shard(docs: DataFrame, limit: int) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), hash_bits(F.col("doc_id")).alias("h"),
         F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS).alias("h2"),

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import partitions, prepare, stage
+from graphloom.llm.staging import partitions, prepare, scratch, stage
 
 NEAR = 2  # different pages on each side
 COPY = 0.8  # share of the characters left of a page that marks a copy, with half of the lines
@@ -393,13 +393,19 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     prepare(spark)
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    parsed = stage(given.mapInPandas(parse, PARSED), "parsed")
+    with scratch(spark) as keep:
+        parsed = keep(given.mapInPandas(parse, PARSED), "parsed")
+        shared = keep(shared_of(parsed), "shared")
+    return parsed.join(shared, "rid", "left").select("page_id", "url", "zones", "lines", "shared").mapInPandas(assemble, FINAL)
+
+
+def shared_of(parsed: DataFrame) -> DataFrame:
+    """rid, shared: indices of the open lines of each page that different pages near it share."""
     pages = parsed.filter(F.size("open") > 0).select("rid", "host", "path", "landmark", "open", "chars", F.xxhash64("host").alias("site"))
     left = F.transform("open", lambda x: ~F.coalesce(F.array_contains("common", x), F.lit(False)))
     keys = stage(pages.join(common_lines(parsed), "site", "left").select("rid", "host", "path", "landmark", "open", "chars", left.alias("left")), "keys")
     every = walk(keys, False).unionByName(walk(keys, True))
-    shared = stage(every.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
-    return parsed.join(shared, "rid", "left").select("page_id", "url", "zones", "lines", "shared").mapInPandas(assemble, FINAL)
+    return every.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
 
 
 def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.session import shared_dir, ship
 
@@ -12,6 +15,13 @@ from graphloom.session import shared_dir, ship
 BATCH_ROWS = "2000"
 
 
+#: Rows of at most a few numbers that a join may broadcast, about 100 MB as a hash table; beyond it the join shuffles.
+BROADCAST_ROWS = 1 << 22
+#: Removes a write's shuffle files once it is done; what it wrote is read from the table only.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def prepare(spark: SparkSession) -> None:
     """Settings and sources that the operators' Python workers need."""
     ship(spark)
@@ -19,21 +29,75 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """key is value inside; a session that does not know it, or fixes it, goes on without."""
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, value)
+    except Exception:  # noqa: BLE001  a static setting
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df to a table of the shared folder and read it back.
 
     The lineage ends here: a lost executor repeats nothing before it, and Spark's
-    committer lets a repeated task replace its own output only.
+    committer lets a repeated task replace its own output only. Within scratch() the
+    table goes at the end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those staged by the function given.
+
+    What is returned from inside may read tables of that function only.
+    """
+    own: list[str] = []
+
+    def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        _scopes.append(_scopes[-2] if len(_scopes) > 1 else [])
+        try:
+            return stage(df, name, partition_by)
+        finally:
+            _scopes.pop()
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in own:
+            remove(spark, path)
+
+
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of short rows, to be broadcast by a join if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,6 +128,4 @@ def even_keys(n: int) -> list[int]:
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
-    from pyspark.sql import functions as F
-
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
