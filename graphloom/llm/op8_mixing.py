@@ -12,7 +12,9 @@ size of a source, and every draw is seeded by the block, so reruns agree.
 
 Results for edge cases: a null or wordless text has size 0 and is taken 0 times; a null
 source is a source, the last one; rows that repeat id, source and text are drawn one by
-one; an empty table gives no rows; other columns are kept by mix and not read here.
+one; a very long text is one document whose size may be far from the others'; documents
+of equal size are exchanged for each other; an empty table gives no rows; other columns,
+whatever their names, are kept by mix and not read here.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import stage
+from graphloom.llm.staging import few, scratch, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -109,19 +111,27 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def decide(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, source, th, size, source_size, target, copies."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("th"), size.alias("size"))
+    """One row for each row of docs: doc_id, source, th, size, source_size, target, copies; staged."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_decide(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), size_of("text").alias("size"))), "decided")
+
+
+def size_of(column: str) -> Column:
+    return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def _decide(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, source, th (equal for rows that count as repeats), size."""
     units = stage(rows.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("m")), "units")
     goal = stage(targets(units.select("source", (F.col("size") * F.col("m")).alias("size"))), "targets")
     each = units.withColumn("occ", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).drop("m")
-    each = each.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    each = each.join(few(goal).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     each = each.withColumn("base", F.least(F.floor(ratio + EPS), F.lit(CAP)).cast("int")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("base")))
     each = each.withColumn("p", F.when((F.col("size") == 0) | (F.col("p") < EPS), 0.0).otherwise(F.col("p"))).withColumn("r", F.xxhash64("doc_id", "th", "occ"))
     counts = stage(each.filter("p > 0").groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "counts")
     blocks = counts.agg(F.max("blocks")).first()[0] or 0
-    todo = each.filter("p > 0").join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    todo = each.filter("p > 0").join(few(counts).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     todo = todo.withColumn("block", F.pmod(F.col("r"), F.col("blocks")).cast("int")).drop("blocks")
     settled = each.filter("p = 0").withColumn("block", F.lit(0))
     while blocks:
@@ -135,12 +145,28 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row appears as often as it is taken, with all its columns."""
-    got = decide(docs).groupBy("doc_id", "source", "th", "size").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    whole = docs.select(F.struct(*docs.columns).alias("row"))  # columns of any name cannot clash inside
-    keyed = whole.select("row", F.col("row.doc_id").alias("d"), F.col("row.source").alias("s"), F.xxhash64("row.text").alias("h")).dropDuplicates(["d", "s", "h"])
-    joined = keyed.join(got, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("th")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    """docs as the mix takes them: a row appears as often as it is taken, with all its columns.
+
+    What is taken is decided on light rows, named by id and a hash of all columns; whole
+    rows are dealt once, by that name. Rows that are equal in all columns stand for each other: of
+    these, one is dealt for each task and copied. An empty table stays empty.
+    """
+    spark = docs.sparkSession
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # what can be hashed
+    name = F.xxhash64(*[x for c in plain for x in (c.isNull(), c)])
+    with scratch(spark) as keep:
+        light = docs.select(F.col("doc_id"), F.col("source"), name.alias("th"), size_of("text").alias("size"))
+        got = _decide(light).groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "th").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+        got = keep(got.filter("copies > 0"), "taken")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("doc"), name.alias("name"))  # columns of any name cannot clash inside
+    same = (F.col("doc") == F.col("id")) & (F.col("name") == F.col("th"))
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    single, many = got.filter("rows = 1").drop("rows"), got.filter("rows > 1").drop("rows")
+    out = whole.join(single, same).select("row", again)
+    if not many.isEmpty():
+        own = whole.join(few(many.select("id", "th")), same, "left_semi").groupBy("doc", "name").agg(F.first("row").alias("row"))
+        out = out.unionByName(own.join(few(many), same).select("row", again))
+    return out.select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
