@@ -41,7 +41,7 @@ THREADS = 2  # of one worker
 PARITY_EVERY = 400  # texts; every batch's first is compared too
 BATCH = 256
 RUN = 512  # segments of one text for the library
-KNOWN_CHARS = 8_000_000  # of the segments that a worker remembers
+KNOWN_CHARS = 6_000_000  # of the segments that a worker remembers
 # Field numbers and enumerations of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -96,6 +96,8 @@ class Model:
                 for n, v in fields(value):
                     if n == 3:
                         self.kind = v
+                    elif n == 24 and v:
+                        raise ValueError("models that mark white space behind a word are not supported")
             elif number == 3:
                 for n, v in fields(value):
                     if n == 2:
@@ -108,12 +110,14 @@ class Model:
                         self.escape = bool(v)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {self.kind} is neither unigram nor BPE")
+        if any(k == USER_DEFINED for _, _, k in self.pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.bytes = any(p[2] == BYTE for p in self.pieces)
 
     def merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces that make a piece, by the score of what they make."""
-        ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER_DEFINED)}
+        ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k == NORMAL}
         found = []
         for text, i in ids.items():
             for cut in range(1, len(text)):
@@ -125,7 +129,7 @@ class Model:
     def separable(self) -> bool:
         """Whether no piece has the marker behind another character."""
         crossing = re.compile(f"[^{MARK}]{MARK}")
-        return not any(crossing.search(p) for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED))
+        return not any(crossing.search(p) for p, _, k in self.pieces if k == NORMAL)
 
     def tokenizer(self, normalise: bool = True):
         """The library's tokenizer; without normalise, of text that has been normalised."""
@@ -135,11 +139,11 @@ class Model:
             core = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.bytes)
         else:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            core = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.bytes, cache_capacity=50_000)
+            core = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.bytes, cache_capacity=50_000 if normalise else 0)  # segments come once
         t = Tokenizer(core)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
-            steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
         if self.prefix:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:

@@ -40,7 +40,7 @@ CALIBRATION_BYTES = 1 << 18
 PIECE_CHARS = 1 << 16  # of long texts, drawn each by itself
 SPARE = 2  # times the wanted bytes are drawn, so that the order of the hash decides
 FOLDS = 5
-CHUNK_CHARS = 1 << 20  # scored at once
+CHUNK_CHARS = 1 << 17  # scored at once
 PAD = 2
 DEVIATIONS, SLACK = 8.0, 0.5  # of the calibration texts; nats a character
 CONFIDENCE_CHARS = 50.0  # characters that the score counts as independent, at most
