@@ -5,14 +5,17 @@ segments of m components, sum m * ((mq - mx)^2 + (sq - sx)^2) is a lower bound o
 squared distance, hence (|q|^2 + |x|^2 - bound) / 2 an upper bound of the inner product.
 Each task keeps the k best of every query; a candidate whose coarse bound, then finer
 bound, stays below a query's k-th score is dropped, and the survivors get exact integer
-products. Queries are broadcast in blocks of bounded size, so the work is blocks of
-queries against blocks of candidates, with nothing shuffled but k rows a task and query.
+products. Queries are packed into blocks of bounded size; one block at a time is broadcast,
+searched for, and written with its k best before the next, so that the driver and a worker
+hold one block, and bounds for a tile of it. The work is queries against candidates, with
+nothing shuffled but k rows a task and query.
 
 Results for edge cases: vectors that are null, hold null, NaN or infinite components, or
 have no vec_id take no part; vectors of another length than the query's are no
 candidates; of a repeated query id the smallest vector asks; repeated candidate rows are
-each ranked; ties go to the smaller vec_id; an empty table gives no rows. Components
-saturate at 2**62 and scores wrap as 64-bit integers.
+each ranked; ties go to the smaller vec_id; very long vectors are searched whole; an empty
+table gives no rows; other columns, whatever their names, are not read. Components saturate
+at 2**62 and scores wrap as 64-bit integers.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.staging import scratch, setting, stage
+from graphloom.session import ship
+
 SCALE = 1024
 K = 10
 QUERY_EVERY = 100
-BLOCK_BYTES = 32 << 20  # of queries that are broadcast at once
+BLOCK_BYTES = 16 << 20  # of queries that are broadcast at once
+TILE = 256  # queries whose bounds a worker holds at once
 SEGMENTS = (4, 16)  # coarse, then fine
 ROWS = "query_id long, vec_id long, score long"
 
@@ -79,30 +86,37 @@ def search_block(best: Best, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x:
             keep = ids != qid[i]
             best.add(i, x[keep] @ q[i], ids[keep])
         return
-    qf, xf = q.astype(float), x.astype(float)
-    levels = [(statistics(qf, s), statistics(xf, s)) for s in SEGMENTS]
-    coarse = levels[0][0] @ levels[0][1].T  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
-    slack = 1e-9 * np.sqrt((qf * qf).sum(1))[:, None] * np.sqrt((xf * xf).sum(1))[None] + 1e-6
-    coarse += slack
+    xf = x.astype(float)
+    xs = [statistics(xf, s) for s in SEGMENTS]
+    longest = float(np.sqrt((xf * xf).sum(1)).max(initial=0))
+    for at in range(0, len(qid), TILE):
+        search_tile(best, at, qid[at : at + TILE], q[at : at + TILE], ids, x, xs, longest)
+
+
+def search_tile(best: Best, first: int, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, xs: list[np.ndarray], longest: float) -> None:
+    """The same for a tile of queries, the first of which has that number. xs: statistics of x; longest: of the norms of x."""
+    qf = q.astype(float)
+    qs = [statistics(qf, s) for s in SEGMENTS]
+    slack = 1e-9 * np.sqrt((qf * qf).sum(1)) * longest + 1e-6
+    coarse = qs[0] @ xs[0].T + slack[:, None]  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
     k = best.k
     for i in range(len(qid)):
-        bound = coarse[i].copy()
+        bound, number = coarse[i], first + i
         bound[ids == qid[i]] = -np.inf
-        floor = best.floor(i)
+        floor = best.floor(number)
         if floor == -np.inf:  # the best-looking candidates give a first floor
             head = np.argpartition(-bound, min(2 * k, len(bound)) - 1)[: 2 * k]
             head = head[bound[head] > -np.inf]
-            best.add(i, x[head] @ q[i], ids[head])
+            best.add(number, x[head] @ q[i], ids[head])
             bound[head] = -np.inf
-            floor = best.floor(i)
+            floor = best.floor(number)
         left = np.flatnonzero(bound >= floor) if floor > -np.inf else np.flatnonzero(bound > -np.inf)
         if len(left):
-            fine = levels[1][1][left] @ levels[1][0][i] + slack[i, left]
-            left = left[fine >= floor]
+            left = left[xs[1][left] @ qs[1][i] + slack[i] >= floor]
         if len(left):
             score = x[left] @ q[i]
             keep = score >= floor
-            best.add(i, score[keep], ids[left][keep])
+            best.add(number, score[keep], ids[left][keep])
 
 
 def scanner(queries, k: int, scale: int):
@@ -120,38 +134,45 @@ def scanner(queries, k: int, scale: int):
                     search_block(best[int(d)], *blocks[int(d)], part["vec_id"].to_numpy()[own], x)
         for d, (ids, _) in blocks.items():
             b = best[d]
-            for i in range(len(ids)):
-                n = b.n[i]
-                if n:
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": b.ids[i, :n], "score": b.score[i, :n]})
+            for at in range(0, len(ids), TILE):
+                n = b.n[at : at + TILE]
+                taken = np.arange(k) < n[:, None]
+                yield pd.DataFrame({"query_id": np.repeat(ids[at : at + TILE], n), "vec_id": b.ids[at : at + TILE][taken], "score": b.score[at : at + TILE][taken]})
 
     return run
 
 
+def pack_block(rows: pd.DataFrame, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (ids, integer vectors)} of queries."""
+    by = {}
+    for d, part in rows.groupby(rows["embedding"].map(len) if len(rows) else pd.Series([], dtype=int)):
+        by[int(d)] = (part["vec_id"].to_numpy(np.int64), quantise(list(part["embedding"]), scale).reshape(len(part), int(d)))
+    return by
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs have vec_id and embedding."""
+    """query_id, rank, vec_id, score; staged. Both inputs have vec_id and embedding."""
     spark = candidates.sparkSession
+    ship(spark)
     pick = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    queries, candidates = pick(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), pick(candidates)
-    size = queries.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
-    blocks = max(1, -(-size * 5 // (4 * block_bytes)))
-    found = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = own.toPandas()  # about block_bytes
-        lengths = got["embedding"].map(len) if len(got) else pd.Series([], dtype=int)
-        by = {}
-        for d, part in got.groupby(lengths):
-            by[int(d)] = (part["vec_id"].to_numpy(np.int64), quantise(list(part["embedding"]), scale).reshape(len(part), int(d)))
-        rows = candidates.mapInPandas(scanner(spark.sparkContext.broadcast(by), k, scale), ROWS)
-        found = rows if found is None else found.unionByName(rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    with scratch(spark) as keep, setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4096"), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)):
+        asked = stage(pick(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+        size = asked.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
+        blocks = max(1, -(-size * 5 // (4 * block_bytes)))
+        found = None
+        for b in range(blocks):
+            own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+            shared = spark.sparkContext.broadcast(pack_block(own.toPandas(), scale))  # about block_bytes
+            rows = pick(candidates).mapInPandas(scanner(shared, k, scale), ROWS)
+            ranked = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            part = keep(ranked, "best")
+            shared.destroy()
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(v.filter(F.col("vec_id") % QUERY_EVERY == 0), v)
 

@@ -101,7 +101,31 @@ def test_search(spark, block_bytes):
     assert huge == {x[0] for x in want}
     plain = df.filter("vec_id <> 900")
     assert sorted(tuple(r) for r in op2.top_k(plain.filter("vec_id % 100 = 0"), plain, 10, block_bytes=block_bytes).collect()) == brute_top([(i, v) for i, v, _ in rows if i != 900], 10)
-    assert op2.top_k(df.limit(0), df).count() == 0
+    assert op2.top_k(df.limit(0), df).count() == 0 and op2.top_k(df, df.limit(0)).count() == 0
+
+
+def test_search_holds_a_tile_of_bounds(spark):
+    rng = np.random.default_rng(7)
+    q, x = rng.integers(-900, 900, (3000, 16)), rng.integers(-900, 900, (2000, 16))
+    import tracemalloc
+
+    best = op2.Best(len(q), 5)
+    tracemalloc.start()
+    op2.search_block(best, np.arange(3000), q, np.arange(2000) + 10**6, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * op2.TILE * len(x) * 2 < len(q) * len(x) * 8  # all bounds at once would take the last figure
+    for i in (0, 255, 256, 2999):
+        assert best.score[i].tolist() == sorted((x @ q[i]).tolist(), reverse=True)[:5]
+
+
+def test_search_edges(spark):
+    rows = [(100, [1.0, 2.0], "a"), (100, [0.5, 0.0], "b"), (1, [1.0, 0.0], None), (1, [1.0, 0.0], "d"), (2, [2.0, 0.0], "e"), (3, [2.0, 0.0], "f"), (None, [9.0, 9.0], "g"), (200, [1.0] * 3000, "h"), (4, [0.5] * 3000, "i")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string").repartition(3)
+    got = sorted(tuple(r) for r in op2.top_k(df.filter("vec_id % 100 = 0"), df, 3).collect())
+    assert got == [(100, 1, 2, 2048 * 512), (100, 2, 3, 2048 * 512), (100, 3, 1, 1024 * 512), (200, 1, 4, 3000 * 1024 * 512)]
+    many = op2.top_k(df.filter("vec_id % 100 = 0"), df, 3, block_bytes=12_000)
+    assert sorted(tuple(r) for r in many.collect()) == got
 
 
 # --- 3
