@@ -163,10 +163,12 @@ def scan_braced(source: str, out: Symbols) -> None:
                 out.call(max(around)[2], m[1], line(m.start()))
 
 
-def extract_file(path: str, lang: str, content: bytes) -> list[dict]:
+def extract_file(path: str, lang: str, content: bytes | None) -> list[dict]:
     """Rows of one file: nodes, then edges, with capture order in seq; one error row on failure."""
     try:
-        source = content.decode("utf-8", errors="replace")
+        if content is None:
+            raise OSError("the file could not be read")
+        source = bytes(content).decode("utf-8", errors="replace")
         out = Symbols(path, lang, source)
         if lang == "python":
             scan_python(source, out)
@@ -182,12 +184,17 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [r for p, lang, c in zip(part["path"], part["lang"], part["content"], strict=True) for r in extract_file(p, lang, bytes(c))]
+            rows = [r for p, lang, c in zip(part["path"], part["lang"], part["content"], strict=True) for r in extract_file(p, lang, c)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "lang", "content").mapInPandas(run, ROW)
 
 
+def extraction_errors(symbols: DataFrame) -> DataFrame:
+    """path, error of the files that gave no symbols."""
+    return symbols.filter("kind = 'error'").select("path", "error")
+
+
 def to_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with placeholders, and edges of which the last capture wins."""
     order = F.struct("path", "seq").alias("seq")
@@ -197,4 +204,4 @@ def to_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(placeholders(nodes, edges)), edges
 
 
-__all__ = ["extract_file", "extract_symbols", "make_id", "stable_id", "to_graph"]
+__all__ = ["extract_file", "extraction_errors", "extract_symbols", "make_id", "stable_id", "to_graph"]

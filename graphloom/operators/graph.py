@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,13 @@ def replay(node_log: DataFrame, edge_log: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def add_nodes(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace or add nodes by id; edges at replaced nodes go. new may not repeat an id."""
+    """Replace or add nodes by id; edges at replaced nodes go.
+
+    Of rows of new that repeat an id the one with the largest seq counts; without a column
+    seq nothing tells which is last, and a repeated id raises.
+    """
     check_vocabulary(new, "type", NODE_TYPES)
+    new = last_of(new, ["id"], upsert_nodes)
     new = new.withColumn("properties", F.coalesce("properties", F.lit("{}")))
     ids = new.select("id")
     kept = nodes.join(ids, "id", "left_anti").unionByName(new, allowMissingColumns=True)
@@ -57,16 +64,25 @@ def add_nodes(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataF
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace or add edges by their three keys, after checks of vocabulary and ends."""
+    """Replace or add edges by their three keys, after checks of vocabulary and ends; repeated keys as in add_nodes."""
     check_vocabulary(new, "relationship", RELATIONSHIPS)
     for end, word in (("source_id", "Source"), ("target_id", "Target")):
         if missing := new.join(nodes, new[end] == nodes["id"], "left_anti").select(end).head(1):
             raise GraphError(f"{word} node does not exist: {missing[0][0]}")
     key = ["source_id", "target_id", "relationship"]
-    new = new.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("properties", F.coalesce("properties", F.lit("{}")))
+    new = last_of(new, key, upsert_edges).withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("properties", F.coalesce("properties", F.lit("{}")))
     return edges.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def last_of(new: DataFrame, key: list[str], upsert: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """new with one row a key: the last by seq, or as it is if no key is repeated."""
+    if "seq" in new.columns:
+        return upsert(new).drop("seq")
+    if twice := new.groupBy(*key).count().filter("count > 1").head(1):
+        raise GraphError(f"Repeated key without seq: {', '.join(map(str, twice[0][:-1]))}")
+    return new
+
+
 def check_vocabulary(df: DataFrame, column: str, allowed: list[str]) -> None:
     """Raise GraphError for a value outside the vocabulary (null is outside)."""
     if bad := df.filter(~F.coalesce(F.col(column).isin(*allowed), F.lit(False))).select(column).head(1):
@@ -129,10 +145,12 @@ def neighbors(nodes: DataFrame, edges: DataFrame, direction: str = "outgoing", r
 def first_neighbors(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """me, neighbors: the names of the first k neighbours by (relationship, id, direction).
 
-    Only the k best (relationship, id, direction) of each node reach the join with
-    names; the rank filter is pushed into a per-partition group limit.
+    Ends that no node has take no place. Only the k best (relationship, id, direction) of
+    each node reach the join with names; the rank filter is pushed into a per-partition
+    group limit.
     """
     seen = neighbor_edges(edges, "both").select("me", "relationship", "nb", "direction")
+    seen = seen.join(nodes.select(F.col("id").alias("nb")), "nb", "left_semi")
     w = Window.partitionBy("me").orderBy("relationship", "nb", "direction")
     top = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     named = top.join(nodes.select(F.col("id").alias("nb"), "name"), "nb")

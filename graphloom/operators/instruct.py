@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,20 +35,26 @@ def chatml(messages: Column) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, fraction: float, seed: str = "42") -> DataFrame:
-    """Adds split: exactly ceil(n * fraction) rows are validation, the lowest seeded hashes.
+    """Adds split: exactly ceil(n * fraction) rows are validation, the lowest seeded hashes. Keys may not repeat.
 
-    The cut is found by a top-k of hashes (TakeOrdered, bounded by the validation size),
-    no global row numbering.
+    A histogram of the first 16 bits of the hash finds the part in which the cut lies, and
+    only that part, one of 65536, is ordered; its last row of validation is the threshold
+    that all rows are compared with, so nothing is joined or numbered.
     """
-    if fraction <= 0:
+    name = F.col(key).cast("string")
+    order = shuffle_order(name, seed)[0]
+    sizes = {r["part"]: r["count"] for r in df.groupBy(F.substring(order, 1, 4).alias("part")).count().collect()}
+    left = min(math.ceil(sum(sizes.values()) * fraction), sum(sizes.values()))
+    if left <= 0:
         return df.withColumn("split", F.lit("train"))
-    import math
-
-    size = math.ceil(df.count() * fraction)
-    order = shuffle_order(F.col(key).cast("string"), seed)[0]
-    chosen = df.select(F.col(key).alias("_k"), order.alias("_h")).orderBy("_h", "_k").limit(size).select("_k")
-    marked = chosen.withColumn("_v", F.lit(True))
-    return df.join(marked, df[key] == marked["_k"], "left").withColumn("split", F.when(F.col("_v"), "validation").otherwise("train")).drop("_k", "_v")
+    for part in sorted(sizes):
+        if left <= sizes[part]:
+            break
+        left -= sizes[part]
+    pair = F.struct(order.alias("h"), F.col(key).alias("k"))
+    at = df.filter(F.substring(order, 1, 4) == part).select(pair.alias("x")).orderBy("x").limit(left).agg(F.max("x").alias("x")).first()["x"]
+    first = (order < at["h"]) | ((order == at["h"]) & (F.col(key) <= F.lit(at["k"])))
+    return df.withColumn("split", F.when(first, "validation").otherwise("train"))
 
 
 def tokenize(df: DataFrame, text: str, load: Callable[[], Callable[[str], list[int]]], max_length: int, pad_id: int = 0) -> DataFrame:
@@ -69,7 +76,8 @@ def tokenize(df: DataFrame, text: str, load: Callable[[], Callable[[str], list[i
 def batches(df: DataFrame, size: int, shuffle: bool = False, seed: str = "42") -> Iterator[list]:
     """Lists of rows, streamed to the driver partition by partition."""
     if shuffle:
-        df = df.orderBy(F.rand(int(seed)))
+        key = F.to_json(F.struct(*df.columns))
+        df = df.orderBy(*shuffle_order(key, seed))
     held: list = []
     for row in df.toLocalIterator(prefetchPartitions=True):
         held.append(row)

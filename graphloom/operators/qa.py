@@ -18,9 +18,9 @@ POOL = 1000
 # The wording of prompts; {} takes the node's name, {type} its type.
 PROMPTS = {
     "discovery": ["Is there support for {}?", "Does this codebase offer {}?", "Can I find {} in this project?", "What does the project provide as {}?"],
-    "explain": ["How does {} work?", "Explain {}.", "What is the purpose of {}?", "Describe the {type} {}."],
+    "explain": ["What does {} do internally?", "Explain {}.", "Why does {} exist?", "Describe the {type} {}."],
     "howto": ["How do I use {}?", "Show me how to apply {}.", "What is the way to run {}?", "Give an example of {}."],
-    "diagnostics": ["What raises {}?", "How do I fix {}?", "Why do I see {}?", "When does {} occur?"],
+    "diagnostics": ["What raises {}?", "How can {} be resolved?", "Why do I see {}?", "In which cases does {} arise?"],
 }
 
 
@@ -75,8 +75,8 @@ def discovery(nodes: DataFrame, summaries: DataFrame, count: int) -> DataFrame:
 def explain(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, count: int) -> DataFrame:
     top = out_degree_topk(nodes, edges, count, ["capability", "concept", "class"])
     rows = _ranked(top, [F.desc("edge_count"), F.col("id")], count)
-    at = F.when(F.col("lines").isNotNull(), F.concat(F.lit("Defined at lines "), "lines", F.lit(" in "), text_or_none("path"), F.lit(".")))
-    answer = F.concat_ws(" ", "summary", _near("It interacts with: ", 3), at)
+    at = F.when(F.col("lines").isNotNull(), F.concat(F.lit("See lines "), "lines", F.lit(" of "), text_or_none("path"), F.lit(".")))
+    answer = F.concat_ws(" ", "summary", _near("Its neighbours are ", 3), at)
     meta = F.struct(F.col("name").alias("node_name"), F.col("type").alias("node_type"), F.col("path").alias("file"))
     return _examples(_with_summary(rows, summaries), "explain", "explain", answer, meta)
 
@@ -85,7 +85,7 @@ def howto(nodes: DataFrame, summaries: DataFrame, count: int, seed: str = "howto
     recipes = nodes.filter(F.col("type") == "recipe").orderBy("id").limit(2 * count)
     able = nodes.filter(F.col("type") == "capability").orderBy("id").limit(count)
     rows = _ranked(recipes.unionByName(able), shuffle_order("id", seed), count)
-    answer = F.concat_ws(" ", "summary", F.concat(F.lit("You can find it in "), text_or_none("path"), F.lit(".")), _near("It works with: ", 2))
+    answer = F.concat_ws(" ", "summary", F.concat(F.lit("It is kept in "), text_or_none("path"), F.lit(".")), _near("Use it together with ", 2))
     meta = F.struct(F.col("name").alias("node_name"), F.col("path").alias("file"))
     return _examples(_with_summary(rows, summaries), "howto", "howto", answer, meta)
 
@@ -103,8 +103,8 @@ def throwers(errors: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3)
 def diagnostics(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, count: int) -> DataFrame:
     rows = _ranked(nodes.filter(F.col("type") == "error"), [F.col("id")], count)
     rows = _with_summary(rows, summaries).join(throwers(rows, nodes, edges), "id", "left")
-    raised = F.when(F.size("throwers") > 0, F.concat(F.lit("This error can be raised by: "), F.array_join("throwers", ", "), F.lit(".")))
-    answer = F.concat_ws(" ", "summary", raised, F.concat(F.lit("Check the implementation in "), text_or_none("path"), F.lit(".")))
+    raised = F.when(F.size("throwers") > 0, F.concat(F.lit("Code that raises it: "), F.array_join("throwers", ", "), F.lit(".")))
+    answer = F.concat_ws(" ", "summary", raised, F.concat(F.lit("Look into "), text_or_none("path"), F.lit(".")))
     meta = F.struct(F.col("name").alias("error_name"), F.col("path").alias("file"))
     return _examples(rows, "diagnostics", "diagnostic", answer, meta)
 

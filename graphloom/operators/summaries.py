@@ -45,7 +45,7 @@ def concise(c: DataFrame | None = None) -> Column:
         .otherwise(F.concat(name, F.lit(" is a "), kind, F.lit(".")))
     )
     near = F.array_join(F.slice("neighbors", 1, 3), ", ")
-    return F.concat(base, F.when(F.size("neighbors") > 0, F.concat(F.lit(" Related to: "), near, F.lit("."))).otherwise(""))
+    return F.concat(base, F.when(F.size("neighbors") > 0, F.concat(F.lit(" See also: "), near, F.lit("."))).otherwise(""))
 
 
 def detailed() -> Column:
@@ -53,12 +53,12 @@ def detailed() -> Column:
     return F.concat_ws(
         " ",
         concise(),
-        F.when(F.col("lines").isNotNull(), F.concat(F.lit("Spans lines "), "lines", F.lit("."))).when(
-            F.col("line") != 0, F.concat(F.lit("Located at line "), F.col("line").cast("string"), F.lit("."))
+        F.when(F.col("lines").isNotNull(), F.concat(F.lit("It takes up lines "), "lines", F.lit("."))).when(
+            F.col("line") != 0, F.concat(F.lit("It starts on line "), F.col("line").cast("string"), F.lit("."))
         ),
-        F.when(F.col("lang") != "", F.concat(F.lit("Written in "), "lang", F.lit("."))),
-        F.when(F.size("neighbors") > 0, F.concat(F.lit("Connected to: "), F.array_join("neighbors", ", "), F.lit("."))),
-        F.when(doc != "", F.concat(F.lit("Documentation: "), F.substring(doc, 1, 100), F.lit("..."))),
+        F.when(F.col("lang") != "", F.concat(F.lit("Source language: "), "lang", F.lit("."))),
+        F.when(F.size("neighbors") > 0, F.concat(F.lit("Neighbours: "), F.array_join("neighbors", ", "), F.lit("."))),
+        F.when(doc != "", F.concat(F.lit("Its documentation begins: "), F.substring(doc, 1, 100), F.lit("..."))),
     )
 
 
@@ -75,6 +75,7 @@ def scalar_properties() -> Column:
 
 
 def technical() -> Column:
+    """Fixed labels; of neighbours the number, at most NEIGHBORS."""
     extra = scalar_properties()
     return F.concat_ws(
         " | ",
@@ -83,7 +84,7 @@ def technical() -> Column:
         F.concat(F.lit("Location: "), text_or_none("path")),
         F.when(F.col("lines").isNotNull(), F.concat(F.lit("Lines: "), "lines")),
         F.when(F.col("lang") != "", F.concat(F.lit("Language: "), "lang")),
-        F.when(F.size("neighbors") > 0, F.concat(F.lit("Dependencies: "), F.array_join("neighbors", ", "))),
+        F.when(F.size("neighbors") > 0, F.concat(F.lit("Dependencies: "), F.size("neighbors").cast("string"))),
         F.when(extra != "", extra),
     )
 

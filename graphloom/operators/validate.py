@@ -28,11 +28,11 @@ def parse_examples(lines: DataFrame, column: str = "value") -> DataFrame:
     ).select("pos", "raw", "keys", "raw_refs", "x.*")
 
 
-def issues_of(min_tokens: float = 50, max_tokens: float = 500) -> Column:
-    """Array of issue texts of one parsed example; a missing key ends the checks."""
+def issues_of(min_tokens: float = 50, max_tokens: float = 500, tokens: Column | None = None) -> Column:
+    """Array of issue texts (fixed values) of one parsed example; a missing key ends the checks."""
     has = lambda k: F.array_contains("keys", k)
     missing = F.filter(F.array(*[F.when(~has(k), f"Missing required field: {k}") for k in REQUIRED]), lambda m: m.isNotNull())
-    tokens = token_estimate(F.coalesce("response", F.lit("")))
+    tokens = token_estimate(F.coalesce("response", F.lit(""))) if tokens is None else tokens
     shown = F.bround(tokens, 0).cast("bigint").cast("string")
     empty = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     checks = [
@@ -55,8 +55,14 @@ def with_keys(examples: DataFrame) -> DataFrame:
 
 def validate_examples(examples: DataFrame, min_tokens: float = 50, max_tokens: float = 500) -> DataFrame:
     """id, issues of each example."""
+    return checked(examples, min_tokens, max_tokens).select("id", "issues")
+
+
+def checked(examples: DataFrame, min_tokens: float = 50, max_tokens: float = 500) -> DataFrame:
+    """examples with issues; tokens are counted in a projection of their own, once a row."""
     df = examples if "keys" in examples.columns else with_keys(examples)
-    return df.select("id", issues_of(min_tokens, max_tokens).alias("issues"))
+    df = df.withColumn("_tokens", token_estimate(F.coalesce("response", F.lit(""))))
+    return df.withColumn("issues", issues_of(min_tokens, max_tokens, F.col("_tokens"))).drop("_tokens")
 
 
 def reference_check(examples: DataFrame, node_ids: DataFrame) -> DataFrame:
@@ -94,9 +100,28 @@ def dataset_report(examples: DataFrame, node_ids: DataFrame, min_tokens: float =
     return v.join(r).join(d).withColumn("is_valid", (F.col("invalid_examples") + F.col("invalid_refs") + F.col("duplicates")) == 0)
 
 
+def dataset_issues(examples: DataFrame, node_ids: DataFrame, min_tokens: float = 50, max_tokens: float = 500, order: str = "id", most: int = 10) -> DataFrame:
+    """kind, issue: all issues of examples, and the first of wrong references and of duplicates (fixed texts)."""
+    each = checked(examples, min_tokens, max_tokens).select(order, "id", F.explode("issues").alias("what"))
+    each = each.select(F.lit("example").alias("kind"), F.concat(F.lit("Example "), F.col(order).cast("string"), F.lit(" ("), "id", F.lit("): "), "what").alias("issue"))
+    wrong = reference_check(examples, node_ids).filter(~F.col("ok")).orderBy("id", "ref").limit(most)
+    wrong = wrong.select(F.lit("reference").alias("kind"), F.concat(F.lit("Invalid node reference: "), "id", F.lit(": "), "ref").alias("issue"))
+    again = duplicates(examples, order).orderBy("kind", "id").limit(most)
+    again = again.select(F.lit("duplicate").alias("kind"), F.concat(F.when(F.col("kind") == "id", "Duplicate ID: ").otherwise("Duplicate prompt: "), "id").alias("issue"))
+    return each.unionByName(wrong).unionByName(again)
+
+
+def report(examples: DataFrame, node_ids: DataFrame, min_tokens: float = 50, max_tokens: float = 500, order: str = "id", shown: int = 1000) -> dict:
+    """Totals, verdict, type distribution and at most so many issues, as a driver-side record."""
+    out = dataset_report(examples, node_ids, min_tokens, max_tokens, order).first().asDict()
+    out["type_distribution"] = {r["type"]: r["count"] for r in type_distribution(examples).collect()}
+    out["issues"] = [r["issue"] for r in dataset_issues(examples, node_ids, min_tokens, max_tokens, order).orderBy("kind", "issue").limit(shown).collect()]
+    return out
+
+
 def gate(report: DataFrame) -> bool:
     """Whether a dataset may be written: only invalid examples stop it."""
     return report.first()["invalid_examples"] == 0
 
 
-__all__ = ["PLACEHOLDERS", "Window", "dataset_report", "duplicates", "gate", "parse_examples", "reference_check", "type_distribution", "validate_examples"]
+__all__ = ["PLACEHOLDERS", "Window", "dataset_issues", "dataset_report", "duplicates", "gate", "parse_examples", "reference_check", "report", "type_distribution", "validate_examples"]

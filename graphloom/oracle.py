@@ -40,7 +40,7 @@ seen AS (
   UNION ALL SELECT target_id, source_id, 'incoming', relationship, weight FROM edges WHERE source_id <> target_id),
 near AS (
   SELECT me, list(name ORDER BY r) AS neighbors FROM (
-    SELECT me, nb, row_number() OVER (PARTITION BY me ORDER BY relationship, nb, direction) AS r FROM seen) k
+    SELECT me, nb, row_number() OVER (PARTITION BY me ORDER BY relationship, nb, direction) AS r FROM seen WHERE nb IN (SELECT id FROM raw)) k
   JOIN nodes ON id = nb WHERE r <= 5 GROUP BY me),
 context AS (
   SELECT n.*, coalesce(neighbors, []) AS neighbors, CASE WHEN e IS NOT NULL THEN s || '-' || e END AS lines FROM nodes n LEFT JOIN near ON me = id),
@@ -53,18 +53,18 @@ concise AS (SELECT *,
     WHEN 'recipe' THEN '''' || name || ''' is a worked recipe in ' || p || '.'
     WHEN 'concept' THEN '''' || name || ''' is a concept defined in ' || p || '.'
     ELSE '''' || name || ''' is a ' || type || '.' END
-  || CASE WHEN len(neighbors) > 0 THEN ' Related to: ' || array_to_string(neighbors[1:3], ', ') || '.' ELSE '' END AS c
+  || CASE WHEN len(neighbors) > 0 THEN ' See also: ' || array_to_string(neighbors[1:3], ', ') || '.' ELSE '' END AS c
   FROM (SELECT *, coalesce(path, 'None') AS p FROM context)),
 detailed AS (SELECT *, concat_ws(' ', c,
-    CASE WHEN lines IS NOT NULL THEN 'Spans lines ' || lines || '.' WHEN s <> 0 THEN 'Located at line ' || s || '.' END,
-    CASE WHEN lang <> '' THEN 'Written in ' || lang || '.' END,
-    CASE WHEN len(neighbors) > 0 THEN 'Connected to: ' || array_to_string(neighbors, ', ') || '.' END,
-    CASE WHEN doc <> '' THEN 'Documentation: ' || doc[1:100] || '...' END) AS d FROM concise)
+    CASE WHEN lines IS NOT NULL THEN 'It takes up lines ' || lines || '.' WHEN s <> 0 THEN 'It starts on line ' || s || '.' END,
+    CASE WHEN lang <> '' THEN 'Source language: ' || lang || '.' END,
+    CASE WHEN len(neighbors) > 0 THEN 'Neighbours: ' || array_to_string(neighbors, ', ') || '.' END,
+    CASE WHEN doc <> '' THEN 'Its documentation begins: ' || doc[1:100] || '...' END) AS d FROM concise)
 """
 EXAMPLES = r"""
 examples AS (SELECT doc_id::VARCHAR AS id,
   CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE (['discovery', 'explain', 'howto', 'diagnostics'])[doc_id % 4 + 1] END AS type,
-  regexp_extract(text, '^[^\n]{0,40}') AS prompt,
+  text AS prompt,
   CASE WHEN doc_id % 11 = 0 THEN text || ' [TODO]' ELSE text END AS response,
   CASE WHEN doc_id % 13 = 0 THEN []::VARCHAR[] WHEN doc_id % 10 = 0 THEN ['z:' || doc_id] ELSE ['c:' || (doc_id % 100)] END AS refs, doc_id AS pos
   FROM documents)
@@ -116,17 +116,17 @@ discovery AS (SELECT printf('discovery_%04d', row_number() OVER (ORDER BY id) -
   FROM (SELECT n.*, d.summary FROM (SELECT * FROM nodes WHERE type = 'capability' ORDER BY id LIMIT 50) n JOIN detail d USING (id)) WHERE length(summary) >= 20)"""
 EXPLAIN = f"""
 explains AS (SELECT printf('explain_%04d', row_number() OVER (ORDER BY k DESC, id) - 1) AS id, 'explain' AS type, {_prompt("explain")} AS prompt,
-  concat_ws(' ', summary, CASE WHEN len(nb) > 0 THEN 'It interacts with: ' || array_to_string(nb[1:3], ', ') || '.' END, 'Defined at lines ' || ln || ' in ' || coalesce(path, 'None') || '.') AS response, id AS refs
+  concat_ws(' ', summary, CASE WHEN len(nb) > 0 THEN 'Its neighbours are ' || array_to_string(nb[1:3], ', ') || '.' END, 'See lines ' || ln || ' of ' || coalesce(path, 'None') || '.') AS response, id AS refs
   FROM (SELECT n.*, d.* EXCLUDE id FROM (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN (SELECT source_id, count(*) AS k FROM edges GROUP BY 1) o ON o.source_id = id
         WHERE type IN ('capability', 'concept', 'class') ORDER BY k DESC, id LIMIT 50) n JOIN detail d USING (id)) WHERE length(summary) >= 20)"""
 HOWTO = f"""
 howtos AS (SELECT printf('howto_%04d', row_number() OVER (ORDER BY sha256('howto:' || id), id) - 1) AS id, 'howto' AS type, {_prompt("howto")} AS prompt,
-  concat_ws(' ', summary, 'You can find it in ' || coalesce(path, 'None') || '.', CASE WHEN len(nb) > 0 THEN 'It works with: ' || array_to_string(nb[1:2], ', ') || '.' END) AS response, id AS refs
+  concat_ws(' ', summary, 'It is kept in ' || coalesce(path, 'None') || '.', CASE WHEN len(nb) > 0 THEN 'Use it together with ' || array_to_string(nb[1:2], ', ') || '.' END) AS response, id AS refs
   FROM (SELECT n.*, d.* EXCLUDE id FROM (SELECT * FROM ((SELECT * FROM nodes WHERE type = 'recipe' ORDER BY id LIMIT 100) UNION ALL (SELECT * FROM nodes WHERE type = 'capability' ORDER BY id LIMIT 50))
         ORDER BY sha256('howto:' || id), id LIMIT 50) n JOIN detail d USING (id)) WHERE length(summary) >= 20)"""
 DIAGNOSTICS = f"""
 diags AS (SELECT printf('diagnostic_%04d', row_number() OVER (ORDER BY id) - 1) AS id, 'diagnostics' AS type, {_prompt("diagnostics")} AS prompt,
-  concat_ws(' ', summary, 'This error can be raised by: ' || thrown || '.', 'Check the implementation in ' || coalesce(path, 'None') || '.') AS response, id AS refs
+  concat_ws(' ', summary, 'Code that raises it: ' || thrown || '.', 'Look into ' || coalesce(path, 'None') || '.') AS response, id AS refs
   FROM (SELECT n.*, d.* EXCLUDE id, thrown FROM (SELECT * FROM nodes WHERE type = 'error' ORDER BY id LIMIT 50) n JOIN detail d USING (id)
     LEFT JOIN (SELECT target_id, string_agg(name, ', ' ORDER BY r) AS thrown FROM (SELECT target_id, source_id, row_number() OVER (PARTITION BY target_id ORDER BY source_id) AS r FROM edges WHERE relationship = 'throws') t JOIN nodes ON nodes.id = source_id WHERE r <= 3 GROUP BY 1) w ON w.target_id = n.id)
   WHERE length(summary) >= 20)"""
@@ -173,9 +173,9 @@ ORACLE: dict[str, str] = {
     "orphan_edges": g("SELECT source_id, target_id, relationship FROM edges e WHERE NOT EXISTS (SELECT 1 FROM raw WHERE id = e.source_id) OR NOT EXISTS (SELECT 1 FROM raw WHERE id = e.target_id)"),
     "invalid_vocab": g("SELECT 'node_type' AS kind, 'planet' AS value WHERE EXISTS (SELECT 1 FROM raw WHERE id = 'r:0') UNION ALL SELECT 'relationship', 'orbits' WHERE EXISTS (SELECT 1 FROM edges WHERE source_id = 'n:3')"),
     "integrity_report": g("SELECT false AS valid, 'Invalid node types: planet; Invalid relationships: orbits; Orphaned edges: ' || count(*) AS issues FROM edges WHERE source_id NOT IN (SELECT id FROM raw) OR target_id NOT IN (SELECT id FROM raw)"),
-    "traverse_paths_defined_in": _walk("relationship = 'defined_in'", "regexp_matches(id, '^[cs]:')"),
-    "traverse_paths_chain": _walk("relationship = 'depends_on'", "id LIKE 't:%'"),
-    "traverse_paths_cyclic": _walk("relationship = 'calls' AND source_id LIKE 'e:%' AND source_id <> 'e:purchase'", "id LIKE 'e:%'"),
+    "traverse_paths_defined_in": _walk("relationship = 'defined_in'", "true"),
+    "traverse_paths_chain": _walk("relationship = 'depends_on'", "true"),
+    "traverse_paths_cyclic": _walk("relationship = 'calls'", "true"),
     "semantic_types": g("SELECT id, type FROM nodes"),
     "semantic_type_counts": g("SELECT coalesce(t, type) AS type, coalesce(n, 0) AS count FROM (SELECT unnest(['module', 'capability', 'concept', 'error', 'recipe']) AS t) FULL JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) ON t = type"),
     "classification_stats": g("SELECT type, count(*) AS count, type IN ('module', 'capability', 'concept', 'error', 'recipe') AS is_semantic FROM nodes GROUP BY type"),
@@ -189,7 +189,7 @@ ORACLE: dict[str, str] = {
     "summary_concise": g("SELECT id, c AS summary FROM concise"),
     "summary_detailed": g("SELECT id, d AS summary FROM detailed"),
     "summary_technical": g("""SELECT id, concat_ws(' | ', 'Node ID: ' || name, 'Type: ' || type, 'Location: ' || coalesce(path, 'None'), 'Lines: ' || lines, 'Language: ' || lang,
-        CASE WHEN len(neighbors) > 0 THEN 'Dependencies: ' || array_to_string(neighbors, ', ') END,
+        CASE WHEN len(neighbors) > 0 THEN 'Dependencies: ' || len(neighbors) END,
         CASE WHEN id[1] = 'r' THEN 'lines: ' || regexp_extract(properties, '\\d+') WHEN doc <> '' THEN 'start_line: ' || s || ' | end_line: ' || e || ' | public: True | doc: ' || doc
              WHEN e IS NOT NULL THEN 'start_line: ' || s || ' | end_line: ' || e WHEN s IS NOT NULL THEN 'start_line: ' || s END) AS summary FROM context"""),
     "summary_incremental": g("SELECT id, c AS summary FROM concise WHERE id LIKE 'n:%'"),
@@ -207,6 +207,9 @@ ORACLE: dict[str, str] = {
     "duplicate_examples": x("SELECT kind, id FROM dups"),
     "type_distribution": x("SELECT type, count(*) AS count FROM examples GROUP BY type"),
     "dataset_report": x("SELECT *, invalid_examples + invalid_refs + duplicates = 0 AS is_valid FROM (SELECT count(*) AS total_examples, count(*) FILTER (len(found) = 0) AS valid_examples, count(*) FILTER (len(found) > 0) AS invalid_examples FROM issues), (SELECT count(*) FILTER (ok) AS valid_refs, count(*) FILTER (NOT ok) AS invalid_refs FROM checked), (SELECT count(*) AS duplicates FROM dups)"),
+    "dataset_issues": x("""SELECT 'example' AS kind, 'Example ' || id || ' (' || id || '): ' || unnest(found) AS issue FROM issues
+        UNION ALL (SELECT 'reference', 'Invalid node reference: ' || id || ': ' || ref FROM (SELECT id, ref FROM checked WHERE NOT ok ORDER BY id, ref LIMIT 10))
+        UNION ALL (SELECT 'duplicate', CASE kind WHEN 'id' THEN 'Duplicate ID: ' ELSE 'Duplicate prompt: ' END || id FROM (SELECT kind, id FROM dups ORDER BY kind, id LIMIT 10))"""),
     "dataset_percentages": x("SELECT type, count(*) AS count, printf('%.1f', 100.0 * count(*) / (SELECT count(*) FROM examples)) AS percentage FROM examples GROUP BY type"),
     "cosine_topk": "SELECT vec_id, round(c, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings) ORDER BY c DESC, vec_id LIMIT 20",
     "cosine_null_safe": "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding, lambda v: v + 1.0::FLOAT)::DOUBLE[]), 6) END AS similarity FROM embeddings",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.config import DatasetConfig, ExtractorConfig
 from graphloom.operators import qa, validate
 from graphloom.operators.classify import classify
-from graphloom.operators.extract import extract_symbols, to_graph
+from graphloom.operators.extract import extract_symbols, extraction_errors, to_graph
 from graphloom.operators.graph import add_nodes
 from graphloom.operators.instruct import to_instruction
 from graphloom.operators.summaries import generate_summaries
@@ -21,6 +21,8 @@ from graphloom.sources.store import GraphStore, write_instructions
 def build_graph(spark: SparkSession, root: str, config: ExtractorConfig, mode: str = "overwrite") -> GraphStore:
     """Extract a repository into the store. append keeps nodes that are no longer found.
 
+    Files that cannot be read or parsed are in store.errors(), and the rest goes on.
+
     Past the time limit the job group is cancelled and TimeoutError raised.
     """
     store, group = GraphStore(spark, config.out_graph), "graphloom-extract"
@@ -29,7 +31,9 @@ def build_graph(spark: SparkSession, root: str, config: ExtractorConfig, mode: s
     spark.sparkContext.setJobGroup(group, "extract", interruptOnCancel=True)
     timer.start()
     try:
-        nodes, edges = to_graph(extract_symbols(read_contents(spark, list_files(spark, root, config))))
+        symbols = store.stage("symbols", extract_symbols(read_contents(spark, list_files(spark, root, config))))  # parsed once, read by nodes, edges and errors
+        store.write_errors(extraction_errors(symbols))
+        nodes, edges = to_graph(symbols)
         if mode == "append":
             old_nodes, old_edges = store.nodes(), store.edges()
             all_nodes, left = add_nodes(old_nodes, old_edges, nodes.filter("type <> 'external'"))
@@ -41,6 +45,9 @@ def build_graph(spark: SparkSession, root: str, config: ExtractorConfig, mode: s
             staged.write(nodes, edges)
             nodes, edges = staged.nodes(), staged.edges()
         store.write(nodes, edges)
+        store.drop("symbols")
+        if mode == "append":
+            staged.drop("")
     except Exception:
         if late.is_set():
             raise TimeoutError(f"Extraction took more than {config.processing_timeout_seconds} s") from None

@@ -126,23 +126,23 @@ def _paths(df: DataFrame) -> DataFrame:
     return df.select("start", F.array_join("path", ">").alias("path"), "depth")
 
 
+def _all_paths(s, d, relationship: str, depth: int = 3) -> DataFrame:
+    return _paths(traverse.traverse_paths(fx.nodes(s, d).select("id"), fx.edges(s, d), relationship, depth))
+
+
 @query
 def traverse_paths_defined_in(s, d):
-    n = fx.nodes(s, d).select("id").filter(F.col("id").rlike("^[cs]:"))
-    return _paths(traverse.traverse_paths(n, fx.edges(s, d), "defined_in", 3))
+    return _all_paths(s, d, "defined_in")
 
 
 @query
 def traverse_paths_chain(s, d):
-    n = fx.nodes(s, d).select("id").filter(F.col("id").startswith("t:"))
-    return _paths(traverse.traverse_paths(n, fx.edges(s, d), "depends_on", 3))
+    return _all_paths(s, d, "depends_on")
 
 
 @query
 def traverse_paths_cyclic(s, d):
-    n = fx.nodes(s, d).select("id").filter(F.col("id").startswith("e:"))
-    e = fx.edges(s, d).filter(F.col("source_id").startswith("e:") & (F.col("source_id") != "e:purchase"))
-    return _paths(traverse.traverse_paths(n, e, "calls", 3))
+    return _all_paths(s, d, "calls")
 
 
 @query
@@ -302,6 +302,11 @@ def dataset_report(s, d):
     return validate.dataset_report(fx.examples(s, d), fx.nodes(s, d).select("id"), 50, 500, "pos")
 
 
+@query
+def dataset_issues(s, d):
+    return validate.dataset_issues(fx.examples(s, d), fx.nodes(s, d).select("id"), 50, 500, "pos")
+
+
 @query
 def dataset_percentages(s, d):
     from graphloom.plans.build import percentages

@@ -26,13 +26,16 @@ def get_session(app: str = "graphloom", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, a local run) a local folder is set.
+    Where the cluster names none, this raises; only a local master (tests) gets a folder of
+    its own machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; executors share no other folder")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")

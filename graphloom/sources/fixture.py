@@ -101,7 +101,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, ["discovery", "explain", "howto", "diagnostics"])), (F.col("doc_id") % 4 + 1).cast("int"))).alias("type"),
-        F.regexp_extract("text", r"^[^\n]{0,40}", 0).alias("prompt"),
+        F.col("text").alias("prompt"),
         F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" [TODO]"))).otherwise(F.col("text")).alias("response"),
         F.when(F.col("doc_id") % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(bad, F.concat(F.lit("z:"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("c:"), (F.col("doc_id") % 100).cast("string"))))).alias("refs"),
         F.lit("{}").alias("metadata"),

@@ -7,10 +7,13 @@ contents are read by tasks.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.config import ExtractorConfig
 from graphloom.functions.scalar import EXTENSION_LANGUAGE, excluded, language_of
@@ -62,11 +65,32 @@ def list_files(spark: SparkSession, root: str, config: ExtractorConfig) -> DataF
     return kept
 
 
+READ = 64 << 20  # bytes of contents handed on at once
+
+
 def read_contents(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files with content; paths reach the binary reader as an explicit list."""
-    paths = [r[0] for r in files.select("path").toLocalIterator()]
-    if not paths:
-        return files.withColumn("content", F.lit(None).cast("binary"))
-    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(["file://" + p for p in paths])
-    raw = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return files.join(raw, "path")
+    """files with content; null where a file could not be read any more.
+
+    Tasks open the files by their names, on the mount where the listing found them: the
+    engine's own file readers take some characters for patterns and leave out names that
+    begin with _ , as that of a Python package's first file.
+    """
+    columns = files.columns
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            held, size = [], 0
+            for row in part.itertuples(index=False, name=None):
+                try:
+                    content = Path(row[columns.index("path")]).read_bytes()
+                except OSError:
+                    content = None
+                held.append((*row, content))
+                size += len(content or b"")
+                if size >= READ:
+                    yield pd.DataFrame(held, columns=[*columns, "content"])
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=[*columns, "content"])
+
+    spread = files.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+    return spread.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))

@@ -19,6 +19,23 @@ class GraphStore:
         nodes.write.mode(mode).partitionBy("type").parquet(f"{self.path}/nodes")
         edges.write.mode(mode).partitionBy("relationship").parquet(f"{self.path}/edges")
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Write df beside the graph and read it back."""
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Delete a table of the store, or with an empty name the store."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def write_errors(self, errors: DataFrame) -> None:
+        """path, error of the files of the last extraction that gave no symbols."""
+        errors.write.mode("overwrite").parquet(f"{self.path}/errors")
+
+    def errors(self) -> DataFrame:
+        return self.spark.read.schema("path string, error string").parquet(f"{self.path}/errors")
+
     def nodes(self) -> DataFrame:
         return self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.path}/nodes").select(*NODE_SCHEMA.names)
 

@@ -69,8 +69,8 @@ def graph(spark):
 def test_summaries(spark, graph):
     text = {s: {r["id"]: r["summary"] for r in summaries.generate_summaries(*graph, s).collect()} for s in ("concise", "detailed", "anything")}
     assert "bad" not in text["concise"]  # an end without a start
-    assert "None" in text["concise"]["cap2"] and "Related to: process_data." in text["concise"]["cap2"]
-    assert "Spans lines 3-9." in text["detailed"]["cap1"] and "Located" not in text["detailed"]["err"] and "Located at line 4." in text["detailed"]["rec"]
+    assert "None" in text["concise"]["cap2"] and "See also: process_data." in text["concise"]["cap2"]
+    assert "It takes up lines 3-9." in text["detailed"]["cap1"] and "starts on" not in text["detailed"]["err"] and "It starts on line 4." in text["detailed"]["rec"]
     assert text["anything"]["cap1"].endswith("start_line: 3 | end_line: 9 | flag: True | rate: 1.0")
 
 
@@ -88,7 +88,7 @@ def test_questions(spark, graph):
     rows = [r.asDict() for r in found.collect()]
     positive = [r for r in rows if "_neg_" not in r["id"]]
     assert len(rows) == 3 * len(positive) and {r["type"] for r in rows} == {"discovery", "explain", "howto", "diagnostics"}
-    assert any("raised by: main." in r["response"] for r in positive)
+    assert any("raises it: main." in r["response"] for r in positive)
     assert all(json.loads(r["metadata"]) for r in rows)
     none = next(json.loads(r["metadata"]) for r in rows if r["refs"] == ["cap2"] and r["type"] == "discovery" and "_neg_" not in r["id"])
     assert none["file"] is None  # the key stays with a null
@@ -141,3 +141,37 @@ def test_client(spark):
     rows = {r["question"]: r for r in ask(spark.createDataFrame([("good",), ("bad",)], "question string"), lambda: QueryClient("http://h/", post=post)).collect()}
     assert rows["good"]["answer"] == "fine" and rows["bad"]["answer"] is None and "down" in rows["bad"]["error"]
     assert QueryClient("http://h:1/").base_url == "http://h:1"
+
+
+def test_technical_summaries_count_neighbours(graph):
+    text = {r["id"]: r["summary"] for r in summaries.generate_summaries(*graph, "technical").collect()}
+    counts = {r["id"]: len(r["neighbors"]) for r in summaries.node_context(*graph).collect()}
+    assert any(counts.values()) and all((f"Dependencies: {n} |" in text[i] + " |") == (n > 0) for i, n in counts.items())
+
+
+@pytest.mark.parametrize("fraction", [0.01, 0.2, 0.5, 1.0, 1.5])
+def test_exact_split_takes_the_lowest_hashes(spark, fraction):
+    import hashlib
+    import math
+
+    df = spark.range(700).repartition(5)
+    got = {r["id"] for r in instruct.exact_split(df, "id", fraction).filter("split = 'validation'").collect()}
+    order = sorted(range(700), key=lambda i: (hashlib.sha256(f"42:{i}".encode()).hexdigest(), i))
+    assert got == set(order[: min(700, math.ceil(700 * fraction))])
+    assert instruct.exact_split(df.limit(0), "id", fraction).count() == 0
+
+
+def test_shuffled_batches_do_not_depend_on_partitions(spark):
+    df = spark.range(30)
+    assert [list(map(tuple, b)) for b in instruct.batches(df.repartition(7), 8, True)] == [list(map(tuple, b)) for b in instruct.batches(df.coalesce(1), 8, True)]
+
+
+def test_report_has_issues_and_distribution(spark):
+    rows = [("a", "howto", "p", "word " * 60, ["n"], "{}", 0), ("b", "howto", "P ", "TODO", ["x"], "{}", 1), ("b", "odd", "q", "word " * 60, [], "{}", 2)]
+    examples = spark.createDataFrame(rows, "id string, type string, prompt string, response string, refs array<string>, metadata string, pos int")
+    got = validate.report(examples, spark.createDataFrame([("n",)], "id string"), 50, 500, "pos")
+    assert (got["total_examples"], got["valid_examples"], got["invalid_refs"], got["duplicates"], got["is_valid"]) == (3, 1, 1, 2, False)
+    assert got["type_distribution"] == {"howto": 2, "odd": 1}
+    assert got["issues"] == ["Duplicate ID: b", "Duplicate prompt: b", "Example 1 (b): Contains placeholder: TODO", "Example 1 (b): Response too short: 1 tokens (min: 50)", "Example 2 (b): Invalid type: odd", "Example 2 (b): refs list is empty", "Invalid node reference: b: x"]
+    many = examples.filter("pos = 1").withColumn("refs", F.array([F.lit(f"x{i:02}") for i in range(30)]))
+    assert validate.dataset_issues(many, spark.createDataFrame([("n",)], "id string"), order="pos").filter("kind = 'reference'").count() == 10

@@ -111,3 +111,19 @@ def test_stream_adds_each_summary_once(spark, tmp_path):
         summarise_stream(spark, str(tmp_path / "in"), edges, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out")).count() == 3
     assert read_summaries(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_names_with_pattern_characters_and_broken_files(spark, tmp_path):
+    from graphloom.operators.extract import extract_file, extraction_errors, extract_symbols
+    from graphloom.plans.build import build_graph
+
+    src = tmp_path / "re[p]o{1}"
+    (src / "pages").mkdir(parents=True)
+    for name in ("pages/[id].ts", "pages/a*b.ts", "pages/{x}?.ts", "__init__.ts", "pages/i.ts"):
+        (src / name).write_text("export function named() { return 1 }\n")
+    store = build_graph(spark, str(src), ExtractorConfig(languages=["typescript"], out_graph=str(tmp_path / "graph")))
+    assert sorted(r["name"] for r in store.nodes().filter("type = 'file'").collect()) == ["[id].ts", "__init__.ts", "a*b.ts", "i.ts", "{x}?.ts"]
+    assert store.errors().count() == 0 and not (tmp_path / "graph" / "symbols").exists()
+    assert extract_file("/x.py", "python", None)[0]["kind"] == "error"
+    files = spark.createDataFrame([("/x.py", "python", None), ("/y.py", "python", b"def f(): pass\n")], "path string, lang string, content binary")
+    assert [tuple(r) for r in extraction_errors(extract_symbols(files)).collect()] == [("/x.py", "OSError: the file could not be read")]

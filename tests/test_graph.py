@@ -133,3 +133,30 @@ def test_classification_and_its_repeat(spark):
     assert sorted(map(tuple, classify(once).collect())) == sorted(map(tuple, once.collect()))
     counts = {r["type"]: r["count"] for r in classification_counts(classify(df.limit(0))).collect()}
     assert counts == dict.fromkeys(["module", "capability", "concept", "error", "recipe"], 0)
+
+
+def test_neighbours_that_are_no_nodes_take_no_place(spark):
+    nodes = spark.createDataFrame([(i, "function", i.upper(), None, None, "{}") for i in ("a", "m", "z")], N)
+    edges = spark.createDataFrame([("a", f"gone{k}", "calls", 1.0, "{}") for k in range(6)] + [("a", "z", "calls", 1.0, "{}"), ("m", "a", "throws", 1.0, "{}")], E)
+    got = {r["me"]: r["neighbors"] for r in graph.first_neighbors(nodes, edges, 5).collect()}
+    assert got["a"] == ["Z", "M"] and got["z"] == ["A"]
+
+
+def test_repeated_keys_of_added_rows(spark):
+    nodes = spark.createDataFrame([("a", "function", "a", None, None, "{}"), ("b", "function", "b", None, None, "{}")], N)
+    edges = spark.createDataFrame([], E)
+    twice = spark.createDataFrame([("a", "function", "one", None, None, "{}", 1), ("a", "class", "two", None, None, "{}", 2)], N + ", seq int")
+    got, _ = graph.add_nodes(nodes, edges, twice)
+    assert sorted((r["id"], r["name"]) for r in got.collect()) == [("a", "two"), ("b", "b")]
+    with pytest.raises(graph.GraphError, match="Repeated key"):
+        graph.add_nodes(nodes, edges, twice.drop("seq"))
+    calls = spark.createDataFrame([("a", "b", "calls", 1.0, "{}", 1), ("a", "b", "calls", 2.0, "{}", 2)], E + ", seq int")
+    assert [r["weight"] for r in graph.add_edges(nodes, edges, calls).collect()] == [2.0]
+    with pytest.raises(graph.GraphError, match="Repeated key"):
+        graph.add_edges(nodes, edges, calls.drop("seq"))
+
+
+def test_paths_end_before_a_sink_is_reached_or_a_cycle_closes(spark):
+    edges = spark.createDataFrame([(a, b, "calls", 1.0, "{}") for a, b in (("x", "y"), ("y", "x"), ("y", "z"), ("p", "q"), ("q", "p"))], E)
+    got = traverse.traverse_paths(spark.createDataFrame([(i,) for i in "xyzpq"], "id string"), edges, "calls", 3)
+    assert sorted(">".join(r["path"]) for r in got.collect()) == ["x>y>z", "y>z", "z"]
