@@ -9,7 +9,10 @@ their number, checked against the total length and then decoded from chunked fra
 Results for edge cases: a null html is an empty payload; payloads below the limit are
 never revisits; a null page_id is written as response; rows that repeat a page_id are
 each written once, each payload is a revisit or response by itself, and where the page_id
-is the largest of its payload each is the response; a null url is empty; an empty table gives no rows; other columns are not read.
+is the largest of its payload each is the response; a null url is empty; very long payloads
+are segmented, and held whole only where their segments meet; an empty table gives no rows;
+other columns, whatever their names, are not read. A revisit must refer to a response with
+its digest and length, or reading fails.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare, scratch, stage
+from graphloom.llm.staging import few, prepare, scratch, stage
 
 REVISIT_BYTES = 1000
 CHUNK = 8 << 10  # of the chunked transfer framing
 SEGMENT = 16 << 10  # of a record's block
 ARCHIVE = 4 << 20  # bytes at which an archive is closed
+RAW = 16 << 20  # bytes before compression at which it is closed too
+READ = 8 << 20  # bytes of segments handed on at once
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -87,7 +92,7 @@ def page_records(page: int | None, url: str, payload: bytes, digest: str, refers
 
 def write_archives(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     task = TaskContext.get().partitionId()
-    held, size, archives, n = [], 0, 0, 0
+    held, size, raw, archives, n = [], 0, 0, 0, 0
     for part in parts:
         for page, url, html, digest, refers in zip(part["page_id"], part["url"], part["html"], part["digest"], part["refers_to"], strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
@@ -95,9 +100,10 @@ def write_archives(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for member in page_records(None if pd.isna(page) else int(page), url or "", payload, digest, None if pd.isna(refers) else int(refers), f"{task}.{n}"):
                 held.append(member)
                 size += len(member)
-                if size >= ARCHIVE:
+                raw += min(len(payload), SEGMENT)
+                if size >= ARCHIVE or raw >= RAW:
                     yield pd.DataFrame({"archive": [f"part-{task:05d}-{archives:05d}.warc.gz"], "content": [b"".join(held)]})
-                    held, size, archives = [], 0, archives + 1
+                    held, size, raw, archives = [], 0, 0, archives + 1
     if held:
         yield pd.DataFrame({"archive": [f"part-{task:05d}-{archives:05d}.warc.gz"], "content": [b"".join(held)]})
 
@@ -126,8 +132,8 @@ def payload_of(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-READ = "origin string, number int, total long, page_id long, payload_bytes long, payload_digest string, stated string, record_type string, refers_to long, block binary"
-COLUMNS = [f.split()[0] for f in READ.split(", ")]
+RECORDS = "origin string, number int, total long, page_id long, payload_bytes long, payload_digest string, stated string, record_type string, refers_to long, block binary"
+COLUMNS = [f.split()[0] for f in RECORDS.split(", ")]
 
 
 def page_of(name: str) -> int | None:
@@ -153,9 +159,14 @@ def read_row(fields: dict[str, str], block: bytes) -> tuple:
 def read_archives(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for content in part["content"]:
-            rows = [read_row(f, b) for f, b in parse_archive(content)]
-            df = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
-            yield df
+            rows, size = [], 0
+            for fields, block in parse_archive(content):
+                rows.append(read_row(fields, block))
+                size += len(rows[-1][-1] or b"")
+                if size >= READ:
+                    yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
 
 def reassemble(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,13 +204,24 @@ def write_warc(pages: DataFrame) -> DataFrame:
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
-    rows = stage(archives.select("content").mapInPandas(read_archives, READ), "records")
+    rows = stage(archives.select("content").mapInPandas(read_archives, RECORDS), "records")
     done = rows.filter("number is null").select(*COLUMNS[3:9])
     pieces = F.array_sort(F.collect_list(F.struct("number", "block"))).alias("pieces")
     whole = rows.filter("number is not null").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("stated").alias("stated"), F.max("total").alias("total"), pieces)
     got = done.unionByName(whole.mapInPandas(reassemble, "page_id long, payload_bytes long, payload_digest string, stated string, record_type string, refers_to long"))
     checked = F.when(F.col("payload_digest") == F.col("stated"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its stated digest")))
-    return got.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    read = stage(got.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to"), "read")
+    return read.filter("record_type <> 'revisit'").unionByName(resolved(read))
+
+
+def resolved(read: DataFrame) -> DataFrame:
+    """The revisits, each of which must refer to a response with its payload's digest and length."""
+    known = read.filter("record_type <> 'revisit'").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("its"), F.col("payload_bytes").alias("size"))
+    known = stage(known.join(read.filter("record_type = 'revisit'").select(F.col("refers_to").alias("to")).distinct(), "to", "left_semi").distinct(), "responses")
+    same = (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("its")) & (F.col("payload_bytes") == F.col("size"))
+    found = read.filter("record_type = 'revisit'").join(few(known), same, "left")
+    to = F.when(F.col("to").isNotNull(), F.col("refers_to")).otherwise(F.raise_error(F.lit("a revisit refers to no response with its payload")).cast("bigint"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", to.alias("refers_to"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

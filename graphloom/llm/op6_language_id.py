@@ -7,7 +7,8 @@ set of arrays for all languages, with a row of log-probabilities a language; a t
 scored by one search a character, and by shorter n-grams where that misses. The language
 of the lowest cross-entropy a character wins. Texts whose best cross-entropy lies above
 what calibration texts of that language, kept out of the counts, make likely, for their
-length, are rejected (column rejected).
+length, are rejected (column rejected), as are texts more than half of whose characters no
+language's sample has.
 
 The sample is bounded by SAMPLE_BYTES a language, taken in the order of a hash from texts
 and pieces of long texts; each labelled language with a letter outside the held-out fold
@@ -43,6 +44,7 @@ FOLDS = 5
 CHUNK_CHARS = 1 << 17  # scored at once
 PAD = 2
 DEVIATIONS, SLACK = 8.0, 0.5  # of the calibration texts; nats a character
+UNSEEN = 0.5  # of a text's characters, beyond which it is in no learned script
 CONFIDENCE_CHARS = 50.0  # characters that the score counts as independent, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what normalise leaves, to the engine
@@ -146,6 +148,10 @@ class Models:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy a character, in nats: a row a text, a column a language."""
+        return self.measure(texts)[0]
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropies, and the share of each text's characters that no language's sample has."""
         codes, begin = code_points(texts)
         at = places(begin, texts)
         n = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -173,17 +179,18 @@ class Models:
         score[left] += self.floor
         edge = np.cumsum(n) - n
         sums = np.add.reduceat(score, edge, axis=0, dtype=np.float64) if len(at) else np.zeros((len(texts), len(self.languages)))
-        return -sums / np.maximum(n, 1)[:, None]
+        unseen = np.bincount(np.searchsorted(edge, left, "right") - 1, minlength=len(texts)) if len(left) else np.zeros(len(texts))
+        return -sums / np.maximum(n, 1)[:, None], unseen / np.maximum(n, 1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of normalised texts that are not empty."""
-        h = self.entropies(texts)
+        h, unseen = self.measure(texts)
         n = np.fromiter(map(len, texts), float, len(texts))
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
         near = np.exp(-np.minimum(n, CONFIDENCE_CHARS)[:, None] * (h - low[:, None]))
         mean, spread, each = self.limits[best].T
-        rejected = low > mean + SLACK + DEVIATIONS * (spread + each / np.sqrt(n))
+        rejected = (low > mean + SLACK + DEVIATIONS * (spread + each / np.sqrt(n))) | (unseen > UNSEEN)
         return [self.languages[i] for i in best], 1 / near.sum(1), rejected
 
 

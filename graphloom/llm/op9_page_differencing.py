@@ -8,9 +8,10 @@ is a copy is judged by the lines that are left after those common to the host ar
 out: lines on at least COMMON different pages and on half of them. Pages count as
 different if neither host and path nor the lines are equal.
 Markup decides only what it states: scripts, styles, forms, navigation, headers, footers,
-asides and elements that name themselves adverts, notices or comments are never text, and
+asides and boxes with a whole name of adverts, notices or comments are never text, and
 what lies inside article or main is protected, since copies of one article under two
-URLs share all of it.
+URLs share all of it; inside, only boxes of adverts and comments go by their names. A first
+heading in a header is text where the page has no landmark and no page near it shares it.
 
 The sort is a range exchange of line hashes, once in each direction, so that a page meets
 only pages before it and a task holds a few different pages at a time. The pages at the
@@ -49,7 +50,7 @@ LITTLE = 0.02  # of a page's characters: too little left to judge by
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements of the HTML standard by what they say of the text inside, and names that sites give to page furniture.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "select", "noframes", "xmp"}
 # Of these, elements whose content is characters only: no tag or comment begins inside.
 CHARACTERS = {"script", "style", "noscript", "textarea", "title", "iframe", "noframes", "xmp"}
 ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in CHARACTERS}
@@ -61,22 +62,40 @@ BLOCKS = {
     "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|side-bar|footer|header|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|replies|pagination|pager|widget|toolbar|search)(?:$|[\s_-])",
-    re.I,
-)
-OPEN, KEPT, DROPPED = 0, 1, 2
+# Whole names, in a class or an id, of boxes that are no article text; parts of other names do not count.
+ADVERTS_AND_COMMENTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsored", "comments", "commentlist", "disqus", "respond", "comment-list", "comments-list", "comment-section", "comments-section", "comments-area", "ad-slot", "ad-unit", "ad-container", "ad-banner"}
+BOXES = ADVERTS_AND_COMMENTS | {
+    "promo", "banner", "nav", "navbar", "navigation", "menu", "sidebar", "side-bar", "footer", "header", "masthead", "topbar", "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
+    "signup", "login", "share", "sharing", "social", "pagination", "pager", "widget", "toolbar", "site-header", "site-footer", "main-nav", "main-menu", "cookie-notice", "cookie-banner", "share-buttons", "newsletter-signup",
+}
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "figure", "fieldset"}
+OPEN, KEPT, DROPPED, TITLE, HEADER = 0, 1, 2, 3, 4  # TITLE: a first heading in a header, which is text where the page has no landmark
+
+
+def names_a_box(tag: str, given: dict[str, str], outer: int) -> bool:
+    """Whether an element names itself as something else than text.
+
+    A container does by one whole name, another element if all its names are such. Inside a
+    landmark only adverts and comments count.
+    """
+    known = ADVERTS_AND_COMMENTS if outer == KEPT else BOXES
+    names = [x for key in ("class", "id") for x in given.get(key, "").lower().split()]
+    return bool(names) and (any if tag in CONTAINERS else all)(x in known for x in names)
 
 
 def zone_of(tag: str, attributes: str, outer: int) -> int:
     """Zone of an element by its tag and attributes inside the outer zone."""
-    if outer == DROPPED or tag in FURNITURE or (tag == "header" and outer != KEPT):
+    if tag == "h1" and outer == HEADER:
+        return TITLE
+    if tag == "header" and outer == OPEN:
+        return HEADER  # a header, in which a first heading may stay
+    if outer == DROPPED or tag in FURNITURE or tag == "header" and outer != KEPT:
         return DROPPED
     given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = given.get("role", "").lower()
-    if tag not in ("body", "html") and tag not in LANDMARKS and (role in ROLES or "hidden" in given or NAMES.search(given.get("class", "")) or NAMES.search(given.get("id", ""))):
+    if tag not in ("body", "html") and tag not in LANDMARKS and (role in ROLES or "hidden" in given or names_a_box(tag, given, outer)):
         return DROPPED
-    return KEPT if tag in LANDMARKS or role == "main" or given.get("itemprop") == "articleBody" else outer
+    return outer if outer == HEADER else KEPT if tag in LANDMARKS or role == "main" or given.get("itemprop") == "articleBody" else outer
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
@@ -98,7 +117,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     while m := TOKEN.match(page, at):
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
-            if not skip and zone != DROPPED:
+            if not skip and zone not in (DROPPED, HEADER):
                 held.append(token)
             continue
         if token[1] in "!?":
@@ -148,7 +167,9 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             zone = new
         stack.append((name, zone))
     flush()
-    return out
+    if any(z == KEPT for z, _ in out):
+        return [(z, t) for z, t in out if z != TITLE]
+    return [(OPEN, t) for _, t in out]
 
 
 def url_key(url: str | None) -> tuple[str, str]:

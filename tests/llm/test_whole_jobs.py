@@ -91,3 +91,107 @@ def test_every_segment_is_compared_with_the_reference(monkeypatch):
     with pytest.raises(ValueError, match="odd"):
         own.encode(["first text", "an odd text"])
     assert "odd" not in own.known
+
+
+def test_revisits_refer_to_a_response_with_their_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 2000), (2, "u", "x" * 2000), (None, "v", "y" * 1500)], "page_id long, url string, html string")
+    archives = op4.write_warc(pages)
+    assert sorted((r["page_id"] or 0, r["refers_to"]) for r in op4.read_warc(archives).collect()) == [(0, None), (1, 2), (2, None)]
+    read = spark.createDataFrame([(1, 2000, "aa", "revisit", 2), (2, 2000, "bb", "response", None)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    with pytest.raises(Exception, match="refers to no response"):
+        op4.resolved(read).collect()
+
+
+def test_archives_roll_by_raw_bytes_and_long_payloads(spark):
+    pages = spark.createDataFrame([(i, "u", "a" * 3_000_000 + str(i)) for i in range(14)] + [(90, "u", None)], "page_id long, url string, html string").coalesce(1)
+    archives = op4.write_warc(pages.withColumn("content", op4.F.lit(1)).withColumn("archive", op4.F.lit("x")))
+    assert archives.count() >= 2  # far below ARCHIVE bytes when compressed
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in op4.read_warc(archives).collect()) == [(i, 3_000_000 + len(str(i))) for i in range(14)] + [(90, 0)]
+    assert op4.read_warc(op4.write_warc(pages.withColumn("page_id", op4.F.lit(None).cast("long")))).count() == 15
+
+
+def test_names_of_boxes_count_whole_and_little_inside_articles():
+    text = lambda page: [t for _, t in op9.blocks_of(page)]
+    assert text("<article><p class='related work'>a</p><div id='search-results'>b</div><p>x <math><mi>y</mi></math></p><div class='big ad'>no</div><div class=comments>no</div><div class='menu card'>c</div></article>") == ["a", "b", "x y", "c"]
+    assert text("<div class='promotion'>a</div><div class='menu'>no</div><p class='share'>no</p><p class='share holders'>b</p>") == ["a", "b"]
+    assert text("<header><div><h1>Title</h1><p>no</p></div></header><p>a</p>") == ["Title", "a"]
+    assert text("<header><h1>Site</h1></header><article><header><h1>Own</h1></header>a</article>") == ["Own", "a"]
+
+
+def test_differencing_does_without_markup(spark):
+    """The same texts where every element of the site is a plain div."""
+    menu, foot = "".join(f"<li>Entry {i}</li>" for i in range(7)), "".join(f"<p>Foot {i}</p>" for i in range(3))
+    story = lambda i: f"<p>Story {i} opens</p><p>and story {i} closes</p>"
+    marked = [(i, f"http://a.org/s/{i:02}", f"<body><nav class=menu><ul>{menu}</ul></nav><header class=top><p>Our site</p></header><article>{story(i)}</article><footer>{foot}</footer></body>") for i in range(9)]
+    plain = [(i, u, op9.re.sub(r"<(/?)[a-z]+[^>]*>", r"<\1div>", page)) for i, u, page in marked]
+    texts = [{r["page_id"]: r["text"] for r in op9.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()} for rows in (marked, plain)]
+    assert texts[0] == texts[1] == {i: f"Story {i} opens and story {i} closes" for i in range(9)}
+
+
+def test_differencing_against_brute_force(spark):
+    """Every line that a page shares, in order, with one of the two different pages next to it on each side goes."""
+    import random
+
+    rng = random.Random(5)
+    rows = [[f"Menu {k}" for k in range(rng.randrange(3, 6))] + [f"line {rng.randrange(60)} of the pool" for _ in range(rng.randrange(6, 14))] + ["Foot"] for _ in range(30)]
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    pages = spark.createDataFrame([(i, f"http://h.org/{i:03}", "".join(f"<div>{x}</div>" for x in lines)) for i, lines in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in op9.extract_main_text(pages.repartition(5)).collect()}
+    for i, lines in enumerate(rows):
+        near = [rows[k] for k in (i - 2, i - 1, i + 1, i + 2) if 0 <= k < len(rows)]
+        text, shared = got[i]
+        assert max(lcs(lines, other) for other in near) <= shared <= sum(lcs(lines, other) for other in near)
+        left = [x for x in lines if x in text]
+        assert "Foot" not in left and not any(x.startswith("Menu 0") for x in left)
+        assert all(any(x in other for other in near) for x in set(lines) - set(left))
+    assert sum(n for _, n in got.values()) > 100
+
+
+def test_kneser_ney_against_a_dictionary():
+    texts = ["abra cadabra", "a barb and a crab", "cab"]
+    pad = chr(op6.PAD) * (op6.ORDER - 1)
+    seen = [pad + t for t in texts]
+    grams = {k: [s[i - k + 1 : i + 1] for s in seen for i in range(op6.ORDER - 1, len(s))] for k in range(1, op6.ORDER + 1)}
+    counts = {op6.ORDER: {g: grams[op6.ORDER].count(g) for g in grams[op6.ORDER]}}
+    for k in range(1, op6.ORDER):
+        longer = set(grams[k + 1])
+        counts[k] = {g: sum(x[1:] == g for x in longer) for g in grams[k]}
+
+    def discount(k):
+        n1, n2 = (sum(c == n for c in counts[k].values()) for n in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        same = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return lower
+        d = discount(k)
+        return max(counts[k].get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    models = op6.fit(op6.pd.DataFrame({"lang": "a", "text": texts, "calibration": False}))
+    for text in ("abra", "crab cab", "zebra", "q", "dab a cad"):
+        s = pad + text
+        want = -sum(op6.np.log(p(s[i - op6.ORDER + 1 : i + 1])) for i in range(op6.ORDER - 1, len(s))) / len(text)
+        assert abs(models.entropies([text])[0, 0] - want) < 1e-4, text
+    for context in ("", "a", "ca", "zz"):
+        s = (pad + context)[-(op6.ORDER - 1) :]
+        assert abs(sum(p(s + c) for c in counts[1]) + p(s + "\0") - 1) < 1e-9  # one place is left for what was not seen
+
+
+def test_unknown_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = op6.learn(docs)
+    odd = ["Это предложение написано на русском языке и должно быть отклонено моделью", "これは日本語で書かれた文章ですから却下されるはずです", "αυτή η πρόταση είναι γραμμένη στα ελληνικά και πρέπει να απορριφθεί", "xkqz wvbk zzqj kxvw qqjz vkxb wqzk jxqv bkzw qvxj zkqw", "هذه الجملة مكتوبة باللغة العربية ويجب رفضها"]
+    _, _, rejected = models.predict([op6.normalise(t) for t in odd])
+    assert rejected.all()
+    known = [r["text"] for r in docs.filter("lang is not null and length(text) > 200").select("text").limit(200).collect()]
+    assert models.predict([op6.normalise(t) for t in known])[2].mean() <= 0.01
