@@ -142,14 +142,17 @@ def neighbors(nodes: DataFrame, edges: DataFrame, direction: str = "outgoing", r
     return seen.withColumnRenamed("properties", "e_properties").join(nodes, F.col("nb") == F.col("id")).select("me", *nodes.columns, edge)
 
 
-def first_neighbors(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def first_neighbors(nodes: DataFrame, edges: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
     """me, neighbors: the names of the first k neighbours by (relationship, id, direction).
 
+    only (a column id) narrows to some nodes; edges of others are then left out first.
     Ends that no node has take no place. Only the k best (relationship, id, direction) of
     each node reach the join with names; the rank filter is pushed into a per-partition
     group limit.
     """
     seen = neighbor_edges(edges, "both").select("me", "relationship", "nb", "direction")
+    if only is not None:
+        seen = seen.join(only.select(F.col("id").alias("me")), "me", "left_semi")
     seen = seen.join(nodes.select(F.col("id").alias("nb")), "nb", "left_semi")
     w = Window.partitionBy("me").orderBy("relationship", "nb", "direction")
     top = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)

@@ -165,6 +165,17 @@ def generate_all(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, count
     return out.unionByName(negatives(out, nodes, summaries, k)) if k > 0 else out
 
 
+def chosen_ids(nodes: DataFrame, edges: DataFrame, count: int) -> DataFrame:
+    """id of every node that some category, with so many examples, or the pool of wrong answers takes.
+
+    The choices read no summaries, so that only those of these few nodes need be made.
+    """
+    of = lambda kind, n: nodes.filter(F.col("type") == kind).select("id").orderBy("id").limit(n)
+    top = out_degree_topk(nodes, edges, count, ["capability", "concept", "class"]).select("id")
+    pool = nodes.select("id").orderBy("id").limit(POOL)
+    return of("capability", count).unionByName(of("recipe", 2 * count)).unionByName(of("error", count)).unionByName(top).unionByName(pool).distinct()
+
+
 def shuffled(examples: DataFrame, seed: str = "shuffle") -> DataFrame:
     """Examples in a seeded order."""
     return examples.orderBy(*shuffle_order("id", seed))

@@ -138,6 +138,7 @@ negs AS (SELECT id || '_neg_' || i || '_' || (pos * 2 + i) AS id, type, prompt,
   FROM (SELECT *, id || '#' || i AS key FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, unnest([0, 1]) AS i FROM discovery)) p
   JOIN pool ON slot = {_number("key", "negative")} % (SELECT count(*) FROM pool))"""
 COLS = "id, type, prompt, response, refs"
+POSITIVES = "positives AS (" + " UNION ALL ".join(f"SELECT {COLS}, NULL AS node_name, NULL AS node_type, NULL AS file FROM {x}" for x in ("discovery", "explains", "howtos", "diags")) + ")"
 WALK = """
 hop AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE {where}),
 walk AS (SELECT id AS start, id AS cur, [id] AS path FROM raw WHERE {starts}
@@ -200,7 +201,7 @@ ORACLE: dict[str, str] = {
     "qa_diagnostics": g(f"SELECT {COLS} FROM diags", SUMMARY, DIAGNOSTICS),
     "qa_negatives": g(f"SELECT {COLS} FROM negs", SUMMARY, DISCOVERY, POOL, NEGATIVES),
     "qa_metadata": g("SELECT id, node_name, node_type, file, 'true' AS is_negative, original_id FROM negs", SUMMARY, DISCOVERY, POOL, NEGATIVES),
-    "qa_all": g("SELECT type, count(*) * 3 AS examples, count(*) * 3 AS ids FROM (SELECT type FROM discovery UNION ALL SELECT type FROM explains UNION ALL SELECT type FROM howtos UNION ALL SELECT type FROM diags) GROUP BY type", SUMMARY, DISCOVERY, EXPLAIN, HOWTO, DIAGNOSTICS),
+    "qa_all": g(f"SELECT {COLS} FROM positives UNION ALL SELECT {COLS} FROM negs", SUMMARY, DISCOVERY, EXPLAIN, HOWTO, DIAGNOSTICS, POOL, POSITIVES, NEGATIVES.replace("FROM discovery)", "FROM positives)")),
     "token_estimate": "SELECT doc_id, round(len(regexp_extract_all(text, '[^\\s\\x{00A0}]+')) * 1.3::DOUBLE, 4) AS tokens FROM documents",
     "example_issues": x("SELECT id, array_to_string(found, '; ') AS issues FROM issues"),
     "ref_validation": x("SELECT id, ref, ok FROM checked"),

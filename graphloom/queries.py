@@ -227,7 +227,8 @@ def _qa(df: DataFrame) -> DataFrame:
 
 def _parts(s, d):
     n, e = _typed(s, d)
-    return n, e, summaries.generate_summaries(n, e, "detailed")
+    ids = qa.chosen_ids(n, e, 50).collect()  # at most 1250
+    return n, e, summaries.generate_summaries(n, e, "detailed", only=s.createDataFrame(ids, "id string"))
 
 
 @query
@@ -268,7 +269,7 @@ def qa_metadata(s, d):
 
 @query
 def qa_all(s, d):
-    return qa.generate_all(*_parts(s, d), dict.fromkeys(["discovery", "explain", "howto", "diagnostics"], 50), 2).groupBy("type").agg(F.count("*").alias("examples"), F.count_distinct("id").alias("ids"))
+    return _qa(qa.generate_all(*_parts(s, d), dict.fromkeys(["discovery", "explain", "howto", "diagnostics"], 50), 2))
 
 
 @query
