@@ -162,7 +162,10 @@ def generate_all(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, count
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no category has a positive count")
-    return out.unionByName(negatives(out, nodes, summaries, k)) if k > 0 else out
+    if k <= 0:
+        return out
+    out = out.persist()  # a few rows a requested example, read by the answers and by the wrong ones
+    return out.unionByName(negatives(out, nodes, summaries, k))
 
 
 def chosen_ids(nodes: DataFrame, edges: DataFrame, count: int) -> DataFrame:

@@ -228,7 +228,7 @@ def _qa(df: DataFrame) -> DataFrame:
 def _parts(s, d):
     n, e = _typed(s, d)
     ids = qa.chosen_ids(n, e, 50).collect()  # at most 1250
-    return n, e, summaries.generate_summaries(n, e, "detailed", only=s.createDataFrame(ids, "id string"))
+    return n, e, summaries.generate_summaries(n, e, "detailed", only=s.createDataFrame(ids, "id string")).persist()  # as many rows
 
 
 @query
