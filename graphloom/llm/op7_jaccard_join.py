@@ -61,7 +61,7 @@ PLACES = 1 << 16  # of the global order; the rare shingles of the range take the
 RARE_PLACES, KNOWN_PLACES = int(0.35 * PLACES), int(0.1 * PLACES)
 FRAGMENTS = 4  # of the global order, at least, in which overlaps are counted
 CELL_SHINGLES = 200_000  # of one cell's fragment
-CELL_PAIRS = 512  # of one cell before it is dealt out by member
+CELL_PAIRS = 128  # of one cell before it is dealt out
 LIST_ROWS = 512  # of one posting list before it is dealt out in blocks
 PERMUTATIONS = 8
 SKETCH_BITS = 1024  # of a set's parity sketch; it affects cost, not results
@@ -497,15 +497,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = F
     """The components (ca, cb) of the pairs of which 100 * overlap >= percent * union; None without pairs.
 
     A pair is counted in the cell of its first set, in each fragment of the global order. A
-    cell with many pairs is dealt out by the first set, and one with many shingles is cut
-    into more fragments.
+    cell with many pairs is dealt out by a hash of the pair, and one with many shingles is
+    cut into more fragments.
     """
     spark = sets.sparkSession
     p = stage(pairs.distinct(), "pairs")
     if p.isEmpty():
         return None
     deals = stage(p.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("deals")), "deals")
-    p = stage(p.join(few(deals), "cell").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals"), "dealt")
+    p = stage(p.join(few(deals), "cell").withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.col("deals")).cast("int")).drop("deals"), "dealt")
     ends = p.select("cell", "deal", F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(p.select("cell", "deal", F.col("b").alias("cls"), F.col("nb").alias("n")))
     need = stage(ends.distinct(), "ends")
     cuts = stage(need.groupBy("cell", "deal").agg(F.greatest(F.lit(fragments), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cuts")), "cuts")

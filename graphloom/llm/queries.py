@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import op1_token_counts as op1
 from graphloom.llm import op2_topk_search as op2
 from graphloom.llm import op3_sentencepiece as op3
@@ -25,4 +27,32 @@ REGISTRY = {
     "op9_page_differencing": op9.op9_page_differencing,
     "op10_media_sequences": op10.op10_media_sequences,
 }
-ORACLE = {"op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE}
+
+
+def mixing_targets(spark, sf_dir):
+    """What op8 decides before any draw: sizes and targets."""
+    got = op8.op8_mixing(spark, sf_dir)
+    return got.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def media_digests(spark, sf_dir):
+    """What op10 reads back, without its features and checksum."""
+    return op10.op10_media_sequences(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+REGISTRY |= {"mixing_targets": mixing_targets, "media_digests": media_digests}
+TARGETS = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+k AS (SELECT *, 2 * source_size::DOUBLE AS cap, 2 * source_size / w AS height FROM p),
+l AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM p) - (SELECT coalesce(sum(cap), 0) FROM k o WHERE o.height < k.height)) / (SELECT sum(w) FROM k o WHERE o.height >= k.height) AS level FROM k),
+t AS (SELECT source, source_size, CASE WHEN height <= level THEN cap ELSE w * (SELECT arg_min(level, height) FROM l WHERE height > level) END AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+DIGESTS = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes, (greatest(1, ceil(octet_length(b) / 576.0)) * 576)::BIGINT AS payload_bytes FROM d),
+p AS (SELECT doc_id, n_bytes, payload_bytes, b || repeat('\xFF'::BLOB, payload_bytes - n_bytes) AS payload, encode('P5' || chr(10) || '24 ' || payload_bytes // 24 || chr(10) || '255' || chr(10)) AS head FROM n)
+SELECT doc_id, n_bytes, payload_bytes, sha256(payload) AS payload_sha256, (octet_length(head) + payload_bytes)::BIGINT AS media_bytes, sha256(head || payload) AS media_sha256 FROM p
+"""
+ORACLE = {"mixing_targets": TARGETS, "media_digests": DIGESTS, "op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE}

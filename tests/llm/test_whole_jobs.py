@@ -195,3 +195,45 @@ def test_unknown_languages_and_noise_are_rejected(spark):
     assert rejected.all()
     known = [r["text"] for r in docs.filter("lang is not null and length(text) > 200").select("text").limit(200).collect()]
     assert models.predict([op6.normalise(t) for t in known])[2].mean() <= 0.01
+
+
+def test_mix_copies_equal_rows_and_keeps_others_apart(spark):
+    from collections import Counter
+
+    from graphloom.llm import op8_mixing as op8
+
+    hot = [(1, "one two three", "en", "a", 0)] * 300
+    rows = hot + [(1, "one two three", None, "a", 0), (1, "one two three", "en", None, 0), (None, "four five", "en", "b", 1), (None, "four five", "de", "b", 1), (2, None, "en", "b", 2), (3, "six " * 50_000, "en", "c", 3)] + [(10 + i, f"word {i} and more", "en", "b", 4) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies long").repartition(5)
+    want = Counter(rows)
+    runs = [Counter(tuple(r) for r in op8.mix(docs).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and all(n <= 2 * want[r] for r, n in runs[0].items())
+    targets = {r["source"]: r["target"] for r in op8.decide(docs).select("source", "target").distinct().collect()}
+    for source, target in targets.items():
+        taken = [(r, n) for r, n in runs[0].items() if r[3] == source]
+        assert abs(sum(len((r[1] or "").split()) * n for r, n in taken) - target) <= max((len((r[1] or "").split()) for r, _ in taken), default=0)
+    assert op8.mix(docs).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    learned = [(100 + i, f"the words of this english text number {i} are plain and many of them are common words", "en", "a", 0, "x", 1) for i in range(30)]
+    long = "the words of this english text are plain and many of them are common words " * 3000
+    odd = [(1, None, None, None, None, "x", 1), (2, "", "en", "a", 0, "x", 1), (3, "12 !", "en", "a", 0, "x", 1), (4, learned[0][1], "en", None, None, None, None), (4, learned[0][1], "en", None, None, None, None), (None, "the words of this english text without number are plain and many of them are common", "en", "a", 1, "y", 2), (5, long, None, "b", 2, "z", 3)]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, cls string, _copies int"
+    for name, rows in (("odd", learned + odd), ("none", [])):
+        docs = spark.createDataFrame(rows, cols).repartition(3)
+        for stage, function in corpus_pipeline.STAGES:
+            out = function(spark, docs, sf_dir)
+            assert stage == "tokens" or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            got = [r["doc_id"] for r in docs.collect()]
+            assert rows or not got
+            if rows and stage == "language":
+                assert not {1, 2, 3} & set(got) and {4, 5, None, 100} <= set(got) and got.count(4) == 2
+            elif rows and stage == "near_duplicates":
+                assert 4 in got and got.count(4) == 1 and {5, None} <= set(got) and 100 not in got
+            elif rows and stage == "tokens":
+                assert all(r["round_trip"] for r in docs.collect())
