@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare
+from graphloom.llm.staging import prepare, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -308,7 +308,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, parity_every: int = PA
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # the model file
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return given.mapInPandas(encoding(shared, parity_every), OUT)
+    return given.mapInPandas(tidy(encoding(shared, parity_every)), OUT)
 
 
 def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:

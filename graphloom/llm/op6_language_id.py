@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.staging import prepare
+from graphloom.llm.staging import give_back, prepare, tidy
 
 ORDER = 4
 SAMPLE_BYTES = 1 << 20  # of text that a language's counts are taken from
@@ -313,7 +313,7 @@ def predicting(shared):
 def predict(docs: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row; only the text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(predicting(shared), PREDICTED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(tidy(predicting(shared)), PREDICTED)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -330,6 +330,12 @@ def keep_known(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("boolean")
     def rejected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         step = predicting(models)
+        try:
+            yield from known(step, parts)
+        finally:
+            give_back()
+
+    def known(step, parts):
         for part in parts:
             frame = pd.DataFrame({"doc_id": np.arange(len(part)), "text": part.to_numpy()})
             yield pd.concat(list(step(iter([frame]))) or [pd.DataFrame({"rejected": []})])["rejected"].astype(bool).reset_index(drop=True)

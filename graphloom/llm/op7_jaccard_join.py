@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import WORDS, mix, shingle_sets
-from graphloom.llm.staging import even_keys, few, partitions, prepare, scratch, stage, text_bytes
+from graphloom.llm.staging import even_keys, few, partitions, prepare, scratch, stage, text_bytes, tidy
 
 PERCENT = 80
 CHUNK_BYTES = 1 << 19  # of text hashed at once
@@ -616,8 +616,8 @@ def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFr
     spark = given.sparkSession
     known = given.filter("doc_id is not null")
     fragments = max(partitions(spark), -(-int(text_bytes(known) * RANGE) // (6 * FRAGMENT_SHINGLES)))
-    packed = known.mapInPandas(pack(words, fragments, even_keys(fragments)), PACKED).repartition(fragments, "key")
-    counted = stage(packed.mapInPandas(count_shared(percent), COUNTED), "shared", "kind")
+    packed = known.mapInPandas(tidy(pack(words, fragments, even_keys(fragments))), PACKED).repartition(fragments, "key")
+    counted = stage(packed.mapInPandas(tidy(count_shared(percent)), COUNTED), "shared", "kind")
     light = counted.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n"), F.col("d").alias("m"))
     classes = stage(light.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("copies")), "classes")
     shared = stage(counted.filter("kind = 1").groupBy(F.col("a").alias("short")).agg(F.sum("b").alias("shared")), "sums")
@@ -625,7 +625,7 @@ def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFr
 
     frequent = spark.sparkContext.broadcast(known_order(counted.filter("kind = 2").select("a", "b")))
     reps = stage(alive.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    made = known.join(few(reps), "doc_id", "left_semi").mapInPandas(make_sets(words, percent, fragments, frequent), SETS)
+    made = known.join(few(reps), "doc_id", "left_semi").mapInPandas(tidy(make_sets(words, percent, fragments, frequent)), SETS)
     sets = stage(made.join(few(alive.select("cls")), "cls", "left_semi"), "sets")
     if sets.count() > alive.count():  # a row that is there several times
         sets = stage(sets.dropDuplicates(["cls"]), "sets")
