@@ -16,7 +16,8 @@ has at least one in it. Calibration takes what follows, of other documents. So t
 broadcast models are bounded too: at most 4 n-grams a sampled character at 8 bytes, with
 4 bytes a language.
 
-Results for edge cases: a null text, or one without a letter, is und with score 0 and is
+Results for edge cases: a null text, or one without a letter (fractions and raised or
+circled numbers are none), is und with score 0 and is
 rejected, as are all texts where no labelled text was learned from; a null doc_id is not
 held out and not learned from; rows with a null lang are not learned from; ties go to the
 first language in code point order; repeated rows are each returned; an empty table
@@ -47,13 +48,17 @@ DEVIATIONS, SLACK = 8.0, 0.5  # of the calibration texts; nats a character
 UNSEEN = 0.5  # of a text's characters, beyond which it is in no learned script
 CONFIDENCE_CHARS = 50.0  # characters that the score counts as independent, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what normalise leaves, to the engine
+LETTER = r"\p{L}"  # what normalise asks for, to the engine
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def normalise(text: str | None) -> str:
-    """Lower-case letters, with one space for whatever lies between."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters, with one space for whatever lies between; empty without a letter.
+
+    Numbers that are no digits, such as fractions, stay between letters but are none.
+    """
+    left = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return left if any(map(str.isalpha, left)) else ""
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
