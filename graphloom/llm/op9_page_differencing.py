@@ -20,7 +20,8 @@ partitions before, in a second pass over these pages only. No host is gathered i
 
 Results for edge cases: a null or empty html, or one without text, has an empty text and
 0 characters; a null url belongs to the host and path that are empty; a page that is
-alone in its host keeps its lines; a page without landmarks that shares half
+alone in its host keeps its lines; a tag without an end is text, and a very long or broken
+page is read whole, in time that grows with its length; a page without landmarks that shares half
 of the lines and four fifths of the characters left of it with another is a copy (of the
 whole, where less than a fiftieth of the characters is left); repeated rows are each
 returned; an empty table gives no rows; other columns are not read.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import urlsplit
@@ -47,7 +49,9 @@ NEAR = 2  # different pages on each side
 COPY = 0.8  # share of the characters left of a page that marks a copy, with half of the lines
 COMMON = 3  # different pages of a host, at least, that have a common line
 LITTLE = 0.02  # of a page's characters: too little left to judge by
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+# Possessive, so that a tag without an end is read once and not once for each place where it might be cut.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|</?[a-zA-Z][^\s>/]*+(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<", re.S)
+TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|[^<]+|<", re.S)  # behind the last mark that ends a tag
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements of the HTML standard by what they say of the text inside, and names that sites give to page furniture.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "select", "noframes", "xmp"}
@@ -103,7 +107,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
-    zone, skip = OPEN, ""
+    opened: Counter[str] = Counter()  # names on the stack
+    zone, skip, last = OPEN, "", page.rfind(">")
 
     def flush() -> None:
         nonlocal held
@@ -114,7 +119,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             held = []
 
     at = 0
-    while m := TOKEN.match(page, at):
+    while m := (TOKEN if at <= last else TAIL).match(page, at):
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
             if not skip and zone not in (DROPPED, HEADER):
@@ -138,9 +143,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if closing:
             if name in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     flush() if stack[i][1] != zone or zone != (stack[i - 1][1] if i else OPEN) else None
+                    opened.subtract(x for x, _ in stack[i:])
                     del stack[i:]
                     break
             new = stack[-1][1] if stack else OPEN
@@ -151,7 +157,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if name in BLOCKS:
             flush()
             while stack and (stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "tr", "td", "th", "dt", "dd", "option"))) and name != "br":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             new = stack[-1][1] if stack else OPEN
             zone = new
         if name in VOID or token.endswith("/>"):
@@ -166,6 +172,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             flush()
             zone = new
         stack.append((name, zone))
+        opened[name] += 1
     flush()
     if any(z == KEPT for z, _ in out):
         return [(z, t) for z, t in out if z != TITLE]
