@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from graphloom.llm import op3_sentencepiece as op3
@@ -237,3 +239,20 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
                 assert 4 in got and got.count(4) == 1 and {5, None} <= set(got) and 100 not in got
             elif rows and stage == "tokens":
                 assert all(r["round_trip"] for r in docs.collect())
+
+
+def test_numbers_are_no_letters():
+    assert [op6.normalise(t) for t in ("²", "½ ①", "Ⅷ", "12_3", "", None)] == [""] * 6
+    assert [op6.normalise(t) for t in ("a²", "日本", "É!")] == ["a²", "日本", "é"]
+
+
+@pytest.mark.parametrize("page", ["x<" + "a" * 400_000, '<a "' * 50_000, "<a b" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, "<!-" * 50_000, "<a '\"" * 50_000 + ">"])
+def test_long_broken_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    op9.blocks_of(page)
+    assert time.process_time() - began < 10
+
+
+def test_a_tag_without_an_end_is_text():
+    assert op9.blocks_of("<p>one</p> a <b c") == [(op9.OPEN, "one"), (op9.OPEN, "a <b c")]
+    assert op9.blocks_of("<p>one</p> a <!-- b") == [(op9.OPEN, "one"), (op9.OPEN, "a")]
