@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir is not set; executors share no other folder")
         import tempfile
 
