@@ -6,6 +6,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ BATCH_ROWS = "2000"
 BROADCAST_ROWS = 1 << 22
 #: Removes a write's shuffle files once it is done; what it wrote is read from the table only.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scopes: list[list[str]] = []
+#: Open scopes of this thread (or task of asyncio), the innermost last; other threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: Tables that no scope removes: results that were returned to the caller.
+_kept: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -55,8 +59,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    (_scopes.get() or (_kept,))[-1].append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -75,26 +78,37 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Tables staged inside are deleted at the end, but for those staged by the function given.
 
-    What is returned from inside may read tables of that function only.
+    What is returned from inside may read tables of that function only; they belong to the
+    scope around this one, or, where there is none, stay until release().
     """
     own: list[str] = []
+    around = _scopes.get()
 
     def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        _scopes.append(_scopes[-2] if len(_scopes) > 1 else [])
+        inside = _scopes.set(around)
         try:
             return stage(df, name, partition_by)
         finally:
-            _scopes.pop()
+            _scopes.reset(inside)
 
-    _scopes.append(own)
+    outside = _scopes.set((*around, own))
     try:
         yield keep
     finally:
-        _scopes.pop()
+        _scopes.reset(outside)
         for path in own:
             remove(spark, path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table that a result reads and no scope removes; how many there were."""
+    n = 0
+    while _kept:
+        remove(spark, _kept.pop())
+        n += 1
+    return n
+
+
 def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table of short rows, to be broadcast by a join if it has at most so many rows."""
     return F.broadcast(table) if table.count() <= rows else table
