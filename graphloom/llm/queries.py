@@ -14,6 +14,7 @@ from graphloom.llm import op7_jaccard_join as op7
 from graphloom.llm import op8_mixing as op8
 from graphloom.llm import op9_page_differencing as op9
 from graphloom.llm import op10_media_sequences as op10
+from graphloom.llm import op11_prefix_trie as op11
 from graphloom.llm import op13_merkle_manifest as op13
 
 REGISTRY = {
@@ -27,6 +28,7 @@ REGISTRY = {
     "op8_mixing": op8.op8_mixing,
     "op9_page_differencing": op9.op9_page_differencing,
     "op10_media_sequences": op10.op10_media_sequences,
+    "op11_prefix_trie": op11.op11_prefix_trie,
     "op13_merkle_manifest": op13.op13_merkle_manifest,
 }
 
@@ -57,4 +59,4 @@ n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes, (greatest(1, ceil(oc
 p AS (SELECT doc_id, n_bytes, payload_bytes, b || repeat('\xFF'::BLOB, payload_bytes - n_bytes) AS payload, encode('P5' || chr(10) || '24 ' || payload_bytes // 24 || chr(10) || '255' || chr(10)) AS head FROM n)
 SELECT doc_id, n_bytes, payload_bytes, sha256(payload) AS payload_sha256, (octet_length(head) + payload_bytes)::BIGINT AS media_bytes, sha256(head || payload) AS media_sha256 FROM p
 """
-ORACLE = {"mixing_targets": TARGETS, "media_digests": DIGESTS, "op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE, "op13_merkle_manifest": op13.ORACLE}
+ORACLE = {"mixing_targets": TARGETS, "media_digests": DIGESTS, "op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE, "op11_prefix_trie": op11.ORACLE, "op13_merkle_manifest": op13.ORACLE}
