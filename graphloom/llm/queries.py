@@ -15,6 +15,7 @@ from graphloom.llm import op8_mixing as op8
 from graphloom.llm import op9_page_differencing as op9
 from graphloom.llm import op10_media_sequences as op10
 from graphloom.llm import op11_prefix_trie as op11
+from graphloom.llm import op12_license_scan as op12
 from graphloom.llm import op13_merkle_manifest as op13
 
 REGISTRY = {
@@ -29,6 +30,7 @@ REGISTRY = {
     "op9_page_differencing": op9.op9_page_differencing,
     "op10_media_sequences": op10.op10_media_sequences,
     "op11_prefix_trie": op11.op11_prefix_trie,
+    "op12_license_scan": op12.op12_license_scan,
     "op13_merkle_manifest": op13.op13_merkle_manifest,
 }
 
@@ -44,7 +46,12 @@ def media_digests(spark, sf_dir):
     return op10.op10_media_sequences(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
 
 
-REGISTRY |= {"mixing_targets": mixing_targets, "media_digests": media_digests}
+def license_places(spark, sf_dir):
+    """What op12 says of the phrases alone."""
+    return op12.op12_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+REGISTRY |= {"license_places": license_places, "mixing_targets": mixing_targets, "media_digests": media_digests}
 TARGETS = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
@@ -59,4 +66,4 @@ n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes, (greatest(1, ceil(oc
 p AS (SELECT doc_id, n_bytes, payload_bytes, b || repeat('\xFF'::BLOB, payload_bytes - n_bytes) AS payload, encode('P5' || chr(10) || '24 ' || payload_bytes // 24 || chr(10) || '255' || chr(10)) AS head FROM n)
 SELECT doc_id, n_bytes, payload_bytes, sha256(payload) AS payload_sha256, (octet_length(head) + payload_bytes)::BIGINT AS media_bytes, sha256(head || payload) AS media_sha256 FROM p
 """
-ORACLE = {"mixing_targets": TARGETS, "media_digests": DIGESTS, "op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE, "op11_prefix_trie": op11.ORACLE, "op13_merkle_manifest": op13.ORACLE}
+ORACLE = {"mixing_targets": TARGETS, "media_digests": DIGESTS, "op2_topk_search": op2.ORACLE, "op4_warc": op4.ORACLE, "op5_sharding": op5.ORACLE, "op7_jaccard_join": op7.ORACLE, "license_places": op12.BASE, "op11_prefix_trie": op11.ORACLE, "op13_merkle_manifest": op13.ORACLE}
