@@ -220,4 +220,11 @@ ORACLE: dict[str, str] = {
     "repo_totals": "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents",
     "extracted_symbols": """SELECT 'node file' AS what, count(*) AS n FROM part UNION ALL SELECT 'node function', count(*) FROM part UNION ALL SELECT 'node external', count(*) + 1 FROM part
         UNION ALL SELECT 'edge defined_in', count(*) FROM part UNION ALL SELECT 'edge imports', count(*) FROM part UNION ALL SELECT 'edge calls', count(*) FROM part""",
+    "store_round_trip": g("""SELECT version, id, type, name, written, (SELECT count(*) FROM ends e WHERE e.id = v.id AND (version = 1 OR NOT nation)) AS ends FROM versions v""",
+        "inner_edges AS (SELECT * FROM edges WHERE source_id IN (SELECT id FROM raw) AND target_id IN (SELECT id FROM raw))",
+        "ends AS (SELECT source_id AS id, source_id LIKE 'n:%' OR target_id LIKE 'n:%' AS nation FROM inner_edges UNION ALL SELECT target_id, source_id LIKE 'n:%' OR target_id LIKE 'n:%' FROM inner_edges)",
+        "versions AS (SELECT 1 AS version, id, type, name, 2020 AS written FROM raw UNION ALL SELECT 2, id, type, CASE WHEN id LIKE 'n:%' THEN lower(name) ELSE name END, CASE WHEN id LIKE 'n:%' THEN 2021 ELSE 2020 END FROM raw)"),
+    "summary_merge": g("SELECT id, CASE WHEN id LIKE 'n:%' OR id LIKE 't:%' THEN upper(c) ELSE c END AS summary, CASE WHEN id LIKE 'c:%' OR id LIKE 's:%' THEN 16 ELSE 0 END AS dims FROM concise"),
+    "summary_rejects": """SELECT CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 1 THEN 'd:' || doc_id END AS id, CASE WHEN doc_id % 7 = 0 THEN 'not an object of the schema' WHEN doc_id % 5 = 1 THEN 'no id' ELSE 'kept' END AS outcome,
+        CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 1 THEN strlen(text) ELSE strlen(to_json(text)) + CASE WHEN doc_id % 5 <> 1 THEN strlen('{"id":"d:,"summary":}') + strlen(doc_id::VARCHAR) + 1 ELSE strlen('{"summary":}') END - CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END END AS bytes FROM documents""",
 }

@@ -19,7 +19,7 @@ from graphloom.sources.store import GraphStore, write_instructions
 
 
 def build_graph(spark: SparkSession, root: str, config: ExtractorConfig, mode: str = "overwrite") -> GraphStore:
-    """Extract a repository into the store. append keeps nodes that are no longer found.
+    """Extract a repository into a new version of the store. append keeps nodes that are no longer found.
 
     Files that cannot be read or parsed are in store.errors(), and the rest goes on.
 
@@ -32,28 +32,23 @@ def build_graph(spark: SparkSession, root: str, config: ExtractorConfig, mode: s
     timer.start()
     try:
         symbols = store.stage("symbols", extract_symbols(read_contents(spark, list_files(spark, root, config))))  # parsed once, read by nodes, edges and errors
-        store.write_errors(extraction_errors(symbols))
         nodes, edges = to_graph(symbols)
         if mode == "append":
-            old_nodes, old_edges = store.nodes(), store.edges()
-            all_nodes, left = add_nodes(old_nodes, old_edges, nodes.filter("type <> 'external'"))
+            old = store.snapshot()
+            all_nodes, left = add_nodes(old.nodes(True), old.edges(True), nodes.filter("type <> 'external'"))
             extra = nodes.filter("type = 'external'").join(all_nodes, "id", "left_anti")
             key = ["source_id", "target_id", "relationship"]
-            nodes = all_nodes.unionByName(extra)
-            edges = left.join(edges, key, "left_anti").unionByName(edges)
-            staged = GraphStore(spark, config.out_graph + ".next")
-            staged.write(nodes, edges)
-            nodes, edges = staged.nodes(), staged.edges()
-        store.write(nodes, edges)
-        store.drop("symbols")
-        if mode == "append":
-            staged.drop("")
+            nodes = all_nodes.unionByName(extra, allowMissingColumns=True)
+            edges = left.join(edges, key, "left_anti").unionByName(edges, allowMissingColumns=True)
+        store.write(nodes, edges, extraction_errors(symbols))
+        store.expire()
     except Exception:
         if late.is_set():
             raise TimeoutError(f"Extraction took more than {config.processing_timeout_seconds} s") from None
         raise
     finally:
         timer.cancel()
+        store.drop("symbols")
     return store
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
 from graphloom.operators import classify, graph, instruct, qa, summaries, traverse, validate, vectors
+from graphloom.session import work_path
 from graphloom.sources import fixture as fx
+from graphloom.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -382,3 +384,55 @@ def extracted_symbols(s, d):
     nodes, edges = to_graph(extract_symbols(files))
     a = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.concat(F.lit("node "), "type").alias("what"), "n")
     return a.unionByName(edges.groupBy("relationship").agg(F.count("*").alias("n")).select(F.concat(F.lit("edge "), "relationship").alias("what"), "n"))
+
+
+# --- the store -----------------------------------------------------------
+
+
+def stored(s, d) -> store.GraphStore:
+    """The fixture's graph, without edges of which an end is missing, as version 1 of a store of its own."""
+    n, e, at = fx.nodes(s, d), fx.edges(s, d), store.GraphStore(s, work_path(s, "store"))
+    ids = n.select(F.col("id").alias("_n"))
+    for end in ("source_id", "target_id"):
+        e = e.join(ids, F.col(end) == F.col("_n"), "left_semi")
+    at.write(n, e, at="2020-01-01 00:00:00")
+    return at
+
+
+@query
+def store_round_trip(s, d):
+    """Both versions of a store in which nations were written again: their edges go with them."""
+    at = stored(s, d)
+    again = fx.nodes(s, d).filter("id LIKE 'n:%'").withColumn("name", F.lower("name"))
+    at.upsert(again, at.edges().limit(0), at="2021-01-01 00:00:00")
+    out = None
+    for version in (1, 2):
+        then = at.snapshot(version)
+        edges = then.edges().select("relationship", F.col("source_id").alias("id")).unionByName(then.edges().select("relationship", F.col("target_id").alias("id"))).groupBy("id").agg(F.count("*").alias("ends"))
+        rows = then.nodes(True).join(edges, "id", "left").select(F.lit(version).alias("version"), "id", "type", "name", F.year("created_at").alias("written"), F.coalesce("ends", F.lit(0)).cast("bigint").alias("ends"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def summary_merge(s, d):
+    """A keyed store of summaries: made, some made again, embedded in two steps; the second finds nothing to do."""
+    at = store.GraphStore(s, work_path(s, "summaries"))
+    made = summaries.generate_summaries(*_typed(s, d))
+    at.merge_summaries(made.filter("id NOT LIKE 't:%'"), 16)
+    at.merge_summaries(made.filter("id LIKE 'n:%' OR id LIKE 't:%'").withColumn("summary", F.upper("summary")))
+    embed = lambda rows: vectors.embed_summaries(rows.filter("id LIKE 'c:%' OR id LIKE 's:%'"), vectors.hashing_encoder(16))
+    version = at.embed_summaries(embed)
+    assert at.embed_summaries(embed) == version  # nothing new, nothing written
+    return at.summaries().select("id", "summary", F.coalesce(F.size("embedding"), F.lit(0)).alias("dims"))
+
+
+@query
+def summary_rejects(s, d):
+    """Summary lines made from documents, some cut off, some without an id: what is read, and what is refused."""
+    doc = fx.table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.when(F.col("doc_id") % 5 != 1, F.concat(F.lit("d:"), F.col("doc_id").cast("string"))).alias("id"), F.col("text").alias("summary"))).alias("line"))
+    path = work_path(s, "lines")
+    doc.select(F.when(F.col("doc_id") % 7 == 0, F.expr("substring(line, 1, length(line) - 2)")).otherwise(F.col("line")).alias("value")).write.text(path)
+    kept = store.read_summaries(s, path).select("id", F.lit("kept").alias("outcome"), F.octet_length("summary").alias("bytes"))
+    lost = store.rejected_summaries(s, path).select(F.lit(None).cast("string").alias("id"), F.col("reason").alias("outcome"), F.octet_length("line").alias("bytes"))
+    return kept.unionByName(lost)

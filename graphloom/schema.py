@@ -51,6 +51,7 @@ SUMMARY_SCHEMA = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
+ERROR_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 INSTRUCT_SCHEMA = T.StructType(
     [T.StructField("messages", T.ArrayType(MESSAGE)), T.StructField("metadata", T.StringType())]

@@ -43,6 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_handed: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for tables that a result reads; release() deletes them."""
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    _handed.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what work_path() has handed out in this process; results that read it end there."""
+    from graphloom.sources.snapshots import Folder
+
+    n = 0
+    while _handed:
+        Folder(spark, _handed.pop()).delete()
+        n += 1
+    return n
+
+
 def ensure_checkpoint(spark: SparkSession) -> None:
     """checkpoint() has a folder to write to."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
