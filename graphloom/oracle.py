@@ -227,4 +227,8 @@ ORACLE: dict[str, str] = {
     "summary_merge": g("SELECT id, CASE WHEN id LIKE 'n:%' OR id LIKE 't:%' THEN upper(c) ELSE c END AS summary, CASE WHEN id LIKE 'c:%' OR id LIKE 's:%' THEN 16 ELSE 0 END AS dims FROM concise"),
     "summary_rejects": """SELECT CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 1 THEN 'd:' || doc_id END AS id, CASE WHEN doc_id % 7 = 0 THEN 'not an object of the schema' WHEN doc_id % 5 = 1 THEN 'no id' ELSE 'kept' END AS outcome,
         CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 1 THEN strlen(text) ELSE strlen(to_json(text)) + CASE WHEN doc_id % 5 <> 1 THEN strlen('{"id":"d:,"summary":}') + strlen(doc_id::VARCHAR) + 1 ELSE strlen('{"summary":}') END - CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END END AS bytes FROM documents""",
+    "enclosing_function": """WITH spans AS (SELECT o_custkey % 100 AS file, o_orderkey * 13 % 5000 AS a, o_orderkey * 13 % 5000 + (3 ** (o_orderkey % 8))::BIGINT AS b, 'f' || o_orderkey AS id FROM orders),
+        calls AS (SELECT l_partkey % 101 AS file, l_orderkey * 7 % 7500 AS place, l_orderkey, l_linenumber, l_suppkey FROM lineitem),
+        best AS (SELECT c.file, c.place, arg_min(id, (-a, b, id)) AS scope FROM (SELECT DISTINCT file, place FROM calls) c JOIN spans s ON s.file = c.file AND place BETWEEN a AND b GROUP BY ALL)
+        SELECT c.*, scope FROM calls c LEFT JOIN best USING (file, place)""",
 }

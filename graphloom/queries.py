@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators import classify, graph, instruct, qa, summaries, traverse, validate, vectors
+from graphloom.operators import classify, graph, instruct, qa, scopes, summaries, traverse, validate, vectors
 from graphloom.session import work_path
 from graphloom.sources import fixture as fx
 from graphloom.sources import store
@@ -436,3 +436,16 @@ def summary_rejects(s, d):
     kept = store.read_summaries(s, path).select("id", F.lit("kept").alias("outcome"), F.octet_length("summary").alias("bytes"))
     lost = store.rejected_summaries(s, path).select(F.lit(None).cast("string").alias("id"), F.col("reason").alias("outcome"), F.octet_length("line").alias("bytes"))
     return kept.unionByName(lost)
+
+
+# --- scopes --------------------------------------------------------------
+
+
+@query
+def enclosing_function(s, d):
+    """Calls (line items) in spans (orders) of a hundred files that nest, cross, and stand apart."""
+    o, li = fx.table(s, d, "orders"), fx.table(s, d, "lineitem")
+    begin = (F.col("o_orderkey") * 13) % 5000
+    spans = o.select((F.col("o_custkey") % 100).alias("file"), begin.alias("first"), (begin + F.pow(F.lit(3), F.col("o_orderkey") % 8)).cast("bigint").alias("last"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("id"))
+    calls = li.select((F.col("l_partkey") % 101).alias("file"), (F.col("l_orderkey") * 7 % 7500).alias("place"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return scopes.enclosing(calls, spans, ["file"])
