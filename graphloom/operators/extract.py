@@ -1,8 +1,10 @@
 """Symbols of source files: a parser a language, run inside Arrow batches.
 
-Python is parsed with its own grammar, and by patterns where a file does not parse.
-Java, TypeScript and C++ are scanned by patterns that know comments, strings and
-braces. Other languages give their file node only.
+Python is parsed with its own grammar, and by lines where a file does not parse. Other
+languages are cut into tokens and matched with the patterns of their tables (grammar.py); a language
+without patterns gives its file node only. Calls belong to the innermost function around them,
+found by one pass over calls and functions in the order of their places. A file that has
+errors gives what can be read, and a warning.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ import hashlib
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import stable_id
+from graphloom.operators.grammar import Language, Tokens, language
 from graphloom.operators.graph import placeholders, upsert_edges, upsert_nodes
 
 ROW = "kind string, seq int, id string, type string, name string, path string, lang string, properties string, source_id string, target_id string, relationship string, error string"
@@ -55,6 +58,10 @@ class Symbols:
     def imports(self, text: str, line: int) -> None:
         self.edge(self.file_id, make_id("import:" + text.strip()), "imports", {"import_line": line})
 
+    def warn(self, text: str) -> None:
+        """Says of the file node that the file was read in part."""
+        self.rows[0]["error"] = text
+
     def call(self, caller: str, target: str, line: int) -> None:
         self.edge(caller, make_id("call:" + target), "calls", {"call_line": line})
 
@@ -63,6 +70,7 @@ def scan_python(source: str, out: Symbols) -> None:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
+        out.warn("the file has parse errors")
         return scan_indented(source, out)
 
     lines = source.splitlines(keepends=True)
@@ -72,8 +80,7 @@ def scan_python(source: str, out: Symbols) -> None:
             inner = caller
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                head = lines[child.lineno - 1][child.col_offset :] + "".join(lines[child.lineno : child.lineno + 2])
-                nid = out.define(kind, child.name, child.lineno, child.end_lineno or child.lineno, head)
+                nid = out.define(kind, child.name, child.lineno, child.end_lineno or child.lineno, head_of(child, lines))
                 inner = nid if kind == "function" else caller
             elif isinstance(child, ast.Import):
                 for a in child.names:
@@ -93,6 +100,19 @@ def scan_python(source: str, out: Symbols) -> None:
     walk(tree, None)
 
 
+def head_of(node: ast.stmt, lines: list[str], n: int = 50) -> str:
+    """The first n characters of a definition; the tree's columns count bytes."""
+    parts, size, last = [], 0, node.end_lineno or node.lineno
+    for at in range(node.lineno, last + 1):
+        raw = lines[at - 1].encode()
+        text = raw[node.col_offset if at == node.lineno else 0 : node.end_col_offset if at == last else None].decode()
+        parts.append(text)
+        size += len(text)
+        if size >= n:
+            break
+    return "".join(parts)[:n]
+
+
 def scan_indented(source: str, out: Symbols) -> None:
     """Python that does not parse: definitions and imports by line, calls by indentation."""
     stack: list[tuple[int, str | None]] = []
@@ -122,69 +142,97 @@ def scan_indented(source: str, out: Symbols) -> None:
                     out.call(caller, m[1], n)
 
 
-COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-WORDS = {"if", "for", "while", "switch", "catch", "return", "new", "sizeof", "function", "throw", "else", "do", "delete", "await", "typeof", "constructor", "super"}
-BRACED = {
-    "java": {"class": r"\bclass\s+(\w+)[^;{]*\{", "function": None, "import": r"^[ \t]*import\s+[^;\n]+;"},
-    "typescript": {"class": r"\bclass\s+(\w+)[^;{]*\{", "function": r"\bfunction\s+(\w+)\s*(?:<[^>]*>)?\([^{;]*\{", "import": r"^[ \t]*import\s[^;]*?;"},
-    "cpp": {"class": r"\bclass\s+(\w+)[^;{]*\{", "function": r"^[ \t]*(?:[\w:<>,~*&]+[\s*&]+)+(\w+)\s*\([^;{}()]*\)\s*(?:const\s*|noexcept\s*)*\{", "import": None},
-}
-
-
-def scan_braced(source: str, out: Symbols) -> None:
-    """Definitions, imports and calls of a language with braces."""
-    rules = BRACED[out.lang]
-    clean = COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    starts = [0, *(m.end() for m in re.finditer("\n", clean))]
-    line = lambda at: bisect_right(starts, at)
-    opened, closes = [], {}
-    for m in re.finditer(r"[{}]", clean):
-        if m[0] == "{":
-            opened.append(m.start())
-        elif opened:
-            closes[opened.pop()] = m.start()
-    functions: list[tuple[int, int, str]] = []
+def innermost(places: Iterable[int], spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, str | None]]:
+    """Each place with the id of the innermost span (first, last, id) that holds it; places come in order.
+
+    One pass with a stack of the spans that are open; spans nest, as blocks do.
+    """
+    ahead, opened, k = sorted(spans, key=lambda s: (s[0], -s[1])), [], 0
+    for at in places:
+        while k < len(ahead) and ahead[k][0] <= at:
+            opened.append(ahead[k])
+            k += 1
+        while opened and opened[-1][1] < at:
+            opened.pop()
+        yield at, opened[-1][2] if opened else None
+
+
+def scan_tokens(source: str, out: Symbols, table: Language) -> None:
+    """Definitions, imports and calls of a language with a table."""
+    tokens = Tokens(table, source)
+    breaks = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: bisect_right(breaks, at)
+    ends = lambda i: tokens.start[i] + len(tokens.text[i])
+    found: dict[str, list[tuple[int, tuple[str, int, int]]]] = {"class": [], "function": [], "import": []}
+    patterns = [(kind, pattern.split()) for kind, pattern in table.symbols]
+    for i, text in enumerate(tokens.text):
+        for kind, atoms in patterns:
+            if (atoms[0] == text or atoms[0] == "NAME") and (i == 0 or tokens.text[i - 1] not in table.not_after) and (m := tokens.match(i, atoms)):
+                found[kind].append((i, m))
+    classes = {body for _, (_, body, _) in found["class"]}
+    functions = []
     for kind in ("class", "function"):
-        for m in re.finditer(rules[kind], clean, re.M) if rules[kind] else ():
-            if m[1] in WORDS:
+        for i, (name, body, last) in found[kind]:
+            if name in table.not_calls:
                 continue
-            begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            end = closes.get(m.end() - 1, len(clean) - 1)
-            nid = out.define(kind, m[1], line(begin), line(end), source[begin : end + 1])
+            first = i
+            if kind == "function" and table.typed:
+                first = type_before(tokens, i)
+                if first == i or tokens.above[i] in classes:
+                    continue
+            begin = tokens.start[first]
+            nid = out.define(kind, name, line(begin), line(tokens.start[last]), source[begin : ends(last)])
             if kind == "function":
-                functions.append((m.end(), end, nid))
-    if rules["import"]:
-        for m in re.finditer(rules["import"], source, re.M):
-            out.imports(m[0], line(m.start() + len(m[0]) - len(m[0].lstrip())))
-    for m in re.finditer(r"(\w+)\s*\(", clean):
-        if m[1] not in WORDS:
-            around = [f for f in functions if f[0] <= m.start() <= f[1]]
-            if around:
-                out.call(max(around)[2], m[1], line(m.start()))
-
-
-def extract_file(path: str, lang: str, content: bytes | None) -> list[dict]:
-    """Rows of one file: nodes, then edges, with capture order in seq; one error row on failure."""
+                functions.append((tokens.start[body] + 1, tokens.start[last], nid))
+    for i, (_, _, last) in found["import"]:
+        if tokens.above[i] < 0:
+            out.imports(source[tokens.start[i] : ends(last)], line(tokens.start[i]))
+    names = {tokens.start[i]: t for i, t in enumerate(tokens.text) if tokens.is_call(i) and t not in table.not_calls}
+    for at, caller in innermost(names, functions):
+        if caller:
+            out.call(caller, names[at], line(at))
+    if tokens.errors:
+        out.warn(f"the file has parse errors: {tokens.errors}")
+
+
+def type_before(tokens: Tokens, i: int) -> int:
+    """The first token of the type before a name, or the name's own place if there is none."""
+    if i and tokens.text[i - 1] == "::":
+        return i
+    first, words = i, 0
+    while first and (tokens.text[first - 1][0].isalpha() or tokens.text[first - 1] in ("_", "::", "<", ">", "*", "&", ",", "~") or tokens.text[first - 1][0] == "_"):
+        if tokens.text[first - 1] in ("return", "else", "new", "throw", "case", "goto", "delete"):
+            break
+        first -= 1
+        words += tokens.text[first][0].isalpha() or tokens.text[first][0] == "_"
+    return first if words else i
+
+
+def extract_file(path: str, lang: str, content: bytes | None, tables: dict[str, Language] | None = None) -> list[dict]:
+    """Rows of one file: nodes and edges, with capture order in seq; one error row on failure."""
     try:
+        table = language(lang, tables)
         if content is None:
             raise OSError("the file could not be read")
         source = bytes(content).decode("utf-8", errors="replace")
         out = Symbols(path, lang, source)
-        if lang == "python":
+        if table.python:
             scan_python(source, out)
-        elif lang in BRACED:
-            scan_braced(source, out)
+        elif table.symbols:
+            scan_tokens(source, out, table)
+        else:
+            out.warn(f"no patterns for {lang}")
         return [dict.fromkeys(COLUMNS) | r | {"seq": i} for i, r in enumerate(out.rows)]
     except Exception as e:  # noqa: BLE001  one bad file may not end the run
         return [dict.fromkeys(COLUMNS) | {"kind": "error", "seq": 0, "path": path, "error": f"{type(e).__name__}: {e}"}]
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """files: path, lang, content."""
+def extract_symbols(files: DataFrame, tables: dict[str, Language] | None = None) -> DataFrame:
+    """Rows of extract_file for files (path, lang, content); tables add to the languages that are known."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [r for p, lang, c in zip(part["path"], part["lang"], part["content"], strict=True) for r in extract_file(p, lang, c)]
+            rows = [r for p, lang, c in zip(part["path"], part["lang"], part["content"], strict=True) for r in extract_file(p, lang, c, tables)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "lang", "content").mapInPandas(run, ROW)
@@ -195,6 +243,11 @@ def extraction_errors(symbols: DataFrame) -> DataFrame:
     return symbols.filter("kind = 'error'").select("path", "error")
 
 
+def extraction_warnings(symbols: DataFrame) -> DataFrame:
+    """path, lang, warning of the files that were read in part: parse errors, no patterns."""
+    return symbols.filter("kind = 'node' AND error IS NOT NULL").select("path", "lang", F.col("error").alias("warning"))
+
+
 def to_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with placeholders, and edges of which the last capture wins."""
     order = F.struct("path", "seq").alias("seq")
@@ -204,4 +257,4 @@ def to_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(placeholders(nodes, edges)), edges
 
 
-__all__ = ["extract_file", "extraction_errors", "extract_symbols", "make_id", "stable_id", "to_graph"]
+__all__ = ["extract_file", "extraction_errors", "extraction_warnings", "innermost", "extract_symbols", "make_id", "stable_id", "to_graph"]

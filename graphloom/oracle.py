@@ -231,4 +231,17 @@ ORACLE: dict[str, str] = {
         calls AS (SELECT l_partkey % 101 AS file, l_orderkey * 7 % 7500 AS place, l_orderkey, l_linenumber, l_suppkey FROM lineitem),
         best AS (SELECT c.file, c.place, arg_min(id, (-a, b, id)) AS scope FROM (SELECT DISTINCT file, place FROM calls) c JOIN spans s ON s.file = c.file AND place BETWEEN a AND b GROUP BY ALL)
         SELECT c.*, scope FROM calls c LEFT JOIN best USING (file, place)""",
+    "symbol_details": r"""WITH p AS (SELECT p_partkey AS k, '/src/' || p_partkey AS path, (['python', 'java', 'typescript', 'cpp'])[p_partkey % 4 + 1] AS lang FROM part),
+        defs AS (SELECT k, path, lang, 'function' AS type, 'f' || k AS name, 4 AS a, 5 AS b, 'def f' || k || E'(x):\n    return g' || k || '(x)' AS body FROM p WHERE lang = 'python'
+          UNION ALL SELECT k, path, lang, 'class', 'C' || k, 3, 5, 'class C' || k || E' {\n  int a;\n}' FROM p WHERE lang = 'java'
+          UNION ALL SELECT k, path, lang, 'function', 'f' || k, 2, 4, 'function f' || k || E'(a) {\n  /* no( */ return g' || k || E'(a);\n}' FROM p WHERE lang = 'typescript'
+          UNION ALL SELECT k, path, lang, 'function', 'f' || k, 2, 4, 'int f' || k || E'(int a) {\n  return g' || k || E'(a);\n}' FROM p WHERE lang = 'cpp'
+          UNION ALL SELECT k, path, lang, 'class', 'Q' || k, 5, 6, 'class Q' || k || E' {\n}' FROM p WHERE lang = 'cpp'),
+        named AS (SELECT *, substr(sha256(path || ':' || a || ':' || type || ':' || substr(body, 1, 50)), 1, 16) AS id, substr(sha256(path), 1, 16) AS fid FROM defs),
+        imp AS (SELECT path, substr(sha256(path), 1, 16) AS fid, CASE lang WHEN 'python' THEN 'import os' WHEN 'java' THEN 'import java.util.L' || k || ';' ELSE 'import x from ''m' || k || ''';' END AS body FROM p WHERE lang <> 'cpp')
+        SELECT 'node' AS kind, substr(sha256(path), 1, 16) AS id, 'file' AS type, '' || k AS name, path, lang, '{"lines": ' || CASE lang WHEN 'cpp' THEN 7 WHEN 'typescript' THEN 5 ELSE 6 END || '}' AS properties, NULL AS source_id, NULL AS target_id, NULL AS relationship, NULL AS error FROM p
+        UNION ALL SELECT 'node', id, type, name, path, lang, '{"start_line": ' || a || ', "end_line": ' || b || '}', NULL, NULL, NULL, NULL FROM named
+        UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{}', id, fid, 'defined_in', NULL FROM named
+        UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{"import_line": 1}', fid, substr(sha256('import:' || body), 1, 16), 'imports', NULL FROM imp
+        UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{"call_line": ' || CASE lang WHEN 'python' THEN 5 ELSE 3 END || '}', id, substr(sha256('call:g' || k), 1, 16), 'calls', NULL FROM named WHERE type = 'function'""",
 }

@@ -449,3 +449,26 @@ def enclosing_function(s, d):
     spans = o.select((F.col("o_custkey") % 100).alias("file"), begin.alias("first"), (begin + F.pow(F.lit(3), F.col("o_orderkey") % 8)).cast("bigint").alias("last"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("id"))
     calls = li.select((F.col("l_partkey") % 101).alias("file"), (F.col("l_orderkey") * 7 % 7500).alias("place"), "l_orderkey", "l_linenumber", "l_suppkey")
     return scopes.enclosing(calls, spans, ["file"])
+
+
+# --- symbols -------------------------------------------------------------
+
+# Sources in four languages; {k} is the part's key.
+SOURCES = {
+    "python": "import os\n\n\ndef f{k}(x):\n    return g{k}(x)\n",
+    "java": "import java.util.L{k};\n// class No{k} {\nclass C{k} {\n  int a;\n}\n",
+    "typescript": "import x from 'm{k}';\nfunction f{k}(a) {\n  /* no( */ return g{k}(a);\n}\n",
+    "cpp": "#include <a>\nint f{k}(int a) {\n  return g{k}(a);\n}\nclass Q{k} {\n};\n",
+}
+
+
+@query
+def symbol_details(s, d):
+    """Every node and edge, with its id, of sources in four languages, one a part."""
+    from graphloom.operators.extract import extract_symbols
+
+    key, langs = F.col("p_partkey").cast("string"), list(SOURCES)
+    pick = lambda of: F.element_at(F.array(*of), (F.col("p_partkey") % 4 + 1).cast("int"))
+    body = pick([F.replace(F.lit(SOURCES[n]), F.lit("{k}"), key) for n in langs])
+    files = fx.table(s, d, "part").select(F.concat(F.lit("/src/"), key).alias("path"), pick(map(F.lit, langs)).alias("lang"), F.encode(body, "UTF-8").alias("content"))
+    return extract_symbols(files).select("kind", "id", "type", "name", "path", "lang", "properties", "source_id", "target_id", "relationship", "error")

@@ -127,3 +127,82 @@ def test_names_with_pattern_characters_and_broken_files(spark, tmp_path):
     assert extract_file("/x.py", "python", None)[0]["kind"] == "error"
     files = spark.createDataFrame([("/x.py", "python", None), ("/y.py", "python", b"def f(): pass\n")], "path string, lang string, content binary")
     assert [tuple(r) for r in extraction_errors(extract_symbols(files)).collect()] == [("/x.py", "OSError: the file could not be read")]
+
+
+# Sources and what they hold: name, kind, first and last line; calls as caller > target at line; imports.
+GRAMMAR = {
+    "cpp": (
+        b"#include <a>\nnamespace n {\nstatic const std::vector<int>& add(int a, int (*f)(int)) const noexcept {\n  if (a) { return f(a); } // g(\n  return x.go(\"}(\");\n}\nclass Q : public B {\n  int in() { return 1; }\n};\nint Q::out() { return 2; }\nenum class E { A };\n}\nint main() { return add(1); }\n",
+        [("Q", "class", 7, 9), ("add", "function", 3, 6), ("main", "function", 13, 13)], [("add", "f", 4), ("add", "go", 5), ("main", "add", 13)], [],
+    ),
+    "java": (
+        b"package a;\nimport java.util.List;\nimport static a.B.*;\n/* class No {} */ public final class Calc<T> extends X {\n  int add(int a) { String s = \"class Bad {\"; return f(Calc.class); }\n  class Inner {\n  }\n}\n",
+        [("Calc", "class", 4, 8), ("Inner", "class", 6, 7)], [], ["import java.util.List;", "import static a.B.*;"],
+    ),
+    "typescript": (
+        b"import {x} from 'y';\nimport 'z';\nexport default async function go<T extends {a: 1}>(a = (1 + 2)): Promise<void> {\n  await x(a);\n  const q = function inner() { y(); };\n  function deep() { z(`{${a}`); }\n  deep();\n}\nconst f = (a) => b(a);\nabstract class K<T> extends L { m() { n() } }\n",
+        [("K", "class", 10, 10), ("go", "function", 3, 8), ("deep", "function", 6, 6)], [("go", "x", 4), ("go", "y", 5), ("deep", "z", 6), ("go", "deep", 7)], ["import {x} from 'y';", "import 'z';"],
+    ),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(GRAMMAR))
+def test_symbols_of_a_table(lang):
+    import json
+
+    source, symbols, calls, imports = GRAMMAR[lang]
+    rows = extract_file("/r/a", lang, source)
+    assert rows[0]["type"] == "file" and rows[0]["error"] is None and json.loads(rows[0]["properties"]) == {"lines": source.count(b"\n") + 1}
+    own = of(rows, kind="node")[1:]
+    assert [(r["name"], r["type"], json.loads(r["properties"])["start_line"], json.loads(r["properties"])["end_line"]) for r in own] == symbols
+    ids = {r["name"]: r["id"] for r in own}
+    assert {(r["source_id"], r["target_id"]) for r in of(rows, relationship="defined_in")} == {(i, make_id("/r/a")) for i in ids.values()}
+    assert [(r["source_id"], r["target_id"], json.loads(r["properties"])["call_line"]) for r in of(rows, relationship="calls")] == [(ids[a], make_id("call:" + b), n) for a, b, n in calls]
+    assert [r["target_id"] for r in of(rows, relationship="imports")] == [make_id("import:" + i) for i in imports]
+
+
+def test_ids_hold_path_line_kind_and_text():
+    row = of(extract_file("/r/m.cpp", "cpp", GRAMMAR["cpp"][0]), name="main")[0]
+    assert row["id"] == make_id("/r/m.cpp:13:function:int main() { return add(1); }")
+
+
+def test_warnings_and_unknown_languages(spark):
+    from graphloom.operators.extract import extract_symbols, extraction_errors, extraction_warnings
+    from graphloom.operators.grammar import language
+
+    with pytest.raises(ValueError, match="Unsupported language: cobol"):
+        language("cobol")
+    files = [("/a.py", "python", b"def f(:\n  g(1)\n"), ("/b.ts", "typescript", b"function f() { class A { }"), ("/c.go", "go", b"func main() {}"), ("/d.cob", "cobol", b""), ("/e.ts", "typescript", b"let a = 'x\n"), ("/f.java", "java", b"class A { }")]
+    symbols = extract_symbols(spark.createDataFrame(files, "path string, lang string, content binary"))
+    warned = {r["path"]: r["warning"] for r in extraction_warnings(symbols).collect()}
+    assert warned == {"/a.py": "the file has parse errors", "/b.ts": "the file has parse errors: 1", "/c.go": "no patterns for go", "/e.ts": "the file has parse errors: 1"}
+    assert [r["path"] for r in extraction_errors(symbols).collect()] == ["/d.cob"]
+    assert symbols.filter("path = '/b.ts' AND kind = 'node'").count() == 3  # function and class are read all the same
+
+
+def test_languages_can_be_added_as_data(spark):
+    from graphloom.operators.extract import extract_symbols
+    from graphloom.operators.grammar import TABLES, Language, dump_tables, load_tables
+
+    assert load_tables(dump_tables(TABLES)) == TABLES
+    own = load_tables('{"toy": {"name": "toy", "comments": [["--", "\\n"]], "strings": ["\'"], "symbols": [["function", "fun NAME () {}"], ["import", "use ... ;"]]}}')
+    assert own["toy"] == Language("toy", comments=(("--", "\n"),), strings=("'",), symbols=(("function", "fun NAME () {}"), ("import", "use ... ;")))
+    files = spark.createDataFrame([("/a.toy", "toy", b"use b;\nfun f() { g(1); -- h(\n}\n")], "path string, lang string, content binary")
+    got = extract_symbols(files, own).collect()
+    assert [(r["kind"], r["type"] or r["relationship"]) for r in got] == [("node", "file"), ("node", "function"), ("edge", "defined_in"), ("edge", "imports"), ("edge", "calls")]
+
+
+def test_scopes_take_linear_time():
+    import time
+
+    source = "".join(f"function f{i}(a: number) {{ return g{i}(a); }}\n" for i in range(40_000)).encode()
+    began = time.time()
+    rows = extract_file("/a.ts", "typescript", source)
+    assert len(of(rows, relationship="calls")) == 40_000 and time.time() - began < 10
+    deep = b"".join(b"function f%d() { g(); " % i for i in range(3000)) + b"}" * 3000
+    assert len(of(extract_file("/b.ts", "typescript", deep), relationship="calls")) == 3000
+
+
+def test_python_ids_hold_the_text_of_the_definition_alone():
+    row = of(extract_file("/r/a.py", "python", "x = 'é'\nif x:\n    def f(): return 'é'; y = 1\n\n    @deco\n    class K:\n        pass\n\n\nz = 2\n".encode()), kind="node")
+    assert [r["id"] for r in row[1:]] == [make_id("/r/a.py:3:function:def f(): return 'é'; y = 1"), make_id("/r/a.py:6:class:class K:\n        pass")]
