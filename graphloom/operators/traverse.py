@@ -10,30 +10,57 @@ from graphloom.schema import RELATIONSHIPS
 from graphloom.session import ensure_checkpoint
 
 
-def traverse_paths(starts: DataFrame, edges: DataFrame, relationship: str, max_depth: int = 3, checkpoint_every: int = 8) -> DataFrame:
+def sink_distances(hop: DataFrame, max_depth: int) -> DataFrame:
+    """at, need: the fewest edges from a node of hop (at, to) to a node without leaving edges, if at most max_depth.
+
+    Searched backwards from the sinks, a level a join, each node labelled when it is met first.
+    """
+    level = hop.select(F.col("to").alias("at")).distinct().join(hop.select("at"), "at", "left_anti").withColumn("need", F.lit(0))
+    found = level
+    for need in range(1, max_depth + 1):
+        before = hop.join(level.select(F.col("at").alias("to")), "to", "left_semi").select("at").distinct()
+        level = before.join(found.select("at"), "at", "left_anti").withColumn("need", F.lit(need))
+        ensure_checkpoint(hop.sparkSession)
+        level = level.checkpoint(eager=True)
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def traverse_paths(starts: DataFrame, edges: DataFrame, relationship: str, max_depth: int = 3, checkpoint_every: int = 3) -> DataFrame:
     """start, path, depth: all simple paths of at most max_depth edges that end at a sink.
 
     starts has a column id. A path that depth or a cycle cuts off is dropped. A start
     without leaving edges gives the path of itself alone. max_depth < 0 gives none.
     One equi-join a level; finished paths leave the frontier at once, and the lineage
     of deep traversals is cut through the shared checkpoint folder.
+
+    A hop is taken only to nodes from which a sink can be reached with the edges that are
+    left: their distances to the nearest sink are found first, and are a lower bound also for
+    simple paths. So the frontier never holds a path that depth alone would cut off.
     """
     if relationship not in RELATIONSHIPS:
         raise GraphError(f"Invalid relationship: {relationship}")
     hop = edges.filter(F.col("relationship") == relationship).select(F.col("source_id").alias("at"), F.col("target_id").alias("to")).distinct()
-    sources = hop.select("at").distinct()
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
     if max_depth < 0:
         front = front.limit(0)
-    done = front.join(sources, "at", "left_anti")
+    if max_depth > 0:
+        ensure_checkpoint(hop.sparkSession)
+        hop = hop.checkpoint(eager=True)  # read at every level, both ways
+    done = front.join(hop.select("at").distinct(), "at", "left_anti")
+    if max_depth > 0:
+        need = sink_distances(hop, max_depth)
+        hop = hop.join(need.select(F.col("at").alias("to"), "need"), "to").checkpoint(eager=True)
+        front = front.join(need.filter("need > 0").select("at"), "at", "left_semi")
     for depth in range(1, max_depth + 1):
-        front = (
-            front.join(hop, "at")
-            .filter(~F.array_contains("path", F.col("to")))
-            .select("start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))
-        )
+        due = hop.filter(F.col("need") <= max_depth - depth)
+        front = front.join(due, "at").filter(~F.array_contains("path", F.col("to")))
+        front = front.select("start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), "need")
         if depth % checkpoint_every == 0:
             ensure_checkpoint(front.sparkSession)
             front = front.checkpoint(eager=True)
-        done = done.unionByName(front.join(sources, "at", "left_anti"))
+        done = done.unionByName(front.filter("need = 0").drop("need"))
+        front = front.filter("need > 0").drop("need")
     return done.select("start", "path", (F.size("path") - 1).cast("bigint").alias("depth"))

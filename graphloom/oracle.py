@@ -244,4 +244,13 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{}', id, fid, 'defined_in', NULL FROM named
         UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{"import_line": 1}', fid, substr(sha256('import:' || body), 1, 16), 'imports', NULL FROM imp
         UNION ALL SELECT 'edge', NULL, NULL, NULL, NULL, NULL, '{"call_line": ' || CASE lang WHEN 'python' THEN 5 ELSE 3 END || '}', id, substr(sha256('call:g' || k), 1, 16), 'calls', NULL FROM named WHERE type = 'function'""",
+    "traverse_paths_deep": "WITH RECURSIVE " + GRAPH + """,
+        deep AS (SELECT source_id AS a, target_id AS b FROM edges WHERE relationship = 'calls'
+          UNION ALL SELECT 'n:' || n_nationkey || '/' || i, 'n:' || n_nationkey || '/' || (i + 1) FROM nation, range(10) t(i)
+          UNION ALL SELECT 'n:' || n_nationkey || '/10', CASE WHEN n_nationkey % 2 = 0 THEN 's:' || n_nationkey ELSE 'n:' || n_nationkey || '/3' END FROM nation
+          UNION ALL SELECT 'n:' || n_nationkey || '/5', 'hub' FROM nation UNION ALL SELECT 'hub', 'n:' || n_nationkey || '/8' FROM nation WHERE n_nationkey % 5 = 0),
+        hop AS (SELECT DISTINCT a, b FROM deep),
+        walk AS (SELECT DISTINCT a AS start, a AS cur, [a] AS path FROM hop
+          UNION ALL SELECT start, b, list_append(path, b) FROM walk JOIN hop ON a = cur WHERE len(path) <= 8 AND NOT list_contains(path, b))
+        SELECT start, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS depth FROM walk WHERE cur NOT IN (SELECT a FROM hop)""",
 }

@@ -160,3 +160,20 @@ def test_paths_end_before_a_sink_is_reached_or_a_cycle_closes(spark):
     edges = spark.createDataFrame([(a, b, "calls", 1.0, "{}") for a, b in (("x", "y"), ("y", "x"), ("y", "z"), ("p", "q"), ("q", "p"))], E)
     got = traverse.traverse_paths(spark.createDataFrame([(i,) for i in "xyzpq"], "id string"), edges, "calls", 3)
     assert sorted(">".join(r["path"]) for r in got.collect()) == ["x>y>z", "y>z", "z"]
+
+
+def test_the_frontier_holds_only_paths_that_can_still_end(spark, monkeypatch):
+    """A full graph of 9 nodes has no end within reach but through one: 10^5 simple prefixes, few paths."""
+    nodes = [f"n{i}" for i in range(9)]
+    edges = [(a, b, "calls", 1.0, "{}") for a in nodes for b in nodes if a != b] + [("n0", "tail1", "calls", 1.0, "{}"), ("tail1", "tail2", "calls", 1.0, "{}"), ("tail2", "end", "calls", 1.0, "{}"), ("lone", "lone2", "calls", 1.0, "{}"), ("lone2", "lone", "calls", 1.0, "{}")]
+    out = {}
+    for a, b, *_ in edges:
+        out.setdefault(a, set()).add(b)
+    starts = [*nodes, "tail1", "end", "lone"]
+    frame = spark.createDataFrame(edges, E)
+    hop = frame.select(frame.source_id.alias("at"), frame.target_id.alias("to"))
+    assert {r["at"]: r["need"] for r in traverse.sink_distances(hop, 5).collect()} == {"end": 0, "tail2": 1, "tail1": 2, "n0": 3} | {f"n{i}": 4 for i in range(1, 9)}
+    for depth in (3, 4, 5):
+        got = traverse.traverse_paths(spark.createDataFrame([(i,) for i in starts], "id string"), frame, "calls", depth)
+        want = [p for i in starts for p in paths_by_search(i, out, depth)]
+        assert sorted(tuple(r["path"]) for r in got.collect()) == sorted(map(tuple, want))
