@@ -40,9 +40,13 @@ def shuffle_order(key: ColumnLike, seed: str) -> list[Column]:
     return [F.sha2(F.concat(F.lit(seed + ":"), _c(key)), 256), _c(key)]
 
 
+# The characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: ColumnLike) -> Column:
     """Without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(SPACES))
 
 
 def word_count(text: ColumnLike) -> Column:

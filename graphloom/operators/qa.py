@@ -6,6 +6,8 @@ so a run repeats. A limit comes before the length filter and is not back-filled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,12 @@ def negatives(positives: DataFrame, nodes: DataFrame, summaries: DataFrame, k: i
     )
 
 
-def generate_all(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, counts: dict[str, int], k: int = 2) -> DataFrame:
-    """All categories with a positive count, and k negatives for each."""
+def generate_all(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, counts: dict[str, int], k: int = 2, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All categories with a positive count, and k negatives for each.
+
+    stage may write the answers, a few rows a requested example, and read them back, as they are
+    read twice: by themselves and by the wrong answers.
+    """
     makers = {
         "discovery": lambda c: discovery(nodes, summaries, c),
         "explain": lambda c: explain(nodes, edges, summaries, c),
@@ -164,7 +170,7 @@ def generate_all(nodes: DataFrame, edges: DataFrame, summaries: DataFrame, count
         raise ValueError("no category has a positive count")
     if k <= 0:
         return out
-    out = out.persist()  # a few rows a requested example, read by the answers and by the wrong ones
+    out = stage(out)
     return out.unionByName(negatives(out, nodes, summaries, k))
 
 

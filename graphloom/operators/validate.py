@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +73,16 @@ def reference_check(examples: DataFrame, node_ids: DataFrame) -> DataFrame:
 def duplicates(examples: DataFrame, order: str = "id") -> DataFrame:
     """kind, id of each example that repeats the id or the prompt of one before it.
 
-    Numbering within a key would sort a hot key in one task; the first of each key
-    is found by a map-side combined minimum instead, and rows beyond it are kept.
+    Keys are digests, so that whole prompts are read but not moved. Numbering within a key
+    would sort a hot key in one task; the first of each key is found by a map-side combined
+    minimum instead, and rows beyond it are kept.
     """
-    out = []
-    for kind, key in (("id", F.col("id")), ("prompt", F.lower(strip(F.coalesce("prompt", F.lit("")))))):
-        keyed = examples.select(key.alias("k"), F.col(order).alias("o"), "id")
-        first = keyed.groupBy("k").agg(F.min("o").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-        out.append(keyed.join(first, "k").filter(F.col("o") > F.col("first")).select(F.lit(kind).alias("kind"), "id"))
-    return reduce(DataFrame.unionByName, out)
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    prompt = digest(F.lower(strip(F.coalesce("prompt", F.lit("")))))
+    both = F.array(F.struct(F.lit("id").alias("kind"), digest(F.col("id")).alias("k")), F.struct(F.lit("prompt").alias("kind"), prompt.alias("k")))
+    keyed = examples.select(F.explode(both).alias("key"), F.col(order).alias("o"), "id").select("key.*", "o", "id").filter("k IS NOT NULL")
+    first = keyed.groupBy("kind", "k").agg(F.min("o").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+    return keyed.join(first, ["kind", "k"]).filter(F.col("o") > F.col("first")).select("kind", "id")
 
 
 def type_distribution(examples: DataFrame) -> DataFrame:

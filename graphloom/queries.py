@@ -249,10 +249,19 @@ def _qa(df: DataFrame) -> DataFrame:
     return df.select("id", "type", "prompt", "response", F.array_join("refs", ",").alias("refs"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parts(s, d):
+    """The classified graph, written once, and summaries of the nodes that the answers take."""
     n, e = _typed(s, d)
-    ids = qa.chosen_ids(n, e, 50).collect()  # at most 1250
-    return n, e, summaries.generate_summaries(n, e, "detailed", only=s.createDataFrame(ids, "id string")).persist()  # as many rows
+    n, e = written(n, "nodes"), written(e, "edges")
+    ids = written(qa.chosen_ids(n, e, 50), "chosen")  # at most 1250
+    return n, e, written(summaries.generate_summaries(n, e, "detailed", only=ids), "summaries")
 
 
 @query
@@ -293,7 +302,7 @@ def qa_metadata(s, d):
 
 @query
 def qa_all(s, d):
-    return _qa(qa.generate_all(*_parts(s, d), dict.fromkeys(["discovery", "explain", "howto", "diagnostics"], 50), 2))
+    return _qa(qa.generate_all(*_parts(s, d), dict.fromkeys(["discovery", "explain", "howto", "diagnostics"], 50), 2, lambda df: written(df, "answers")))
 
 
 @query
