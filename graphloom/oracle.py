@@ -253,4 +253,6 @@ ORACLE: dict[str, str] = {
         walk AS (SELECT DISTINCT a AS start, a AS cur, [a] AS path FROM hop
           UNION ALL SELECT start, b, list_append(path, b) FROM walk JOIN hop ON a = cur WHERE len(path) <= 8 AND NOT list_contains(path, b))
         SELECT start, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS depth FROM walk WHERE cur NOT IN (SELECT a FROM hop)""",
+    "byte_token_rows": """SELECT array_to_string(list_concat(list_transform(range(used), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INTEGER), list_transform(range(64 - used), lambda i: 256)), ',') AS ids, used::INTEGER AS used
+        FROM (SELECT hex(encode(text)) AS h, least(64, strlen(text)) AS used FROM conversations)""",
 }

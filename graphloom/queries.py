@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators import classify, graph, instruct, qa, scopes, summaries, traverse, validate, vectors
+from graphloom.operators import bpe, classify, graph, instruct, qa, scopes, summaries, traverse, validate, vectors
 from graphloom.session import work_path
 from graphloom.sources import fixture as fx
 from graphloom.sources import store
@@ -387,16 +387,24 @@ def repo_totals(s, d):
     return fx.table(s, d, "documents").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _rows_of_tokens(s, d, ranks, pad: int) -> DataFrame:
+    out = instruct.tokenize(fx.table(s, d, "conversations"), "text", bpe.loader(s, ranks), 64, pad)
+    return out.select(F.array_join("input_ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
+
+
 @query
 def tokenized_rows(s, d):
-    """Fixed-length rows by a hashing word tokenizer, in place of a model's own."""
-    import zlib
+    """Fixed-length rows by byte-pair encoding with a public vocabulary."""
+    return _rows_of_tokens(s, d, bpe.read_ranks(s, VOCABULARY), 0)
 
-    def load():
-        return lambda t: [zlib.crc32(w.encode()) % 1000 + 1 for w in t.split()]
 
-    out = instruct.tokenize(fx.table(s, d, "conversations"), "text", load, 64)
-    return out.select(F.array_join("input_ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
+@query
+def byte_token_rows(s, d):
+    """The same rows with the vocabulary of single bytes, which SQL can state."""
+    return _rows_of_tokens(s, d, {bytes([i]): i for i in range(256)}, 256)
 
 
 @query
