@@ -11,13 +11,13 @@ from graphloom.operators.graph import first_neighbors
 NEIGHBORS = 5
 
 
-def node_context(nodes: DataFrame, edges: DataFrame, k: int = NEIGHBORS, only: DataFrame | None = None) -> DataFrame:
+def node_context(nodes: DataFrame, edges: DataFrame | None, k: int = NEIGHBORS, only: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Nodes with neighbors (at most k names), line and lines; only (a column id) narrows to some nodes.
 
-    A node that has an end line without a start line gives no context and is dropped.
+    near (me, neighbors) takes the place of edges where neighbours are known. A node that has an end line without a start line gives no context and is dropped.
     """
     prop = lambda key: F.get_json_object("properties", "$." + key)
-    near = first_neighbors(nodes, edges, k, only).withColumnRenamed("me", "id")
+    near = (first_neighbors(nodes, edges, k, only) if near is None else near).withColumnRenamed("me", "id")
     own = nodes if only is None else nodes.join(only.select("id"), "id", "left_semi")
     return (
         own.join(near, "id", "left")
@@ -90,9 +90,9 @@ def technical() -> Column:
     )
 
 
-def generate_summaries(nodes: DataFrame, edges: DataFrame, style: str = "concise", existing: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def generate_summaries(nodes: DataFrame, edges: DataFrame | None, style: str = "concise", existing: DataFrame | None = None, only: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Summary documents of nodes that existing has not, and of those in only (a column id) if given; any style but the first two is technical."""
-    todo = node_context(nodes, edges, only=only)
+    todo = node_context(nodes, edges, only=only, near=near)
     if existing is not None:
         todo = todo.join(existing.select("id"), "id", "left_anti")
     text = concise() if style == "concise" else detailed() if style == "detailed" else technical()
