@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,29 @@ class Folder:
         fs, at = self._fs(), self._at(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
+    def files(self) -> Iterator[tuple[str, int]]:
+        """Path from here, and length, of every file below, in the order of the file system."""
+        fs, at = self._fs(), self._at("")
+        base = fs.makeQualified(at).toString().rstrip("/") + "/"
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            status = found.next()
+            yield status.getPath().toString().removeprefix(base), status.getLen()
+
+    def qualified(self) -> str:
+        return self._fs().makeQualified(self._at("")).toString().rstrip("/")
+
+    def is_folder(self) -> bool:
+        fs, at = self._fs(), self._at("")
+        return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+    def read_bytes(self, name: str) -> bytes:
+        stream = self._fs().open(self._at(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def read(self, name: str) -> str:
         stream = self._fs().open(self._at(name))
         try:

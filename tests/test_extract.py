@@ -9,7 +9,7 @@ from graphloom.functions import scalar
 from graphloom.operators.extract import extract_file, make_id
 from graphloom.operators.graph import integrity_report
 from graphloom.plans import build
-from graphloom.sources.repo import list_files
+from graphloom.sources.repo import list_files, read_contents
 
 PYTHON = b"import os\nfrom math import sqrt\n\n\ndef add(a, b):\n    return sqrt(a) + helper(b)\n\n\nclass Calc:\n    def run(self):\n        return self.go()\n\n\nhelper(1)\n"
 JAVA = b"import java.util.List;\npublic class Calc { Calc() {} int add(int a) { return f(a); } }\n"
@@ -206,3 +206,78 @@ def test_scopes_take_linear_time():
 def test_python_ids_hold_the_text_of_the_definition_alone():
     row = of(extract_file("/r/a.py", "python", "x = 'é'\nif x:\n    def f(): return 'é'; y = 1\n\n    @deco\n    class K:\n        pass\n\n\nz = 2\n".encode()), kind="node")
     assert [r["id"] for r in row[1:]] == [make_id("/r/a.py:3:function:def f(): return 'é'; y = 1"), make_id("/r/a.py:6:class:class K:\n        pass")]
+
+
+def mounted_through_viewfs(spark, name, at):
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", f"file://{at}")
+    return f"viewfs://{name}/in"
+
+
+def test_a_repository_behind_a_file_system_that_only_the_engine_opens(spark, repo, tmp_path):
+    (repo / "lib/__init__.py").write_text("def g(): return f()\n")
+    (repo / "lib/space name[1].py").write_text("def h(): pass\n")
+    for link in ("link.py", "broken.py"):
+        (repo / link).unlink()
+    root = mounted_through_viewfs(spark, "code", repo)
+    config = ExtractorConfig(languages=["python", "java"], exclude=["**/test/**"], out_graph=str(tmp_path / "g"), max_file_size_mb=1)
+    away, here = list_files(spark, root, config), list_files(spark, str(repo), config)
+    assert sorted((r["rel"], r["length"], r["lang"]) for r in away.collect()) == sorted((r["rel"], r["length"], r["lang"]) for r in here.collect())
+    contents = lambda files: sorted((r["rel"], bytes(r["content"])) for r in read_contents(spark, files).collect())
+    assert contents(away) == contents(here) and len(contents(away)) == 5
+    store = build.build_graph(spark, root, config)
+    assert store.errors().count() == 0 and store.nodes().filter("type = 'file'").count() == 5
+    with pytest.raises(ValueError, match="directory"):
+        list_files(spark, root + "/none", config)
+
+
+def test_listing_in_parallel_equals_a_walk(spark, tmp_path):
+    from graphloom.sources.repo import TreeReader
+
+    want = set()
+    for i in range(120):
+        at = tmp_path / "r" / f"d{i % 7}" / f"e{i % 5}" / f"f{i % 3}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"x{i}.py").write_text("pass\n")
+        want.add(str((at / f"x{i}.py").relative_to(tmp_path / "r")))
+    (tmp_path / "r/top.py").write_text("pass\n")
+    os.symlink(tmp_path / "r/top.py", tmp_path / "r/again.py")
+    os.symlink(tmp_path / "r/d0", tmp_path / "r/loop")
+    reader = TreeReader(str(tmp_path / "r"), {".py"}, 20)
+    assert len(reader.partitions()) >= 20
+    got = [r[1] for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(got) == sorted([*want, "top.py", "again.py"])
+    listed = list_files(spark, f"file:{tmp_path}/r", ExtractorConfig(languages=["python"])).collect()
+    assert {r["rel"] for r in listed} == {*want, "again.py"}
+
+
+def test_a_machine_without_the_mount_fails(spark):
+    files = spark.createDataFrame([("/no/such/mount/a.py", "a.py", 1, "python")], "path string, rel string, length bigint, lang string")
+    with pytest.raises(Exception, match="mounted on this machine"):
+        read_contents(spark, files).collect()
+    gone = spark.createDataFrame([("/tmp/gone-for-good.py", "a.py", 1, "python")], "path string, rel string, length bigint, lang string")
+    assert read_contents(spark, gone).collect()[0]["content"] is None
+
+
+def test_the_time_limit_ends_a_run_and_leaves_the_store(spark, repo, tmp_path, monkeypatch):
+    import time
+
+    config = ExtractorConfig(languages=["python"], out_graph=str(tmp_path / "g"))
+    store = build.build_graph(spark, str(repo), config)
+    version, n = store.version, store.nodes().count()
+
+    def slow(session, files):
+        def run(parts):
+            for part in parts:
+                time.sleep(40)
+                yield part
+
+        return files.withColumn("content", F.lit(b"")).repartition(1).mapInPandas(run, "path string, rel string, length bigint, lang string, content binary")
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(build, "read_contents", slow)
+    config.processing_timeout_seconds = 2  # less than a configuration may say
+    began = time.time()
+    with pytest.raises(TimeoutError, match="more than 2 s"):
+        build.build_graph(spark, str(repo), config)
+    assert time.time() - began < 30 and (store.version, store.nodes().count()) == (version, n)
