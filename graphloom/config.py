@@ -22,6 +22,7 @@ def _known(what: str, values: Any, allowed: list[str]) -> None:
             raise ValueError(f"{what}: {v} is not one of {allowed}")
 
 
+# The keys of the configuration files, their defaults and bounds.
 @dataclass
 class ExtractorConfig:
     languages: list[str] = field(default_factory=lambda: ["python", "java", "typescript", "cpp"])

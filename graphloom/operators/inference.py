@@ -19,6 +19,7 @@ def _post(url: str, body: dict, timeout: float) -> dict:
         return json.load(r)
 
 
+# The paths and keys of the wire format, /v1/chat/completions, /v1/models and /health.
 class QueryClient:
     """One server; a failed call returns a record with an error, it does not raise."""
 

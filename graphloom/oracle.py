@@ -255,4 +255,8 @@ ORACLE: dict[str, str] = {
         SELECT start, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS depth FROM walk WHERE cur NOT IN (SELECT a FROM hop)""",
     "byte_token_rows": """SELECT array_to_string(list_concat(list_transform(range(used), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INTEGER), list_transform(range(64 - used), lambda i: 256)), ',') AS ids, used::INTEGER AS used
         FROM (SELECT hex(encode(text)) AS h, least(64, strlen(text)) AS used FROM conversations)""",
+    "embedded_summaries": g("SELECT id, 256 AS dims, 1.0::DOUBLE AS length FROM concise"),
+    "summary_vectors": g("""SELECT c.id, c.dim, round(c.n * f.idf / sqrt(sum((c.n * f.idf) ** 2) OVER (PARTITION BY c.id)), 6) AS weight FROM counts c JOIN idf f ON f.dim = c.dim""",
+        f"words AS (SELECT id, unnest(regexp_extract_all(lower(c), '[0-9a-z]+')) AS word FROM concise), counts AS (SELECT id, ({_number('word', 'dim')} % 256)::INTEGER AS dim, count(*) AS n FROM words GROUP BY ALL)",
+        "idf AS (SELECT dim, ln(((SELECT count(*) FROM concise) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM counts GROUP BY dim)"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators import bpe, classify, graph, instruct, qa, scopes, summaries, traverse, validate, vectors
+from graphloom.operators import bpe, classify, encoders, graph, instruct, qa, scopes, summaries, traverse, validate, vectors
 from graphloom.session import work_path
 from graphloom.sources import fixture as fx
 from graphloom.sources import store
@@ -409,7 +409,19 @@ def byte_token_rows(s, d):
 
 @query
 def embedded_summaries(s, d):
-    return vectors.embed_summaries(summaries.generate_summaries(*_typed(s, d)), vectors.hashing_encoder(16)).select("id", F.size("embedding").alias("dims"))
+    """Summaries with vectors of weighted words."""
+    made = summaries.generate_summaries(*_typed(s, d))
+    out = encoders.embed(made, encoders.fit(made))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return out.select("id", F.size("embedding").alias("dims"), F.round(squares, 4).alias("length"))
+
+
+@query
+def summary_vectors(s, d):
+    """The weight of every dimension that a summary has."""
+    made = written(summaries.generate_summaries(*_typed(s, d)).select("id", "summary"), "made")
+    each = encoders.weights(made, encoders.fit(made)).select("id", F.explode("entries").alias("e"))
+    return each.select("id", "e.dim", F.round("e.w", 6).alias("weight"))
 
 
 @query
