@@ -16,7 +16,10 @@ by the order and a fragment is a range of names. Three exact steps:
    group of near copies costs a few links a member, and only pairs across components
    are listed. Each set has a parity sketch: the bits in which two sketches differ are a
    lower bound of the shingles in which the sets differ, so a pair whose sketches differ
-   too much cannot link and is not listed. Lists of many members are dealt in blocks.
+   too much cannot link and is not listed. Where lists of many members remain that are not
+   connected, the frequencies of all shingles of these members are counted, and the members
+   are listed again under an order that puts those last: texts that share a frequent passage, but
+   not enough of it, then share no list. Lists that are long even so are dealt in blocks.
 3. The order is cut into FRAGMENTS fragments, or more where a cell of similar sets is
    large. A pair's overlap is counted in each fragment separately, the partial overlaps
    are summed per pair and compared as integers.
@@ -547,8 +550,11 @@ def alive_classes(classes: DataFrame, shared: DataFrame, percent: int) -> DataFr
     """cls, rep of the classes that can have a partner.
 
     A partner lacks at most n - least_overlap(n) shingles of a set, so at least the rest of
-    the m in the range are shared. classes: cls, rep, n, m; shared: short (SHORT of cls), shared.
+    the m in the range are shared. Two different sets have a shingle that is not common, so
+    that a small set (of less than 4 at 80 %) links with its equals only, which are its class.
+    classes: cls, rep, n, m; shared: short (SHORT of cls), shared.
     """
+    classes = classes.filter(F.col("n") * (100 - percent) >= percent)
     lacks = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
     return classes.withColumn("short", F.col("cls").bitwiseAND(F.lit(SHORT))).join(shared, "short", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("m") - lacks).select("cls", "rep")
 
@@ -570,6 +576,46 @@ def mixed_lists(posts: DataFrame, label: DataFrame) -> DataFrame:
     return stage(posts.select("value", "n", "place", "cls").join(few(mixed), "value"), "lists")
 
 
+def order_again(percent: int, hot):
+    """Prefixes of whole sets under an order that puts hot shingles last; hot: broadcast arrays (sorted names, places)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, place = hot.value
+        for part in parts:
+            out = []
+            for cls, n, data in zip(part["cls"], part["n"], part["shingles"], strict=True):
+                s = np.frombuffer(data, "<u8")
+                at = np.minimum(np.searchsorted(known, s.view(np.int64)), len(known) - 1)
+                often = known[at] == s.view(np.int64)
+                low = s & np.uint64((1 << 47) - 1)
+                again = np.sort(np.where(often, np.uint64(1 << 63) | (place[at] << np.uint64(47)) | low, s >> np.uint64(1)))
+                prefix = again[: n - int(least_overlap(int(n), percent)) + 1]
+                out.append(pd.DataFrame({"cls": cls, "n": n, "place": np.arange(len(prefix), dtype=np.int32), "value": prefix.view(np.int64)}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def relisted(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Posting lists (cls, n, place, value), under an order of their own, of the members of long lists; None without any.
+
+    Two members of long lists that link share a shingle of these prefixes too; a member of a
+    long list and another set that link share a short list, or are connected already.
+    """
+    members = lists.filter(F.col("m") > LIST_ROWS)
+    if members.isEmpty():
+        return None
+    members = few(stage(members.select("cls").distinct(), "members"))
+    whole = stage(sets.select("cls", "n", "shingles").join(members, "cls", "left_semi"), "whole")
+    counts = whole.mapInPandas(explode_longs("shingles"), "cls long, n int, place int, value long").groupBy(F.col("value").alias("a")).agg(F.count("*").alias("b"))
+    hot = known_order(stage(counts.filter(F.col("b") > LIST_ROWS), "hot"))
+    if not len(hot[0]):
+        hot = (np.zeros(1, np.int64), np.zeros(1, np.uint64))
+    again = sets.sparkSession.sparkContext.broadcast(hot)
+    return stage(whole.mapInPandas(order_again(percent, again), "cls long, n int, place int, value long"), "again")
+
+
 def dealt_lists(lists: DataFrame, label: DataFrame, extra: DataFrame, whole: bool) -> DataFrame:
     """Lists with component, sketch and cell, dealt by value; long ones in blocks of about two times LIST_ROWS at most.
 
@@ -650,9 +696,16 @@ def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFr
 
     posts = sets.select("cls", "n", "prefix").mapInPandas(explode_longs("prefix"), "cls long, n int, place int, value long")
     extra = ends.select("cls", "sketch", "cell")
-    for pick in (next_pairs, cross_pairs):  # a list that is not mixed any more never is again
-        posts = mixed_lists(posts, label)
-        pairs = dealt_lists(posts, label, extra, pick is cross_pairs).mapInPandas(pick(percent), PAIRS)
+    families = [mixed_lists(posts, label)]
+    if (again := relisted(families[0], sets, percent)) is not None:
+        families = [families[0].filter(F.col("m") <= LIST_ROWS), mixed_lists(again, label)]
+    for pick in (next_pairs, cross_pairs):
+        if pick is cross_pairs:  # a list that is not mixed any more never is again
+            families = [mixed_lists(lists, label) for lists in families]
+        pairs = None
+        for lists in families:
+            listed = dealt_lists(lists, label, extra, pick is cross_pairs).mapInPandas(pick(percent), PAIRS)
+            pairs = listed if pairs is None else pairs.unionByName(listed)
         label = relabel(label, verified(pairs, sets, percent, cuts))
 
     named = label.join(classes, "cls")

@@ -135,3 +135,51 @@ def test_members_of_long_lists_meet_in_some_block(spark, tmp_path, monkeypatch):
     assert sorted(rows) == [(a, b) for a in range(30) for b in range(a + 1, 30) if b >= 24]
     next_to = op7.dealt_lists(tables["lists"], tables["label"], tables["extra"], False)
     assert next_to.count() == 33
+
+
+def test_small_sets_link_with_their_equals_only(spark):
+    rows = [(i, f"see the licence page {i} w{i}") for i in range(40)] + [(100 + i, "one and the same six words") for i in range(3)] + [(200, "a b c d e f g h"), (201, "a b c d e f g h i"), (202, "a b c d e f g x")]
+    got = op7.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] in (200, 201)} == {200}  # 4 of 5 in common
+
+
+def boilerplate(n: int, common: int, own: int) -> list[tuple[int, str]]:
+    """Texts that hold one passage and words of their own."""
+    passage = " ".join(f"p{k}" for k in range(common))
+    return [(i, f"{passage} " + " ".join(f"u{i}x{k}" for k in range(own))) for i in range(n)]
+
+
+@pytest.mark.parametrize("common", [14, 60])
+def test_rows_dealt_for_a_passage_of_all_texts_grow_with_the_texts(spark, monkeypatch, common):
+    monkeypatch.setattr(op7, "LIST_ROWS", 32)
+    deal, dealt = op7.dealt_lists, []
+
+    def counting(lists, label, extra, whole):
+        out = deal(lists, label, extra, whole)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(op7, "dealt_lists", counting)
+    sums = []
+    for n in (300, 1200):
+        dealt.clear()
+        rows = boilerplate(n, common, common // 3 * 2) + [(10_000 + n, boilerplate(1, common, common // 3 * 2)[0][1] + " more")]
+        got = {r["doc_id"]: r["component_id"] for r in op7.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert got == {i: 0 if i in (0, 10_000 + n) else i for i, _ in rows}
+        sums.append(sum(dealt))
+    assert sums[1] <= 5 * sums[0] + 200
+
+
+def test_members_of_long_lists_are_listed_again_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(op7, "LIST_ROWS", 3)
+    monkeypatch.setattr(op7, "RANGE", 0.4)
+    rng = random.Random(12)
+    rows = boilerplate(25, 40, 30)
+    for i in range(60):
+        own = rng.choice(rows[:25])[1].split()
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(9)}"
+        rows.append((100 + i, " ".join(own)))
+    got = op7.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
