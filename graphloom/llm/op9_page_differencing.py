@@ -10,7 +10,7 @@ different if neither host and path nor the lines are equal.
 Markup decides only what it states: scripts, styles, forms, navigation, headers, footers,
 asides and boxes with a whole name of adverts, notices or comments are never text, and
 what lies inside article or main is protected, since copies of one article under two
-URLs share all of it; inside, only boxes of adverts and comments go by their names. A first
+URLs share all of it; inside, only boxes of adverts and comments, and those with a COMPOUND name, go. A first
 heading in a header is text where the page has no landmark and no page near it shares it.
 
 The sort is a range exchange of line hashes, once in each direction, so that a page meets
@@ -19,7 +19,8 @@ beginning of a partition that find too few go on with the last different pages o
 partitions before, in a second pass over these pages only. No host is gathered in one task.
 
 Results for edge cases: a null or empty html, or one without text, has an empty text and
-0 characters; a null url belongs to the host and path that are empty; a page that is
+0 characters; pages of equal host and path are ordered by url, page_id and lines, so that the
+input's order does not matter; a null url belongs to the host and path that are empty; a page that is
 alone in its host keeps its lines; a tag without an end is text, and a very long or broken
 page is read whole, in time that grows with its length; a page without landmarks that shares half
 of the lines and four fifths of the characters left of it with another is a copy (of the
@@ -67,11 +68,21 @@ BLOCKS = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 # Whole names, in a class or an id, of boxes that are no article text; parts of other names do not count.
-ADVERTS_AND_COMMENTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsored", "comments", "commentlist", "disqus", "respond", "comment-list", "comments-list", "comment-section", "comments-section", "comments-area", "ad-slot", "ad-unit", "ad-container", "ad-banner"}
-BOXES = ADVERTS_AND_COMMENTS | {
+ADVERTS_AND_COMMENTS = re.compile(
+    r"(?:user|reader|article|post|page|blog)?[-_]?comments?(?:[-_]?(?:list|thread|section|area|box|form|wrapper|container|body|block))?[-_]?\d*|commentlist|replies|reply|disqus(?:[-_]thread)?|respond"
+    r"|(?:google|page|top|side|inline)?[-_]?(?:ads?|adverts?|advertisements?|advertising|adsense|sponsored)(?:[-_](?:box|slot|unit|container|banner|wrapper|block|area|label|top|bottom|left|right|middle|inline))?[-_]?\d*"
+)
+# Names that say the same inside a landmark; shorter ones (menu, notice, header) may name what an article is about.
+COMPOUND = {
+    "main-menu", "site-menu", "main-nav", "site-nav", "navbar", "nav-bar", "navigation", "sidebar", "side-bar", "site-header", "site-footer", "page-footer", "breadcrumb", "breadcrumbs", "cookie-notice", "cookie-banner", "cookie-consent", "cookies", "gdpr",
+    "newsletter", "newsletter-signup", "share-buttons", "social-share", "pagination", "site-notice", "skip-link",
+}
+BOXES = COMPOUND | {
     "promo", "banner", "nav", "navbar", "navigation", "menu", "sidebar", "side-bar", "footer", "header", "masthead", "topbar", "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
     "signup", "login", "share", "sharing", "social", "pagination", "pager", "widget", "toolbar", "site-header", "site-footer", "main-nav", "main-menu", "cookie-notice", "cookie-banner", "share-buttons", "newsletter-signup",
 }
+COMMENT = re.compile(r"(?:user|reader)?[-_]?comment(?:[-_]?\d*)?|reply")  # an article that is one
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "figure", "fieldset"}
 OPEN, KEPT, DROPPED, TITLE, HEADER = 0, 1, 2, 3, 4  # TITLE: a first heading in a header, which is text where the page has no landmark
 
@@ -80,11 +91,11 @@ def names_a_box(tag: str, given: dict[str, str], outer: int) -> bool:
     """Whether an element names itself as something else than text.
 
     A container does by one whole name, another element if all its names are such. Inside a
-    landmark only adverts and comments count.
+    landmark only adverts, comments and COMPOUND names count.
     """
-    known = ADVERTS_AND_COMMENTS if outer == KEPT else BOXES
+    known = COMPOUND if outer == KEPT else BOXES
     names = [x for key in ("class", "id") for x in given.get(key, "").lower().split()]
-    return bool(names) and (any if tag in CONTAINERS else all)(x in known for x in names)
+    return bool(names) and (any if tag in CONTAINERS else all)(x in known or ADVERTS_AND_COMMENTS.fullmatch(x) is not None for x in names)
 
 
 def zone_of(tag: str, attributes: str, outer: int) -> int:
@@ -97,7 +108,9 @@ def zone_of(tag: str, attributes: str, outer: int) -> int:
         return DROPPED
     given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = given.get("role", "").lower()
-    if tag not in ("body", "html") and tag not in LANDMARKS and (role in ROLES or "hidden" in given or names_a_box(tag, given, outer)):
+    if tag not in ("body", "html") and tag not in LANDMARKS and (role in ROLES or "hidden" in given or UNSEEN.search(given.get("style", "")) or names_a_box(tag, given, outer)):
+        return DROPPED
+    if tag == "article" and any(COMMENT.fullmatch(x) for x in given.get("class", "").lower().split()):
         return DROPPED
     return outer if outer == HEADER else KEPT if tag in LANDMARKS or role == "main" or given.get("itemprop") == "articleBody" else outer
 
@@ -311,6 +324,8 @@ class Different:
         return shared, met
 
 
+#: Pages in order; rid, the place in the input, tells only pages apart that are equal in all these.
+ORDER = ["host", "path", "url", "page_id", "content", "rid"]
 LIGHT = ["rid", "host", "landmark", "open", "chars", "left"]
 PAIRED = "rid long, shared array<int>, host string, landmark boolean, open array<long>, chars array<int>, left array<boolean>, need int, pid int, place int"
 RESULT, UNMET, LAST = 0, -1, -2  # rows of paired by place: lines found, pages with too few before them, last different pages
@@ -379,7 +394,7 @@ def meet_carried(shared):
 def walk(keys: DataFrame, down: bool) -> DataFrame:
     """rid, shared: the lines of each page that different pages before it in the order show."""
     spark = keys.sparkSession
-    order = [F.desc(c) if down else F.asc(c) for c in ("host", "path", "rid")]
+    order = [F.desc(c) if down else F.asc(c) for c in ORDER]
     ranged = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*LIGHT)
     paired = stage(ranged.mapInPandas(pair_up, PAIRED), "paired")
     last = paired.filter(F.col("place") == LAST).select("pid", "need", *LIGHT).toPandas()  # a few pages a partition
@@ -429,9 +444,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 def shared_of(parsed: DataFrame) -> DataFrame:
     """rid, shared: indices of the open lines of each page that different pages near it share."""
-    pages = parsed.filter(F.size("open") > 0).select("rid", "host", "path", "landmark", "open", "chars", F.xxhash64("host").alias("site"))
+    pages = parsed.filter(F.size("open") > 0).select(*ORDER, "landmark", "open", "chars", F.xxhash64("host").alias("site"))
     left = F.transform("open", lambda x: ~F.coalesce(F.array_contains("common", x), F.lit(False)))
-    keys = stage(pages.join(common_lines(parsed), "site", "left").select("rid", "host", "path", "landmark", "open", "chars", left.alias("left")), "keys")
+    keys = stage(pages.join(common_lines(parsed), "site", "left").select(*ORDER, "landmark", "open", "chars", left.alias("left")), "keys")
     every = walk(keys, False).unionByName(walk(keys, True))
     return every.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
 

@@ -256,3 +256,31 @@ def test_long_broken_pages_are_read_in_linear_time(page):
 def test_a_tag_without_an_end_is_text():
     assert op9.blocks_of("<p>one</p> a <b c") == [(op9.OPEN, "one"), (op9.OPEN, "a <b c")]
     assert op9.blocks_of("<p>one</p> a <!-- b") == [(op9.OPEN, "one"), (op9.OPEN, "a")]
+
+
+def test_furniture_inside_a_landmark_and_comments_by_their_names():
+    text = lambda page: [t for _, t in op9.blocks_of(page)]
+    assert text("<main><ul class='main-menu'><li>no</li></ul><div class=sidebar>no</div><div class='cookie-notice'>no</div><div class=newsletter>no</div><h1>T</h1><p>a</p><div class=menu>b</div></main>") == ["T", "a", "b"]
+    for name in ("ad-box", "advertisement-top", "user-comments", "comment-thread", "replies", "comments2", "comment", "reader_comments", "ad1", "google-ads"):
+        assert text(f"<article><p>a</p><div class='{name}'>no</div><div id='{name}'>no</div></article><div class='{name}'>no</div>") == ["a"], name
+    for name in ("adventure", "commentary", "address", "advice", "read", "add-on", "header-image", "commented"):
+        assert text(f"<article><p>a</p><div class='{name}'>b</div></article>") == ["a", "b"], name
+    assert text("<main><p>a</p><article class=comment>no</article><p style='display: none'>no</p><div style='color:red'>b</div></main>") == ["a", "b"]
+
+
+def test_texts_do_not_depend_on_how_the_input_is_cut(spark):
+    import random
+
+    rng = random.Random(8)
+    menu = "".join(f"<div>Entry {k}</div>" for k in range(4))
+    rows = [(i, f"http://q.org/list?id={i % 25}", f"<body>{menu}" + "".join(f"<div>line {rng.randrange(40)}</div>" for _ in range(8)) + f"<div>Own {i}</div></body>") for i in range(60)]
+    texts = []
+    for n, parts in ((1, 1), (4, 7), (9, 3)):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+            texts.append({r["page_id"]: r["text"] for r in op9.extract_main_text(df).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert texts[0] == texts[1] == texts[2]
