@@ -65,15 +65,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again; a table goes when the next is written."""
+    """The stages applied to documents, each written and read again.
+
+    A table goes when the next is written; of a run that fails, all go.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/graphloom/pipeline-{uuid.uuid4().hex}"
     before = None
-    for name, stage in STAGES:
-        with scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{base}/{name}"
+    try:
+        for name, stage in STAGES:
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+            docs = spark.read.parquet(f"{base}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{base}/{name}"
+    except BaseException:
+        remove(spark, base)
+        raise
     return docs
