@@ -284,3 +284,36 @@ def test_texts_do_not_depend_on_how_the_input_is_cut(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert texts[0] == texts[1] == texts[2]
+
+
+def test_queries_in_threads_of_one_session_leave_each_other_alone(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from graphloom.llm import queries
+    from graphloom.llm.staging import release
+
+    names = ["op4_warc", "op8_mixing", "op10_media_sequences", "op13_merkle_manifest"]
+    rows = lambda name: sorted(map(str, queries.REGISTRY[name](spark, sf_dir).collect()))
+    want = {name: rows(name) for name in names}
+    with ThreadPoolExecutor(4) as pool:
+        for _ in range(2):
+            assert dict(zip(names, pool.map(rows, names), strict=True)) == want
+    assert release(spark) >= 12 and release(spark) == 0
+
+
+def test_a_pipeline_that_fails_leaves_no_table(spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from graphloom.session import shared_dir
+
+    def die(*_):
+        raise ZeroDivisionError
+
+    root = Path(shared_dir(spark).removeprefix("file:")) / "graphloom"
+    root.mkdir(exist_ok=True)
+    before = set(root.rglob("*.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[2], ("dies", die)])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, sf_dir)
+    assert not [p for p in set(root.rglob("*.parquet")) - before if "pipeline-" in str(p)]
