@@ -117,7 +117,7 @@ def neighbor_edges(edges: DataFrame, direction: str = "outgoing", relationship:
     """me, nb, direction, relationship, weight, properties for each edge seen from its end(s).
 
     A self-loop appears once under every direction and is labelled outgoing. Both
-    directions are a UNION ALL of two equi-keyed halves, so later joins can hash.
+    directions come from one pass over the edges, each giving two rows.
     """
     if direction not in ("outgoing", "incoming", "both"):
         raise GraphError(f"Invalid direction: {direction}")
@@ -125,12 +125,12 @@ def neighbor_edges(edges: DataFrame, direction: str = "outgoing", relationship:
         edges = edges.filter(F.col("relationship") == relationship)
     rest = ["relationship", "weight", "properties"]
     loop = F.col("source_id") == F.col("target_id")
-    out = edges.select(F.col("source_id").alias("me"), F.col("target_id").alias("nb"), F.lit("outgoing").alias("direction"), *rest)
-    label = F.when(loop, "outgoing").otherwise("incoming").alias("direction")
-    into = (edges.filter(~loop) if direction == "both" else edges).select(
-        F.col("target_id").alias("me"), F.col("source_id").alias("nb"), label, *rest
-    )
-    return out if direction == "outgoing" else into if direction == "incoming" else out.unionByName(into)
+    seen = lambda me, nb, label: F.struct(F.col(me).alias("me"), F.col(nb).alias("nb"), label.alias("direction"))
+    out = seen("source_id", "target_id", F.lit("outgoing"))
+    into = seen("target_id", "source_id", F.when(loop, "outgoing").otherwise("incoming"))
+    if direction == "both":
+        return edges.select(F.explode(F.when(loop, F.array(out)).otherwise(F.array(out, into))).alias("x"), *rest).select("x.*", *rest)
+    return edges.select((out if direction == "outgoing" else into).alias("x"), *rest).select("x.*", *rest)
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, direction: str = "outgoing", relationship: str | None = None, of: list[str] | None = None) -> DataFrame:
