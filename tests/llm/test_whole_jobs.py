@@ -317,3 +317,15 @@ def test_a_pipeline_that_fails_leaves_no_table(spark, sf_dir, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         corpus_pipeline.run(spark, sf_dir)
     assert not [p for p in set(root.rglob("*.parquet")) - before if "pipeline-" in str(p)]
+
+
+def test_languages_that_were_not_learned_are_rejected_in_the_same_script(spark):
+    """Labelled texts of the table are invented German, English, Spanish and French; these are others, in Latin letters."""
+    models = op6.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    foreign = [
+        "De kat zit op de mat en kijkt naar buiten waar het hard regent terwijl de kinderen op straat spelen en lachen",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki",
+        "Watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri",
+    ]
+    assert models.predict([op6.normalise(t) for t in foreign * 3])[2].all()
