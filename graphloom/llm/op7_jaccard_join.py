@@ -560,20 +560,20 @@ def alive_classes(classes: DataFrame, shared: DataFrame, percent: int) -> DataFr
 
 
 def mixed_lists(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (value, n, place, cls, m) of posting lists whose m members lie in several components.
+    """Rows (value, fam, n, place, cls, m) of posting lists whose m members lie in several components.
 
     The components of a list are compared by their extremes, combined on the map side, so
     that a hot list is not gathered. Of lists with the same members, only the first in the
-    global order is needed: it has the first shingle that any two of them share. Members
-    are compared by their number, their extreme components and a hash of all.
+    order (fam tells orders apart) is needed: it has the first shingle that any two of them share.
+    Members are compared by their number, their extreme components and a hash of all.
     """
     named = posts.join(few(label), "cls")
     members = F.bit_xor(F.xxhash64("cls")).alias("members")
-    ends = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), members)
+    ends = named.groupBy("value", "fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), members)
     unsigned = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
-    first = ends.filter("lo < hi").groupBy("lo", "hi", "m", "members").agg(F.min(unsigned).alias("value"))
-    mixed = stage(first.select(unsigned.alias("value"), "m"), "mixed")
-    return stage(posts.select("value", "n", "place", "cls").join(few(mixed), "value"), "lists")
+    first = ends.filter("lo < hi").groupBy("lo", "hi", "m", "members", "fam").agg(F.min(unsigned).alias("value"))
+    mixed = stage(first.select(unsigned.alias("value"), "fam", "m"), "mixed")
+    return stage(posts.select("value", "fam", "n", "place", "cls").join(few(mixed), ["value", "fam"]), "lists")
 
 
 def order_again(percent: int, hot):
@@ -696,16 +696,13 @@ def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFr
 
     posts = sets.select("cls", "n", "prefix").mapInPandas(explode_longs("prefix"), "cls long, n int, place int, value long")
     extra = ends.select("cls", "sketch", "cell")
-    families = [mixed_lists(posts, label)]
-    if (again := relisted(families[0], sets, percent)) is not None:
-        families = [families[0].filter(F.col("m") <= LIST_ROWS), mixed_lists(again, label)]
+    lists = mixed_lists(posts.withColumn("fam", F.lit(0)), label)
+    if (again := relisted(lists, sets, percent)) is not None:
+        lists = lists.filter(F.col("m") <= LIST_ROWS).unionByName(mixed_lists(again.withColumn("fam", F.lit(1)), label))
     for pick in (next_pairs, cross_pairs):
         if pick is cross_pairs:  # a list that is not mixed any more never is again
-            families = [mixed_lists(lists, label) for lists in families]
-        pairs = None
-        for lists in families:
-            listed = dealt_lists(lists, label, extra, pick is cross_pairs).mapInPandas(pick(percent), PAIRS)
-            pairs = listed if pairs is None else pairs.unionByName(listed)
+            lists = mixed_lists(lists, label)
+        pairs = dealt_lists(lists, label, extra, pick is cross_pairs).mapInPandas(pick(percent), PAIRS)
         label = relabel(label, verified(pairs, sets, percent, cuts))
 
     named = label.join(classes, "cls")
