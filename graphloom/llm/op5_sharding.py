@@ -2,14 +2,14 @@
 
 A document's hash is 60 bits of the MD5 of its doc_id. The directory is computed from the
 bytes below each prefix: cells of a depth chosen from the total size are summed once,
-rolled up to every shorter prefix, and a bucket is a shard at the shortest prefix that
-fits the limit. Where a cell itself is too large the next bits are taken, for its rows
+rolled up to shorter prefixes as long as some bucket of these fits, and a bucket is a shard at the
+shortest prefix that fits the limit: what is larger is split on one more bit. Where a cell itself is too large the next bits are taken, for its rows
 alone. A bucket whose rows share one hash is split on a second hash, of the row's number
 in the staged table. All of it is joins and sums of the DataFrame API; the directory is
 a table like any other, joined and not broadcast.
 
 Results for edge cases: a null text has 0 bytes; a null doc_id hashes as the empty
-string; a row larger than the limit is a shard by itself; repeated rows, even a third of
+string; a row larger than the limit, however long its text, is a shard by itself; repeated rows, even a third of
 the table under one doc_id, are split by the second hash; an empty table gives no rows;
 other columns are not read.
 """
@@ -24,6 +24,7 @@ from graphloom.llm.staging import scratch, stage
 LIMIT = 4 << 20  # bytes of a shard
 BITS = 60
 SLACK_BITS = 5  # of a cell beyond the depth that even splitting needs
+ROLL = 8  # bits by which cells are rolled up at once
 MORE_BITS = 10  # taken at once below a cell that is too large
 
 
@@ -37,15 +38,37 @@ def prefix(h: Column, depth: Column) -> Column:
 
 
 def shard_depths(rows: DataFrame, h: str, low: int, high: int, limit: int) -> DataFrame:
-    """cell (the first high bits), depth, fits: the shard of each cell, at a depth in [low, high].
+    """cell (the first high bits), depth, fits, one: the shard of each cell, at a depth in [low, high].
 
     rows: h, n_bytes. A bucket is final if it fits or holds one hash only.
     """
     cells = rows.groupBy(prefix(F.col(h), F.lit(high)).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.min(h).alias("lo"), F.max(h).alias("hi"))
-    up = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int")))
+    return directory(stage(cells, "cells"), low, high, limit)
+
+
+def directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
+    """shard_depths of cells (cell, b, lo, hi).
+
+    Cells are rolled up to the prefixes of the next ROLL bits above them. A bucket that is final has
+    final parts, so that only where some bucket of the shortest of these prefixes is final,
+    longer rolls are needed, and these begin from the sums of that depth.
+    """
+    floor = max(low, high - ROLL)
+    up = cells.withColumn("depth", F.explode(F.sequence(F.lit(floor), F.lit(high)))).withColumn("bucket", F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int")))
     buckets = up.groupBy("depth", "bucket").agg(F.sum("b").alias("b"), (F.min("lo") == F.max("hi")).alias("one")).filter((F.col("b") <= limit) | F.col("one") | (F.col("depth") == high))
-    final = up.select("cell", "depth", "bucket").join(buckets.select("depth", "bucket", ((F.col("b") <= limit)).alias("fits"), "one"), ["depth", "bucket"])
-    return final.groupBy("cell").agg(F.min(F.struct("depth", "fits", "one")).alias("x")).select("cell", "x.*")
+    final = up.select("cell", "depth", "bucket").join(buckets.select("depth", "bucket", (F.col("b") <= limit).alias("fits"), "one"), ["depth", "bucket"])
+    got = final.groupBy("cell").agg(F.min(F.struct("depth", "fits", "one")).alias("x")).select("cell", "x.*")
+    if floor == low:
+        return got
+    got = stage(got, "directory")
+    if got.filter((F.col("depth") == floor) & (F.col("fits") | F.col("one"))).isEmpty():
+        return got
+    above = F.call_function("shiftright", F.col("cell"), F.lit(high - floor))
+    coarse = stage(cells.groupBy(above.alias("cell")).agg(F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "cells")
+    more = directory(coarse, low, floor, limit).select(F.col("cell").alias("_c"), F.struct("depth", "fits", "one").alias("_x"))
+    here = F.struct("depth", "fits", "one")
+    at_floor = F.col("depth") == floor
+    return got.withColumn("_p", above).join(more, F.col("_p") == F.col("_c")).select("cell", F.when(at_floor, F.col("_x")).otherwise(here).alias("x")).select("cell", "x.*")
 
 
 def extend(rows: DataFrame, h: str, limit: int) -> tuple[DataFrame, DataFrame]:

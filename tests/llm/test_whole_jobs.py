@@ -329,3 +329,23 @@ def test_languages_that_were_not_learned_are_rejected_in_the_same_script(spark):
         "Watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri",
     ]
     assert models.predict([op6.normalise(t) for t in foreign * 3])[2].all()
+
+
+@pytest.mark.parametrize("roll", [1, 3, 8])
+def test_shards_are_the_shortest_prefixes_that_fit(spark, monkeypatch, roll):
+    """Against splitting by the definition: a bucket that is too large goes on with one more bit."""
+    from graphloom.llm import op5_sharding as op5
+
+    monkeypatch.setattr(op5, "ROLL", roll)
+    monkeypatch.setattr(op5, "SLACK_BITS", 9 if roll == 3 else 5)
+    docs = spark.createDataFrame([(i, "x" * (i * 37 % 211)) for i in range(500)], "doc_id long, text string").repartition(3)
+    for limit in (300, 5000, 10**6):
+        rows = op5.shard(docs, limit).collect()
+        hashes = {i: format(h, "060b") for i, h in docs.select("doc_id", op5.hash_bits(op5.F.col("doc_id"))).collect()}
+
+        def split(ids, depth, limit=limit, hashes=hashes):
+            if sum(i * 37 % 211 for i in ids) <= limit or len(ids) == 1:
+                return dict.fromkeys(ids, hashes[ids[0]][:depth])
+            return {k: v for bit in "01" if (part := [i for i in ids if hashes[i][depth] == bit]) for k, v in split(part, depth + 1).items()}
+
+        assert {r["doc_id"]: r["shard"] for r in rows} == split(list(range(500)), 0)
