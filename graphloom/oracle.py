@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
-from graphloom.operators.instruct import SYSTEM_TEXT
-from graphloom.operators.qa import PROMPTS
+# The wording that queries must give, stated here and not taken from the operators.
+SYSTEM_TEXT = "You answer questions about one codebase, briefly and only from what it contains."
+PROMPTS = {
+    "discovery": [
+        "Is there support for {}?",
+        "Does this codebase offer {}?",
+        "Can I find {} in this project?",
+        "What does the project provide as {}?",
+    ],
+    "explain": [
+        "What does {} do internally?",
+        "Explain {}.",
+        "Why does {} exist?",
+        "Describe the {type} {}.",
+    ],
+    "howto": [
+        "How do I use {}?",
+        "Show me how to apply {}.",
+        "What is the way to run {}?",
+        "Give an example of {}.",
+    ],
+    "diagnostics": [
+        "What raises {}?",
+        "How can {} be resolved?",
+        "Why do I see {}?",
+        "In which cases does {} arise?",
+    ],
+}
 
 GRAPH = r"""
 raw AS (
