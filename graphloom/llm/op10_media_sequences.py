@@ -8,7 +8,8 @@ the reference by digest, and a caption. Reading parses the HTML into ordered str
 resolves the references by a join on digests, so payloads are never shuffled; position
 and caption stay with their reference. A reference that nothing resolves fails the run.
 
-Results for edge cases: a null or empty text is one tile of 255s with n_bytes 0; equal
+Results for edge cases: a null or empty text is one tile of 255s with n_bytes 0; a very long text
+is one file, made and read back whole by the task that holds its row; equal
 texts share one file; a null doc_id stays null; repeated rows are each returned; an empty
 table gives no rows; other columns are not read.
 """

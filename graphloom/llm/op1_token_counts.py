@@ -10,7 +10,8 @@ blocks. The order of documents is kept beside each stream and joined by ordinal.
 
 A stream is what one input task wrote, so it has a bounded number of blocks.
 
-Results for edge cases: a null or empty text has 0 tokens; a text that spells the
+Results for edge cases: a null or empty text has 0 tokens; a very long text is encoded whole and
+lies across as many blocks as it needs; a text that spells the
 end-of-document mark is ordinary text; a null doc_id stays null; repeated rows are each
 counted; a stream's end without a separator closes its last document if it has tokens;
 an empty table gives no rows; other columns are not read.

@@ -14,7 +14,7 @@ the tokenizers library's; any difference fails the task. round_trip holds the de
 every text against the text.
 
 Results for edge cases: a null text has null ids, null decoded and 0 tokens; an empty text
-has no ids; characters outside the vocabulary become byte pieces, or the unknown piece
+has no ids; a very long text is encoded whole; characters outside the vocabulary become byte pieces, or the unknown piece
 where the model has none; a null doc_id stays null; repeated rows are each returned; an
 empty table gives no rows; other columns are not read.
 """
@@ -312,7 +312,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, parity_every: int = PA
 
 
 def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """rows (with a column ids) with decoded."""
+    """rows (with a column ids) with decoded; null ids give null, an empty list an empty text. Other columns pass through."""
     shared = rows.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     @F.pandas_udf("string")

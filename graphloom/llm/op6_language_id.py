@@ -328,7 +328,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose language is rejected; all columns stay."""
+    """docs without the documents whose language is rejected; all columns stay.
+
+    Null, empty and letterless texts are rejected, and all texts where nothing could be learned
+    from; a very long text is scored whole; a tie goes to the first language; repeated rows and an
+    empty table stay as they are; clashing column names are not touched.
+    """
     prepare(docs.sparkSession)
     models = docs.sparkSession.sparkContext.broadcast(learn(docs))
 

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import WORDS, mix, shingle_sets
-from graphloom.llm.staging import even_keys, few, partitions, prepare, scratch, stage, text_bytes, tidy
+from graphloom.llm.staging import even_keys, few, lean, partitions, prepare, scratch, stage, text_bytes, tidy
 
 PERCENT = 80
 CHUNK_BYTES = 1 << 19  # of text hashed at once
@@ -658,23 +658,8 @@ def classed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         return keep(_components(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), words, percent, cuts), "components")
 
 
-def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFrame:
-    spark = given.sparkSession
-    known = given.filter("doc_id is not null")
-    fragments = max(partitions(spark), -(-int(text_bytes(known) * RANGE) // (6 * FRAGMENT_SHINGLES)))
-    packed = known.mapInPandas(tidy(pack(words, fragments, even_keys(fragments))), PACKED).repartition(fragments, "key")
-    counted = stage(packed.mapInPandas(tidy(count_shared(percent)), COUNTED), "shared", "kind")
-    light = counted.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n"), F.col("d").alias("m"))
-    classes = stage(light.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("copies")), "classes")
-    shared = stage(counted.filter("kind = 1").groupBy(F.col("a").alias("short")).agg(F.sum("b").alias("shared")), "sums")
-    alive = stage(alive_classes(classes, shared, percent), "alive")
-
-    frequent = spark.sparkContext.broadcast(known_order(counted.filter("kind = 2").select("a", "b")))
-    reps = stage(alive.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    made = known.join(few(reps), "doc_id", "left_semi").mapInPandas(tidy(make_sets(words, percent, fragments, frequent)), SETS)
-    sets = stage(made.join(few(alive.select("cls")), "cls", "left_semi"), "sets")
-    if sets.count() > alive.count():  # a row that is there several times
-        sets = stage(sets.dropDuplicates(["cls"]), "sets")
+def _linked(sets: DataFrame, percent: int, cuts: int) -> DataFrame:
+    """cls, component of the sets that can have a partner; every table here grows with them alone."""
     minima = stage(sets.select("cls", "n", "mins").mapInPandas(explode_longs("mins"), "cls long, n int, place int, value long"), "minima")
     # a cell gathers sets that are likely alike: the smallest leader of their buckets
     lead = stage(minima.groupBy("place", "value").agg(F.min("cls").alias("lead")), "leaders")
@@ -705,6 +690,29 @@ def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFr
         pairs = dealt_lists(lists, label, extra, pick is cross_pairs).mapInPandas(pick(percent), PAIRS)
         label = relabel(label, verified(pairs, sets, percent, cuts))
 
+    return label
+
+
+def _components(given: DataFrame, words: int, percent: int, cuts: int) -> DataFrame:
+    spark = given.sparkSession
+    known = given.filter("doc_id is not null")
+    fragments = max(partitions(spark), -(-int(text_bytes(known) * RANGE) // (6 * FRAGMENT_SHINGLES)))
+    packed = known.mapInPandas(tidy(pack(words, fragments, even_keys(fragments))), PACKED).repartition(fragments, "key")
+    counted = stage(packed.mapInPandas(tidy(count_shared(percent)), COUNTED), "shared", "kind")
+    light = counted.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n"), F.col("d").alias("m"))
+    classes = stage(light.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("copies")), "classes")
+    shared = stage(counted.filter("kind = 1").groupBy(F.col("a").alias("short")).agg(F.sum("b").alias("shared")), "sums")
+    alive = stage(alive_classes(classes, shared, percent), "alive")
+
+    frequent = spark.sparkContext.broadcast(known_order(counted.filter("kind = 2").select("a", "b")))
+    reps = stage(alive.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    made = known.join(few(reps), "doc_id", "left_semi").mapInPandas(tidy(make_sets(words, percent, fragments, frequent)), SETS)
+    sets = stage(made.join(few(alive.select("cls")), "cls", "left_semi"), "sets")
+    size = alive.count()
+    if sets.count() > size:  # a row that is there several times
+        sets = stage(sets.dropDuplicates(["cls"]), "sets")
+    with lean(size):
+        label = _linked(sets, percent, cuts)
     named = label.join(classes, "cls")
     least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     linked = named.join(least, "component").select("cls", "component_id", "component")

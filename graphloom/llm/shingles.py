@@ -59,6 +59,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     """Shingle hashes and the index of their text, sorted by both and without repeats.
 
     A text with fewer words than a shingle has its word sequence as one; without words, none.
+    Texts may be empty, repeat, or be very long; without texts both arrays are empty.
     A shingle may have at most MOST_WORDS words.
     """
     if not 1 <= words <= MOST_WORDS:

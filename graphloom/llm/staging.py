@@ -24,6 +24,8 @@ BROADCAST_ROWS = 1 << 22
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Open scopes of this thread (or task of asyncio), the innermost last; other threads have their own.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: Files that a table staged here has at most, where the tables are known to be small.
+_files: ContextVar[int | None] = ContextVar("files", default=None)
 #: Tables that no scope removes: results that were returned to the caller.
 _kept: list[str] = []
 
@@ -60,6 +62,8 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
     (_scopes.get() or (_kept,))[-1].append(path)
+    if most := _files.get():
+        df = df.coalesce(most)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -100,6 +104,20 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             remove(spark, path)
 
 
+@contextmanager
+def lean(rows: int, each: int = 4096, least: int = 8) -> Iterator[None]:
+    """Tables staged inside, known to grow with so many rows, get a file for each `each` of them, and at least `least`.
+
+    Many steps on small tables then spend their time on rows and not on tasks; large tables have
+    as many files as without.
+    """
+    before = _files.set(max(least, -(-rows // each)))
+    try:
+        yield
+    finally:
+        _files.reset(before)
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table that a result reads and no scope removes; how many there were."""
     n = 0
