@@ -17,20 +17,24 @@ class GraphError(ValueError):
 # --- mutation -------------------------------------------------------------
 
 
-def upsert_nodes(log: DataFrame) -> DataFrame:
-    """Last write of each node. log: id, seq and the node's other columns.
+def last_write(log: DataFrame, key: list[str]) -> DataFrame:
+    """The row of each key with the largest seq; of rows that agree in it, the largest in all columns, so that reruns agree.
 
-    max_by combines on the map side, so a hot id costs one row per task.
+    The maximum combines on the map side, so a hot key costs one row per task.
     """
-    rest = [c for c in log.columns if c != "id"]
-    return log.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("last")).select("id", "last.*")
+    rest = [c for c in log.columns if c not in key]
+    others = [c for c in rest if c != "seq"]
+    return log.groupBy(*key).agg(F.max(F.struct("seq", *others)).alias("last")).select(*key, *[F.col("last")[c].alias(c) for c in rest])
+
+
+def upsert_nodes(log: DataFrame) -> DataFrame:
+    """Last write of each node. log: id, seq and the node's other columns."""
+    return last_write(log, ["id"])
 
 
 def upsert_edges(log: DataFrame) -> DataFrame:
     """Last write of each (source_id, target_id, relationship). log: these, seq and other columns."""
-    key = ["source_id", "target_id", "relationship"]
-    rest = [c for c in log.columns if c not in key]
-    return log.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("last")).select(*key, "last.*")
+    return last_write(log, ["source_id", "target_id", "relationship"])
 
 
 def replay(node_log: DataFrame, edge_log: DataFrame) -> tuple[DataFrame, DataFrame]:

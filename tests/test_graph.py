@@ -177,3 +177,10 @@ def test_the_frontier_holds_only_paths_that_can_still_end(spark, monkeypatch):
         got = traverse.traverse_paths(spark.createDataFrame([(i,) for i in starts], "id string"), frame, "calls", depth)
         want = [p for i in starts for p in paths_by_search(i, out, depth)]
         assert sorted(tuple(r["path"]) for r in got.collect()) == sorted(map(tuple, want))
+
+
+def test_writes_of_one_moment_are_decided_alike(spark):
+    log = [("a", i, 5, None if i % 2 else "x") for i in range(8)] + [("a", 99, 4, "y"), ("b", 1, None, "z")]
+    for parts in (1, 3, 7):
+        got = graph.upsert_nodes(spark.createDataFrame(log, "id string, name int, seq int, path string").repartition(parts))
+        assert got.columns == ["id", "name", "seq", "path"] and sorted(map(tuple, got.collect())) == [("a", 7, 5, None), ("b", 1, None, "z")]
