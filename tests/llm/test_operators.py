@@ -43,7 +43,7 @@ def odd(spark):
 
 def test_duckdb_parity(spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.REGISTRY[name](spark, sf_dir)
