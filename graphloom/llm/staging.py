@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import shared_dir, ship
+from graphloom.session import CLEANUP, setting, shared_dir, ship
 
 #: Rows that reach a Python worker at once; whole texts can be long, so batches are small.
 BATCH_ROWS = "2000"
@@ -20,8 +20,6 @@ BATCH_ROWS = "2000"
 
 #: Rows of at most a few numbers that a join may broadcast, about 100 MB as a hash table; beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 22
-#: Removes a write's shuffle files once it is done; what it wrote is read from the table only.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Open scopes of this thread (or task of asyncio), the innermost last; other threads have their own.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 #: Files that a table staged here has at most, where the tables are known to be small.
@@ -37,21 +35,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """key is value inside; a session that does not know it, or fixes it, goes on without."""
-    before = spark.conf.get(key, None)
-    try:
-        spark.conf.set(key, value)
-    except Exception:  # noqa: BLE001  a static setting
-        yield
-        return
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-
-
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df to a table of the shared folder and read it back.
 

@@ -148,13 +148,15 @@ def traverse_paths_cyclic(s, d):
 
 
 def deep_edges(s, d) -> DataFrame:
-    """The calls with a chain of ten more in front of some, dead ends that circle, and a hub that all turns point at."""
-    e = fx.edges(s, d).filter("relationship = 'calls'")
+    """The calls with a chain of ten more in front of some, dead ends that circle, and a hub that all turns point at.
+
+    Calls come from their log, repeated ones too: paths take each pair of ends once.
+    """
     k = F.col("n_nationkey")
     step = lambda i: F.concat(F.lit("n:"), k.cast("string"), F.lit(f"/{i}"))
     n = fx.table(s, d, "nation")
     make = lambda df, a, b: df.select(a.alias("source_id"), b.alias("target_id"), F.lit("calls").alias("relationship"), F.lit(1.0).alias("weight"), F.lit("{}").alias("properties"))
-    out = e
+    out = fx.call_log(s, d).drop("seq").unionByName(make(fx.event_pairs(s, d), F.concat(F.lit("e:"), "event_type"), F.concat(F.lit("e:"), "next")))
     for i in range(10):
         out = out.unionByName(make(n, step(i), step(i + 1)))
     out = out.unionByName(make(n.filter(k % 2 == 0), step(10), F.concat(F.lit("s:"), k.cast("string")))).unionByName(make(n.filter(k % 2 == 1), step(10), step(3)))
@@ -164,9 +166,7 @@ def deep_edges(s, d) -> DataFrame:
 @query
 def traverse_paths_deep(s, d):
     """Depth 8 over calls: long chains, circles without an end, a hub."""
-    e = deep_edges(s, d)
-    starts = e.select(F.col("source_id").alias("id")).distinct()
-    return _paths(traverse.traverse_paths(starts, e, "calls", 8))
+    return _paths(traverse.traverse_paths(None, deep_edges(s, d), "calls", 8))
 
 
 @query

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps timestamps comparable; AQE splits skewed joins and merges small partitions.
 SETTINGS = {
@@ -11,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Removes a write's shuffle files once it is done; what it wrote is read from the table only.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "graphloom", master: str | None = None, **extra: str) -> SparkSession:
@@ -55,6 +60,29 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """key is value inside; a session that does not know it, or fixes it, goes on without."""
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, value)
+    except Exception:  # noqa: BLE001  a static setting
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a table of the shared folder and read back; its shuffle files go at once."""
+    path = work_path(df.sparkSession, name)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> int:
     """Delete what work_path() has handed out in this process; results that read it end there."""
     from graphloom.sources.snapshots import Folder

@@ -179,6 +179,52 @@ def test_the_frontier_holds_only_paths_that_can_still_end(spark, monkeypatch):
         assert sorted(tuple(r["path"]) for r in got.collect()) == sorted(map(tuple, want))
 
 
+def shuffled_rows(spark, after: int = -1) -> tuple[int, int]:
+    """Rows that stages later than `after` have written to shuffles, and the last stage so far; the session forgets old ones."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    nothing = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, nothing, spark._jvm.java.util.ArrayList())
+    rows = {(x := stages.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(stages.size())}
+    return sum(n for k, n in rows.items() if k > after), max(rows, default=after)
+
+
+def test_edges_to_sinks_are_dealt_out_once(spark):
+    """However deep the search, edges that end at a sink and leave a node that nothing leads to pass no second shuffle."""
+    calls = [(f"p{i}", f"s{i * k % 97}") for i in range(1000) for k in range(1, 21)]
+    calls = sorted({*calls, *((f"n{i}", f"n{i + 1}") for i in range(7)), ("n7", "s0"), ("p0", "n2"), ("c1", "c2"), ("c2", "c1"), ("p1", "c1")})
+    edges = spark.createDataFrame([(a, b, "calls", 1.0, "{}") for a, b in calls], E).coalesce(1)
+    starts, out = sorted({a for a, _ in calls}), {}
+    for a, b in calls:
+        out.setdefault(a, set()).add(b)
+    _, last = shuffled_rows(spark)
+    got = traverse.traverse_paths(spark.createDataFrame([(i,) for i in starts], "id string"), edges, "calls", 8).collect()
+    rows, last = shuffled_rows(spark, last)
+    assert sorted(tuple(r["path"]) for r in got) == sorted(tuple(p) for i in starts for p in paths_by_search(i, out, 8))
+    assert rows < 3 * len(calls)
+    again = traverse.traverse_paths(None, edges, "calls", 8).collect()
+    rows, _ = shuffled_rows(spark, last)
+    assert 0 < rows < 2 * len(calls) and sorted(again) == sorted(got)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 5])
+def test_paths_without_broadcasts_repeated_edges_and_ends_that_are_null(spark, depth):
+    rng = random.Random(depth)
+    calls = [(rng.choice("abcdefgh"), rng.choice("abcdefghxyz")) for _ in range(25)]
+    out = {}
+    for a, b in calls:
+        out.setdefault(a, set()).add(b)
+    edges = spark.createDataFrame([(a, b, "calls", 1.0, "{}") for a, b in [*calls, *calls, ("a", None), (None, "x"), ("k", None)]], E)
+    want = sorted(tuple(p) for i in sorted(out) for p in paths_by_search(i, out, depth))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for starts in (None, spark.createDataFrame([(i,) for i in sorted(out)], "id string")):
+            got = traverse.traverse_paths(starts, edges, "calls", depth).collect()
+            assert sorted(tuple(r["path"]) for r in got) == want and all(r["depth"] == len(r["path"]) - 1 for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_writes_of_one_moment_are_decided_alike(spark):
     log = [("a", i, 5, None if i % 2 else "x") for i in range(8)] + [("a", 99, 4, "y"), ("b", 1, None, "z")]
     for parts in (1, 3, 7):
